@@ -37,7 +37,8 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", 0.0, 0.10),
     Rule("marks", "n_marks", "n_words", 0.0, 0.30),
     Rule("stop_words", "n_stop", "n_words", 0.04, 1.0),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", 0.0, 0.30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", 0.0, 0.60),
+    Rule("echoes", "n_echo", "n_words", 0.0, 0.20),
     Rule("repeated_words", "n_repeat_words", "n_words", 0.0, 0.30),
 )
 
@@ -101,6 +102,7 @@ def measures(text: Column) -> dict[str, Column]:
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.size(F.filter(w, lambda x: (F.length(x) <= 6) & F.array_contains(stop, F.lower(F.rtrim(x, F.lit(".,!")))))).cast("long").alias("n_stop"),
+            F.size(F.filter(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: a == b), lambda x: x)).cast("long").alias("n_echo"),
             repeated_words(w).alias("n_repeat_words"),
         ),
     )
@@ -129,7 +131,7 @@ def quality(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", rule
     texts are measured whole. Repeated rows are judged each on their own; other columns, whatever their names, are not
     read; an empty table gives an empty table. The plan is a scan and projections: no shuffle, no user functions.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop", "n_marks", "n_lines"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop", "n_echo", "n_marks", "n_lines"]
     found = docs.select(F.col(doc_id).alias("doc_id"), *[c.alias(n) for n, c in measures(F.col(text)).items()])
     flat = found.select("doc_id", "counted.*", "line_counts.*", "word_chars", "n_symbols", "n_marks").select("doc_id", *names)
     columns = {n: F.col(n) for n in names} | {"one": F.lit(1)}

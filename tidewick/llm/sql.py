@@ -18,7 +18,7 @@ def _quality() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
 w AS (SELECT *, regexp_extract_all(body, '{WORD}') AS words,
-             list_filter(string_split(body, chr(10)), x -> regexp_matches(x, '{WORD}')) AS lines FROM d),
+             list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
 wins AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS win
          FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
 twice AS (SELECT r, i FROM wins QUALIFY count(*) OVER (PARTITION BY r, win) >= 2),
@@ -27,7 +27,8 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(body,
              {chars(SYMBOLS)} AS n_symbols, {chars(MARKS)} AS n_marks, len(lines)::BIGINT AS n_lines,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
              coalesce(n, 0)::BIGINT AS n_repeat_words,
-             len(list_filter(words, x -> length(x) <= 6 AND lower(rtrim(x, '.,!')) IN ({stop})))::BIGINT AS n_stop
+             len(list_filter(words, lambda x: length(x) <= 6 AND lower(rtrim(x, '.,!')) IN ({stop})))::BIGINT AS n_stop,
+             len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1]))::BIGINT AS n_echo
       FROM w LEFT JOIN covered USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {checks} AS kept FROM b"""
@@ -49,9 +50,9 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() O
 fill(round, shares) AS (
   SELECT 0, (SELECT list({{'source': source, 'size': source_size, 'w': w, 'target': NULL::DOUBLE}}) FROM s)
   UNION ALL
-  SELECT round + 1, list_transform(shares, x -> CASE
-           WHEN x.target IS NULL AND 2.0 * x.size * list_sum(list_transform(list_filter(shares, y -> y.target IS NULL), y -> y.w))
-                <= (1.5 * list_sum(list_transform(shares, y -> y.size)) - coalesce(list_sum(list_transform(shares, y -> y.target)), 0)) * x.w
+  SELECT round + 1, list_transform(shares, lambda x: CASE
+           WHEN x.target IS NULL AND 2.0 * x.size * list_sum(list_transform(list_filter(shares, lambda y: y.target IS NULL), lambda y: y.w))
+                <= (1.5 * list_sum(list_transform(shares, lambda y: y.size)) - coalesce(list_sum(list_transform(shares, lambda y: y.target)), 0)) * x.w
            THEN {{'source': x.source, 'size': x.size, 'w': x.w, 'target': (2.0 * x.size)::DOUBLE}} ELSE x END)
   FROM fill WHERE round <= len(shares)),
 capped AS (SELECT unnest(shares, recursive := true) FROM (SELECT shares FROM fill ORDER BY round DESC LIMIT 1)),
