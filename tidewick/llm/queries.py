@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, mixing, rules, sql
+from . import chat, exact, lines, mixing, packing, rules, sql, toxicity, warc
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.round_trip(pages.select("page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (toxicity.fold_of() == 1).alias("held_out"), "score", "predicted", "hits")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +46,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_exact_dedup, op6_mix_sources, op8_line_dedup)}
-ORACLES = {"op4_quality_rules": sql.QUALITY, "op5_exact_dedup": sql.EXACT, "op6_mix_sources": sql.MIX, "op8_line_dedup": sql.LINES}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return packing.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_chat_collapse, op3_toxicity, op4_quality_rules, op5_exact_dedup, op6_mix_sources, op8_line_dedup, op10_packing)}
+ORACLES = {
+    "op1_warc": sql.WARC,
+    "op2_chat_collapse": sql.CHAT,
+    "op4_quality_rules": sql.QUALITY,
+    "op5_exact_dedup": sql.EXACT,
+    "op6_mix_sources": sql.MIX,
+    "op8_line_dedup": sql.LINES,
+}

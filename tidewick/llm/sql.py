@@ -77,3 +77,25 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone)
 FROM j GROUP BY r"""
 
 QUALITY = _quality()
+
+WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY sha256(body)) AS response FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM h"""
+
+CHAT = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+a AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns, count(*) AS n FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT md5(turns[1:k]::VARCHAR) AS key FROM (SELECT turns, unnest(range(1, n)) AS k FROM a)),
+m AS (SELECT min(conv_id) AS conv_id, any_value(turns) AS turns, any_value(n) AS n_turns, count(*) AS n_logs
+      FROM a GROUP BY md5(turns::VARCHAR)
+      HAVING md5(any_value(turns)::VARCHAR) NOT IN (SELECT key FROM p)),
+s AS (SELECT *, unnest(range((n_turns + 255) // 256)) AS segment FROM m)
+SELECT conv_id, segment, n_turns, n_logs, 256 * segment + 1 AS first_turn, least(256, n_turns - 256 * segment) AS turns,
+       array_to_string(list_transform(turns[256 * segment + 1 : 256 * segment + 256], lambda x: '<|' || x.role || '|>' || chr(10) || x.text || chr(10)), '') AS rendered
+FROM s"""
