@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, lines, mixing, packing, rules, sql, toxicity, warc
+from . import chat, exact, lines, mixing, near, packing, rules, sql, substrings, toxicity, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,22 +41,33 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near.dedup_near(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return packing.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_chat_collapse, op3_toxicity, op4_quality_rules, op5_exact_dedup, op6_mix_sources, op8_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_chat_collapse, op3_toxicity, op4_quality_rules, op5_exact_dedup, op6_mix_sources, op7_substring_dedup, op8_line_dedup, op9_near_dedup, op10_packing)}
 ORACLES = {
     "op1_warc": sql.WARC,
     "op2_chat_collapse": sql.CHAT,
     "op4_quality_rules": sql.QUALITY,
     "op5_exact_dedup": sql.EXACT,
     "op6_mix_sources": sql.MIX,
+    "op7_substring_dedup": sql.SUBSTRINGS,
     "op8_line_dedup": sql.LINES,
 }

@@ -99,3 +99,14 @@ s AS (SELECT *, unnest(range((n_turns + 255) // 256)) AS segment FROM m)
 SELECT conv_id, segment, n_turns, n_logs, 256 * segment + 1 AS first_turn, least(256, n_turns - 256 * segment) AS turns,
        array_to_string(list_transform(turns[256 * segment + 1 : 256 * segment + 256], lambda x: '<|' || x.role || '|>' || chr(10) || x.text || chr(10)), '') AS rendered
 FROM s"""
+
+SUBSTRINGS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+wins AS (SELECT r, i, md5(array_to_string(words[i:i + 34], ' ')) AS h
+         FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35)),
+twice AS (SELECT r, i FROM wins QUALIFY count(*) OVER (PARTITION BY h) >= 2),
+gone AS (SELECT DISTINCT r, i + k AS pos FROM twice, (SELECT unnest(range(35)) AS k)),
+w AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM w ANTI JOIN gone USING (r, pos) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""
