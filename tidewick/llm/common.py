@@ -73,3 +73,14 @@ def clear_scratch(spark: SparkSession) -> None:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_skewed(large: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Join rows with an aggregate by the same keys, where one key may have many rows.
+
+    The aggregate already lies by its keys, and Spark would join it in place; it splits a skewed partition only if both
+    sides come from exchanges made for the join. A key more, a function of the others, asks for these exchanges.
+    """
+    extra = fresh(large, "join_key")
+    key = F.xxhash64(*keys)
+    return large.withColumn(extra, key).join(counted.withColumn(extra, key), [*keys, extra]).drop(extra)

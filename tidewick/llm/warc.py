@@ -19,7 +19,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path
+from .common import cut, join_skewed, new_path
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -165,7 +165,7 @@ def with_responses(pages: DataFrame, *, page_id: str, url: str, html: str, min_b
     first = rows.groupBy("same").agg(F.max("page_id").alias("response_id"))
     # SHA-256 decides equality; SHA-1 is only what records carry.
     own = F.coalesce(F.col("page_id") == F.col("response_id"), F.col("response_id").isNull())
-    return rows.join(first, "same").select("page_id", "url", "html", "response_id", (own | (F.octet_length("html") < min_bytes)).alias("is_response"))
+    return join_skewed(rows, first, ["same"]).select("page_id", "url", "html", "response_id", (own | (F.octet_length("html") < min_bytes)).alias("is_response"))
 
 
 def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
