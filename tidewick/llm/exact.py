@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, fresh, parallelism
+from .common import SPACES, cut, fresh, numbered, parallelism
 
 #: Runs that meet in one merge.
 FAN_IN = 8
@@ -63,7 +63,7 @@ def dedup_exact(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
     gives an empty table.
     """
     row = fresh(docs, "exact_row")
-    whole = docs.withColumn(row, F.monotonically_increasing_id())
+    whole = numbered(docs, row)
     signed = cut(signatures(whole, text, doc_id, row), "exact-signed")
     best = merge_runs(signed, max(FAN_IN, parallelism(docs.sparkSession)))
     verdict = signed.join(best, "digest").select(
