@@ -11,6 +11,8 @@ from ..functions.money import strict_divide
 KEYS = ("market_id", "length", "start_at")
 OUT = ("market_id", "length", "start_at", "end_at", "lowest_price", "open_price", "average_price", "highest_price", "close_price", "base_volume", "quote_volume")
 _SPAN = "10000000000000000000"
+#: Market days that are broadcast at most.
+BROADCAST_DAYS = 20_000
 
 
 def _moment(time: Column, rank: Column) -> Column:
@@ -67,17 +69,27 @@ def _averaged(rows: DataFrame, strict: bool) -> DataFrame:
     return rows.withColumn("average_price", F.when(F.col("lowest_price") == F.col("highest_price"), flat).otherwise(ratio)).withColumn("end_at", bucket_end(F.col("start_at"), F.col("length")))
 
 
-def folded(trades: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The candles ``wanted`` (market_id, length, start_at), folded trade by trade.
+def dusty(trades: DataFrame) -> DataFrame:
+    """Trades without a price or a quote amount; their filters reach the scan, where row groups without any are skipped."""
+    return trades.where((F.col("price") <= 0) | (F.col("i_quote_amount") <= 0))
+
+
+def folded(trades: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """The candles that hold a dusty trade, folded trade by trade.
 
     The running average decides: where it is zero, volumes start anew with the next trade, and a zero low or high
-    counts as unset. Only candles that hold a zero price or a zero quote amount come here.
+    counts as unset. Only markets and days with a dusty trade are read; these are broadcast if they are few.
     """
-    keyed = trades.withColumn("length", F.explode(F.array(*map(F.lit, LENGTHS)))).withColumn("start_at", bucket_start(F.col("executed_at"), F.col("length")))
-    mine = keyed.join(wanted.select(*KEYS), list(KEYS), "left_semi")
+    day = bucket_start(F.col("executed_at"), max(LENGTHS)).alias("day")
+    days = dusty(trades).select("market_id", day).distinct()
+    if len(days.take(BROADCAST_DAYS + 1)) <= BROADCAST_DAYS:
+        days = F.broadcast(days)
+    mine = trades.withColumn("day", day).join(days, ["market_id", "day"], "left_semi")
+    mine = mine.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).withColumn("start_at", bucket_start(F.col("executed_at"), F.col("length")))
     rows = mine.groupBy(*KEYS).agg(
-        F.sort_array(F.collect_list(F.struct("executed_at", "id", F.col("price").cast("decimal(38,18)").alias("p"), F.col("amount").cast("decimal(38,18)").alias("b"), F.col("i_quote_amount").cast("decimal(38,18)").alias("q")))).alias("ts")
-    )
+        F.sort_array(F.collect_list(F.struct("executed_at", "id", F.col("price").cast("decimal(38,18)").alias("p"), F.col("amount").cast("decimal(38,18)").alias("b"), F.col("i_quote_amount").cast("decimal(38,18)").alias("q")))).alias("ts"),
+        F.min(F.least("price", "i_quote_amount")).alias("least"),
+    ).where("least <= 0")
     zero = F.lit(0).cast("decimal(38,18)")
     start = F.struct(zero.alias("lo"), zero.alias("hi"), zero.alias("b"), zero.alias("q"), F.lit(True).alias("anew"))
 
@@ -103,17 +115,17 @@ def folded(trades: DataFrame, wanted: DataFrame) -> DataFrame:
 def candles(trades: DataFrame, lengths: tuple[int, ...] = LENGTHS, *, exact: bool = True, strict: bool = False) -> DataFrame:
     """Candles of the given lengths, one row for each market, length and bucket with trades.
 
-    ``exact`` sends candles with a zero price or quote amount through :func:`folded`; others have a closed form.
+    ``exact`` sends candles with a zero price or quote amount through :func:`folded`; others have a closed form. A scan
+    for such trades, which statistics of the files usually answer, decides whether the plan needs the fold at all.
     ``strict`` averages with 18 decimal digits instead of as doubles.
     """
     small = base_candles(trades, LENGTHS[0])
     rows = roll_up(small, lengths) if tuple(lengths) != (LENGTHS[0],) else small
-    plain = (F.col("lowest_price") > 0) & (F.col("least_quote") > 0)
-    if not exact:
+    if not exact or dusty(trades).isEmpty():
         return _averaged(rows, strict).select(*OUT)
+    plain = (F.col("lowest_price") > 0) & (F.col("least_quote") > 0)
     money = [F.col(c).cast("decimal(38,18)").alias(c) for c in ("lowest_price", "highest_price", "open_price", "close_price", "base_volume", "quote_volume")]
-    odd = folded(trades, rows.where(~plain))
-    return _averaged(rows.where(plain).select(*KEYS, *money).unionByName(odd), strict).select(*OUT)
+    return _averaged(rows.where(plain).select(*KEYS, *money).unionByName(folded(trades, lengths)), strict).select(*OUT)
 
 
 def trading_view(rows: DataFrame, *keys: str) -> DataFrame:
