@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.buckets import LENGTHS, at, minutes_before
+from ..functions.buckets import LENGTHS, at, bucket_end, bucket_start, from_millis, minutes_before
 from ..functions.money import percent_change, round_percent
 from ..functions.text import first_image, shorten, strip_html
-from ..operators import assets, book, gapfill, health, history, tickers
+from ..operators import assets, book, documents, gapfill, health, history, tickers
 from ..operators import articles as feed
 from ..operators import candles as ohlc
 from ..sinks import tables as sinks
@@ -104,6 +104,29 @@ def tickers_coingecko(spark, sf_dir):
     return tickers.listing_tickers(_tickers(spark, sf_dir))
 
 
+@query
+def tickers_json_round_trip(spark, sf_dir):
+    rows = _tickers(spark, sf_dir)
+    fields = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    return documents.from_documents(documents.to_documents(rows), fields)
+
+
+@query
+def candles_trimmed(spark, sf_dir):
+    """Candles as they are stored and shown: decimals as text without trailing zeros."""
+    rows = _candles(spark, sf_dir).select("market_id", "length", "start_at", "lowest_price", "open_price", "highest_price", "close_price", "base_volume", "quote_volume")
+    return ntz(assets.shown_amounts(rows, *rows.columns[3:]))
+
+
+@query
+def time_buckets(spark, sf_dir):
+    """Each trade with the start of its bucket of every length, its day and its time in milliseconds and seconds."""
+    trades = derived.trades(spark, sf_dir)
+    starts = [bucket_start(F.col("executed_at"), n).alias(f"start_{n}") for n in LENGTHS]
+    end = bucket_end(bucket_start(F.col("executed_at"), 60), 60).alias("end_60")
+    return ntz(trades.select("id", *starts, end, F.unix_millis("executed_at").alias("millis"), from_millis(F.unix_millis("executed_at")).alias("again")))
+
+
 @query
 def price_change(spark, sf_dir):
     return ntz(_candles(spark, sf_dir).select("market_id", "length", "start_at", round_percent(percent_change(F.col("open_price"), F.col("close_price"))).alias("change")))
@@ -190,6 +213,12 @@ def history_by_address(spark, sf_dir):
     return history.trade_rows(_history(spark, sf_dir, address="17", limit=1000))
 
 
+@query
+def history_all_markets(spark, sf_dir):
+    """A request by ticker alone in compatible mode: no market filter."""
+    return history.trade_rows(_history(spark, sf_dir, ticker_id="click_usd", compat=True, limit=700))
+
+
 @query
 def history_buy_sell(spark, sf_dir):
     return history.listing_rows(_history(spark, sf_dir, market_id="click/usd"))
@@ -271,6 +300,12 @@ def unit_conversion(spark, sf_dir):
     return _converted(spark, sf_dir).select("id", "market_id", F.col("price").cast("double").alias("price"), F.col("amount").cast("double").alias("amount"))
 
 
+@query
+def unit_conversion_compat(spark, sf_dir):
+    rows = assets.convert_trades(derived.raw_trades(spark, sf_dir), _units(spark, sf_dir), compat=True)
+    return rows.groupBy("market_id").agg(F.count("*").alias("trades"), F.max("price").cast("double").alias("highest"), F.max("i_quote_amount").cast("double").alias("largest"))
+
+
 @query
 def quote_amount(spark, sf_dir):
     return _converted(spark, sf_dir).select("id", "market_id", F.col("i_quote_amount").cast("double").alias("quote_amount"))
@@ -317,6 +352,14 @@ def event_dispatch(spark, sf_dir):
     return listener.dispatch(derived.events(spark, sf_dir), derived.markets(spark, sf_dir))
 
 
+@query
+def event_listen(spark, sf_dir):
+    """Two subscriptions as one, filtered by a part of the type."""
+    events = derived.events(spark, sf_dir)
+    heard = listener.listen(events, events.where(F.col("type").endswith("ExecutedEvent")), "trade.Order")
+    return heard.select("type", listener.event_market().alias("market_id")).groupBy("type", "market_id").agg(F.count("*").alias("n"))
+
+
 @query
 def upsert_candles(spark, sf_dir):
     hours = _candles(spark, sf_dir, 60)

@@ -135,6 +135,11 @@ ORACLES = {
     "tickers_24h": f"WITH {_TICKERS} SELECT * FROM tickers",
     "tickers_coingecko": f"""WITH {_TICKERS} SELECT base || '_' || quote AS ticker_id, base AS base_currency, quote AS target_currency, market_id AS pool_id, last_price, base_volume,
   quote_volume AS target_volume, bid, ask, high, low FROM tickers""",
+    "tickers_json_round_trip": f"WITH {_TICKERS} SELECT * FROM tickers",
+    "candles_trimmed": f"""WITH {TRADES}, {CANDLES} SELECT market_id, length, start_at, {shown('lo')} AS lowest_price, {shown('op')} AS open_price, {shown('hi')} AS highest_price, {shown('cl')} AS close_price,
+  {shown('bv')} AS base_volume, {shown('qv')} AS quote_volume FROM candles""",
+    "time_buckets": f"""WITH {TRADES} SELECT id, {', '.join(f"time_bucket(to_minutes({n}), executed_at, TIMESTAMP '1970-01-01') AS start_{n}" for n in LENGTHS)},
+  time_bucket(to_minutes(60), executed_at, TIMESTAMP '1970-01-01') + INTERVAL 1 HOUR AS end_60, epoch_ms(executed_at) AS millis, executed_at AS again FROM trades""",
     "price_change": f"""WITH {TRADES}, {CANDLES} SELECT market_id, length, start_at, round(CASE WHEN op <= 0 THEN 0.0::DOUBLE ELSE (cl - op)::DOUBLE / op::DOUBLE * 100 END * 100) / 100 AS change FROM candles""",
     "last_price_per_market": f"WITH {TRADES}, {MARKETS}, {LAST.format(as_of=AS_OF)} SELECT id, market_id, base, 'usd' AS quote, last_price::DOUBLE AS last_price FROM markets LEFT JOIN last USING (market_id)",
     "market_lookup": f"WITH {TRADES}, {MARKETS} SELECT id, market_id, base, created AS i_created_at FROM markets WHERE market_id = 'view/usd'",
@@ -152,6 +157,7 @@ ORACLES = {
     "history_filtered": f"WITH {TRADES} SELECT {_HISTORY} FROM trades WHERE market_id = 'view/usd' AND order_type = 'buy' AND executed_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' ORDER BY trades.executed_at DESC, id DESC LIMIT 1000",
     "history_default": f"WITH {TRADES} SELECT {_HISTORY} FROM trades WHERE market_id = 'click/usd' ORDER BY trades.executed_at DESC, id DESC LIMIT 500",
     "history_by_address": f"WITH {TRADES} SELECT {_HISTORY} FROM trades WHERE maker = '17' OR taker = '17' ORDER BY trades.executed_at DESC, id DESC LIMIT 1000",
+    "history_all_markets": f"WITH {TRADES} SELECT {_HISTORY} FROM trades ORDER BY trades.executed_at DESC, id DESC LIMIT 700",
     "history_buy_sell": f"""WITH {TRADES}, h AS (SELECT * FROM trades WHERE market_id = 'click/usd' ORDER BY executed_at DESC, id DESC LIMIT 500)
 SELECT id AS trade_id, {shown('price')} AS price, {shown('amount')} AS base_volume, {shown('quote')} AS target_volume, epoch_ms(executed_at)::VARCHAR AS trade_timestamp, order_type AS type FROM h""",
     "history_arrays": f"""WITH {TRADES}, h AS (SELECT *, epoch_ms(executed_at) AS t FROM trades WHERE market_id = 'click/usd' ORDER BY executed_at DESC, id DESC LIMIT 500)
@@ -172,6 +178,9 @@ SELECT count(*) = 0 AS is_healthy, coalesce(string_agg(error, '' ORDER BY kind,
     "prices_flatten": "SELECT lower(n_name) AS denom, n_nationkey * 2.0::DOUBLE AS price, 'eur' AS price_denom FROM nation WHERE n_nationkey % 2 = 0",
     "asset_units": f"WITH {_UNITS} SELECT denom, substr(denom, 2) AS display, exponent FROM units",
     "unit_conversion": f"""{_CONVERTED} SELECT id, market_id, CASE WHEN be - qe >= 4 THEN p4::DOUBLE * pow(10.0, be - qe - 4) ELSE p4::DOUBLE / pow(10.0, 4 - be + qe) END AS price, amount::DOUBLE / pow(10.0, be) AS amount FROM c""",
+    "unit_conversion_compat": f"""{_CONVERTED} SELECT market_id, count(*) AS trades,
+  max(CASE WHEN be - qe <= -3 THEN 0.0 WHEN be - qe >= 4 THEN p4::DOUBLE * pow(10.0, be - qe - 4) ELSE p4::DOUBLE / pow(10.0, 4 - be + qe) END) AS highest,
+  max(CASE WHEN be - qe <= -3 THEN 0.0 ELSE ((p4::HUGEINT * amount) // 10000)::DOUBLE / pow(10.0, qe) END) AS largest FROM c GROUP BY market_id""",
     "quote_amount": f"""{_CONVERTED} SELECT id, market_id, ((p4::HUGEINT * amount) // 10000)::DOUBLE / pow(10.0, qe) AS quote_amount FROM c""",
     "order_conversion": f"""{_CONVERTED}, s AS (SELECT *, CASE WHEN be - qe >= 4 THEN p4::DOUBLE * pow(10.0, be - qe - 4) ELSE p4::DOUBLE / pow(10.0, 4 - be + qe) END AS price FROM c)
 SELECT market_id, order_type, count(*) AS levels, min(price) AS lowest, max(price) AS highest FROM s GROUP BY ALL""",
@@ -185,6 +194,9 @@ SELECT title, link AS url, {_short('t')} AS description, TIMESTAMP '2024-01-01'
 k(event_type, process) AS (VALUES ('click', 'orders'), ('error', 'orders'), ('purchase', 'history'), ('purchase', 'candles'), ('purchase', 'orders'), ('view', 'orders'))
 SELECT event_type || '/usd' AS market_id, process FROM e JOIN k USING (event_type) WHERE event_type <> 'error'
 UNION ALL SELECT NULL, 'markets' FROM e WHERE event_type = 'signup'""",
+    "event_listen": """SELECT 'chain.trade.' || kind AS type, market_id, sum(n)::BIGINT AS n FROM (
+  SELECT CASE event_type WHEN 'click' THEN 'OrderSavedEvent' WHEN 'error' THEN 'OrderCanceledEvent' WHEN 'purchase' THEN 'OrderExecutedEvent' WHEN 'view' THEN 'OrderSavedEvent' END AS kind,
+         CASE WHEN event_type = 'error' THEN 'none' ELSE event_type END || '/usd' AS market_id, CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS n FROM events WHERE event_type <> 'signup') GROUP BY ALL""",
     "upsert_candles": f"""WITH {TRADES}, {CANDLES}, o AS (SELECT * FROM candles WHERE length = 60 AND start_at < TIMESTAMP '2024-01-20'), n AS (SELECT * FROM candles WHERE length = 60 AND start_at >= TIMESTAMP '2024-01-10')
 SELECT market_id, start_at, cl::DOUBLE AS close_price, CASE WHEN o.market_id IS NOT NULL THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '{AS_OF}' END AS i_created_at,
   CASE WHEN o.market_id IS NOT NULL AND n.market_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' END AS i_updated_at FROM o FULL JOIN n USING (market_id, start_at, cl)""",
