@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +19,8 @@ LENGTH = 4096
 END = 2
 #: Hashed features of a document's vector, dimensions and bits of the curve.
 FEATURES, DIMS, BITS = 1024, 4, 12
-#: Words whose ids a task remembers.
-CACHED_WORDS = 400_000
+#: Words in a generation of a task's memory, and rows that are tokenized together.
+CACHED_WORDS, SLICE = 400_000, 256
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -58,44 +61,112 @@ def curve_keys(vectors: np.ndarray) -> np.ndarray:
     return hilbert(np.clip((unit * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1))
 
 
-def tokenize(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Ids of each text, two bytes each where the vocabulary allows it, with its curve key.
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of few rows each, so that what is made of a part stays small."""
+    for at in range(0, batch.num_rows, SLICE):
+        yield batch.slice(at, SLICE)
+
+
+#: The steps before the merges of a tokenizer whose words can be encoded one by one.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Latin letters whose lower case is one letter and needs no composing, then marks other than the apostrophe.
+PLAIN_WORD = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
-    The tokenizer drops white space and none of its steps looks across it, so words are encoded one by one and
-    remembered; a text is the concatenation of its words' ids.
+
+class Encoder:
+    """Ids of texts as bytes, two each where the vocabulary allows it.
+
+    Where nothing that the tokenizer does looks across white space, and it drops that, a text is the concatenation of
+    its words' ids, and words are remembered. A word of plain letters with marks behind is two pieces for the merges,
+    which then are asked directly; all other words take the whole tokenizer. Words are remembered in two generations,
+    of which the older is dropped when the younger is full.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        width = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.tail = array(self.code, [end]).tobytes()
+        self.by_word = all(steps[k] == v for k, v in WORD_STEPS.items()) and steps["post_processor"] is None
+        self.letters = byte_letters()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """A run of small letters or of marks, straight from the merges."""
+        found = self.pieces.get(piece)
+        if found is None:
+            spelt = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+            if len(self.pieces) >= CACHED_WORDS:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if plain := PLAIN_WORD.fullmatch(text):
+            found = self.piece(plain[1].lower())
+            return found + self.piece(plain[2]) if plain[2] else found
+        return self.whole(text)
+
+    def __call__(self, text: str) -> bytes:
+        if not self.by_word:
+            return self.whole(text) + self.tail
+        words = text.encode().split()
+        young, old = self.young, self.old
+        for word in dict.fromkeys(words):
+            if word not in young:
+                found = old.get(word)
+                young[word] = self.word(word) if found is None else found
+        ids = b"".join(map(young.__getitem__, words)) + self.tail
+        if len(young) > CACHED_WORDS:
+            self.young, self.old = {}, young
+        return ids
+
+
+def tokenize(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ids of each text with its curve key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(path, end)
+        kind = np.dtype(encode.code)
         sign = np.where(np.random.default_rng(11).integers(0, 2, 1 << 17) == 1, 1.0, -1.0).astype(np.float32)
-        tail = np.array([end], dtype=width).tobytes()
-        for batch in batches:
-            packed, counts, vectors = [], [], np.zeros((batch.num_rows, FEATURES), dtype=np.float32)
-            for i, text in enumerate(batch.column("text")):
-                words = (text.as_py() or "").encode().split()
-                missing = [w for w in dict.fromkeys(words) if w not in known]
-                if missing:
-                    if len(known) + len(missing) > CACHED_WORDS:
-                        known.clear()
-                        missing = list(dict.fromkeys(words))
-                    for at in range(0, len(missing), 10_000):
-                        part = missing[at : at + 10_000]
-                        for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                            known[w] = np.array(e.ids, dtype=width).tobytes()
-                data = b"".join(map(known.__getitem__, words)) + tail
-                ids = np.frombuffer(data, dtype=width).astype(np.int64)
-                mixed = ids * 2654435761 % (1 << 32)
-                vectors[i] = np.bincount(mixed >> 22, weights=sign[mixed & 0x1FFFF], minlength=FEATURES)
-                packed.append(data)
-                counts.append(len(ids))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(curve_keys(vectors)), pa.array(counts, pa.int64()), pa.array([width().itemsize] * len(counts), pa.int32()), pa.array(packed, pa.binary())],
-                names=["doc_id", "curve", "n", "width", "ids"],
-            )
+        for whole in batches:
+            for batch in slices(whole):
+                packed = [encode(text.as_py() or "") for text in batch.column("text")]
+                vectors = np.zeros((batch.num_rows, FEATURES), dtype=np.float32)
+                for i, data in enumerate(packed):
+                    mixed = np.frombuffer(data, dtype=kind).astype(np.int64) * 2654435761 % (1 << 32)
+                    vectors[i] = np.bincount(mixed >> 22, weights=sign[mixed & 0x1FFFF], minlength=FEATURES)
+                counts = [len(data) // kind.itemsize for data in packed]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(curve_keys(vectors)), pa.array(counts, pa.int64()), pa.array([kind.itemsize] * len(counts), pa.int32()), pa.array(packed, pa.binary())],
+                    names=["doc_id", "curve", "n", "width", "ids"],
+                )
 
     return run
 
