@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, numbered
+from .common import cut, fresh, join_skewed, numbered
 from .hashing import chunks, ranges, sequences, signed
 
 #: Words of a window, and of the seeds from which anchors are winnowed.
@@ -69,7 +69,11 @@ def anchors(window: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def extensions(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each window of the runs asked for: its anchor and a hash of its words, that is, of the anchor extended both ways."""
+    """The distinct windows of the runs asked for and where they start.
+
+    A window has its anchor and a hash of its words, that is, of the anchor extended both ways. Windows that a text
+    repeats are one row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,10 +85,14 @@ def extensions(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 first, count = flat.field("first").to_numpy(), flat.field("windows").to_numpy()
                 where = ranges(chunk.at[owner] + first, count)
                 hashes = sequences(chunk.words)(where, where + window)
-                of = np.repeat(owner, count)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[chunk.first + of]), pa.array((where - chunk.at[of]).astype(np.int32)), pa.array(np.repeat(flat.field("anchor").to_numpy(), count)), signed(hashes)], names=["row", "first", "anchor", "hash"]
-                )
+                of, anchor = np.repeat(owner, count), np.repeat(flat.field("anchor").to_numpy(), count)
+                order = np.lexsort((where, hashes, anchor, of))
+                of, anchor, hashes, where = of[order], anchor[order], hashes[order], where[order]
+                new = np.ones(len(of), dtype=bool)
+                new[1:] = (of[1:] != of[:-1]) | (anchor[1:] != anchor[:-1]) | (hashes[1:] != hashes[:-1])
+                first = np.flatnonzero(new)
+                starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)).astype(np.int32)), pa.array((where - chunk.at[of]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[chunk.first + of[first]]), pa.array(anchor[first]), signed(hashes[first]), starts], names=["row", "anchor", "hash", "starts"])
 
     return run
 
@@ -144,12 +152,12 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     whole = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), row).withColumnRenamed(row, "row")
     runs = whole.select("row", "text").mapInArrow(anchors(window, seed), "row long, first int, windows int, anchor long, context long")
     shared = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n >= 2").select("anchor", (F.col("low") != F.col("high")).alias("differ"))
-    seeded = cut(runs.select("row", "first", "windows", "anchor").join(shared, "anchor"), "substring-runs")
+    seeded = cut(join_skewed(runs.select("row", "first", "windows", "anchor"), shared, ["anchor"]), "substring-runs")
     asked = seeded.where("differ").groupBy(F.col("row").alias("asked_row")).agg(F.collect_list(F.struct("first", "windows", "anchor")).alias("asked"))
     # Both joins read the texts with the same columns and key, so Spark shuffles the texts once.
-    extended = whole.join(asked, F.col("row") == F.col("asked_row")).select("doc_id", "row", "text", "asked").mapInArrow(extensions(window), "row long, first int, anchor long, hash long")
-    twice = extended.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n >= 2").select("anchor", "hash")
-    single = extended.join(twice, ["anchor", "hash"]).select("row", "first", F.lit(1).alias("windows"))
+    extended = whole.join(asked, F.col("row") == F.col("asked_row")).select("doc_id", "row", "text", "asked").mapInArrow(extensions(window), "row long, anchor long, hash long, starts array<int>")
+    twice = extended.groupBy("anchor", "hash").agg(F.sum(F.size("starts")).alias("n")).where("n >= 2").select("anchor", "hash")
+    single = join_skewed(extended, twice, ["anchor", "hash"]).select("row", F.explode("starts").alias("first"), F.lit(1).alias("windows"))
     spans = seeded.where("not differ").select("row", "first", "windows").unionByName(single).groupBy(F.col("row").alias("span_row")).agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
     kind = whole.schema["doc_id"].dataType.simpleString()
     return (
