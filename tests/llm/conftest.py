@@ -1,15 +1,7 @@
-import re
-
 import pytest
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def words(text):
-    return WORDS.findall(text or "")
-
-
 @pytest.fixture(scope="session")
 def docs(spark):
     """Make documents from (doc_id, text) pairs, with extra columns whose names operators use inside."""
@@ -22,13 +14,6 @@ def docs(spark):
     return make
 
 
-#: Nulls, blanks, ties, repeated rows, one very long text.
-ODD = [
-    (None, None), (None, "a null id with a line of text\nand more"), (1, None), (2, ""), (3, " \t\n\x0b\x0c\r "), (4, "one"), (5, "one"), (5, "one"), (6, "One two.\n\nOne two.\n"),
-    (7, "word " * 60000), (8, "word " * 60000), (9, "ünï " * 50 + "\nline with enough letters"), (10, "x\nline with enough letters\ny"), (11, "\n\n\n"), (12, "line with enough letters"),
-]
-
-
 @pytest.fixture(scope="session")
 def odd(docs):
     return docs(ODD)

@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import zstandard
-from conftest import ODD, words
+from odd_rows import ODD, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

@@ -4,7 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
-from conftest import ODD, words  # noqa: F401  (tests/llm/conftest.py)
+from odd_rows import ODD, words
 
 from tidewick.llm import exact, lines, rules, substrings
 
