@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bind, fresh, numbered
+from .common import SPACES, bind, fresh, join_skewed, numbered
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -47,7 +47,7 @@ def dedup_lines(
         .select("h1", "h2", F.col("first.doc").alias("home"))
     )
     dropped = (
-        lines.join(frequent, ["h1", "h2"])
+        join_skewed(lines, frequent, ["h1", "h2"])
         .where(~F.col("doc").eqNullSafe(F.col("home")))
         .groupBy(F.col("row").alias(row))
         .agg(F.sort_array(F.collect_list("pos")).alias("gone"))
