@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, numbered
+from .common import cut, fresh, join_skewed, numbered
 from .hashing import chunks, hash_words, mix, sequences, signed
 
 #: Words of a shingle, similarity of a link, bands of a signature and registers of a band.
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 20, 5
+#: Pairs of small buckets that a round compares directly, for each text with a candidate.
+DIRECT_PAIRS = 4
 
 
 def shingle_hashes(at: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,25 +99,42 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(at, words, size)[1])
 
 
-def verifier(size: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The pairs whose sets of shingles have a Jaccard similarity of at least ``similarity``."""
+def comparer(size: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each pair with what both share: whether it is a link, the member's shingles, the common ones, and, if ``wide``, the rest of the member's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot_set = None, None
+        last, pivot_set = None, np.empty(0, dtype=np.uint64)
         for batch in batches:
-            member, pivot = batch.column("member").to_pylist(), batch.column("pivot").to_pylist()
-            good = []
-            for i, (a, b) in enumerate(zip(member, pivot, strict=True)):
-                if b != last:
-                    last, pivot_set = b, shingle_set(batch.column("pivot_text")[i].as_py(), size)
+            linked, sizes, common, rest, wide = [], [], [], [], batch.column("wide").to_pylist()
+            for i, pivot in enumerate(batch.column("pivot").to_pylist()):
+                if pivot != last:
+                    last, pivot_set = pivot, shingle_set(batch.column("pivot_text")[i].as_py(), size)
                 own = shingle_set(batch.column("member_text")[i].as_py(), size)
-                small, large = sorted((len(own), len(pivot_set)))
-                if small < similarity * large:
-                    continue
-                common = len(np.intersect1d(own, pivot_set, assume_unique=True))
-                if common >= similarity * (small + large - common):
-                    good.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in good], pa.int64()), pa.array([b for _, b in good], pa.int64())], names=["u", "v"])
+                other = np.setdiff1d(own, pivot_set, assume_unique=True)
+                both = len(own) - len(other)
+                linked.append(both >= similarity * (len(own) + len(pivot_set) - both))
+                sizes.append(len(own))
+                common.append(both)
+                rest.append(other if wide[i] else other[:0])
+            ends = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, dtype=np.uint64), *rest])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("member"), batch.column("pivot"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), signed(flat))],
+                names=["member", "pivot", "linked", "n", "common", "rest"],
+            )
+
+    return run
+
+
+def shingler(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The distinct shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), size) for text in batch.column("text")]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, dtype=np.uint64), *sets])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), pa.ListArray.from_arrays(pa.array(ends), signed(flat))], names=["rep", "label", "shingles"])
 
     return run
 
@@ -152,11 +171,82 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Merge the classes that links join; ``labels`` is (rep, label)."""
+    """Merge the classes that links (u, v) join; ``labels`` is (rep, label, weight)."""
     named = labels.select(F.col("rep").alias("n"), "label")
     ends = links.join(named.select(F.col("n").alias("u"), F.col("label").alias("lu")), "u").join(named.select(F.col("n").alias("v"), F.col("label").alias("lv")), "v")
     merged = components(ends.select(F.col("lu").alias("u"), F.col("lv").alias("v"))).withColumnRenamed("label", "to")
-    return labels.join(merged, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("to", "label").alias("label"))
+    return labels.join(merged, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("to", "label").alias("label"), "weight")
+
+
+def undecided(members: DataFrame) -> DataFrame:
+    """The rows (bucket, rep, label, ..) of buckets with more than one class."""
+    several = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    return join_skewed(members, several, ["bucket"])
+
+
+def unlike(members: DataFrame) -> DataFrame:
+    """One bucket of those with the same members, which bands of the same texts often have."""
+    key = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x2")]
+    one = members.groupBy("bucket").agg(*key).where("n > 1").groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return members.join(one, "bucket")
+
+
+def needed(n: str, least: str, similarity: float):
+    """Shingles that a text of ``n`` has to share with one of ``least`` or more to be similar."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(n) + F.greatest(F.col(least), F.col(n) * similarity)) - 1e-9)
+
+
+def direct_size(pairs: dict[int, float], budget: float) -> tuple[int, bool]:
+    """How many pairs of different classes a small bucket has at most, and whether all buckets are small.
+
+    ``pairs`` are those of buckets with 2**power pairs at most; small buckets have ``budget`` in total.
+    """
+    total, largest = 0.0, 0
+    for power in sorted(pairs):
+        total += pairs[power]
+        if total > budget:
+            return largest, False
+        largest = 1 << power
+    return largest, True
+
+
+def refine(met: DataFrame, tested: DataFrame, labels: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """New buckets for the pairs of members (bucket, rep, pivot) that the comparisons with pivots leave undecided.
+
+    Only members of different classes matter, and a shingle counts only if texts of two classes have it.
+
+    1. A text with too few such shingles has no link to another class, and leaves.
+    2. Two members share at most what either shares with the pivot, and shingles that the pivot hasn't. A member that
+       has ``common`` shingles of the pivot must share ``short`` = needed - common of the others. Of these it takes the
+       rarest, all but short - 1: two members that share enough have one of the taken in common, which becomes their
+       new bucket, whatever buckets they come from. Members that aren't short of any also meet in a bucket of their own.
+
+    A pivot is in none of the new buckets, so refining ends.
+    """
+    rows = undecided(met.join(labels.select("rep", "label"), "rep"))
+    rows = cut(rows.join(tested.select(F.col("member").alias("rep"), "pivot", "n", "common"), ["rep", "pivot"]), "near-rows")
+    sets = texts.select(F.col("of").alias("rep"), "text").join(rows.select("rep", "label").distinct(), "rep").select("rep", "label", "text")
+    each = sets.mapInArrow(shingler(size), "rep long, label long, shingles array<bigint>").select("rep", "label", F.explode("shingles").alias("s"))
+    across = cut(each.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("df")).where("low < high").select("s", "df"), "near-across")
+    support = each.select("rep", "s").join(across, "s").groupBy("rep").agg(F.count("*").alias("support"))
+    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
+    enough = join_skewed(rows, least, ["bucket"]).join(support, "rep").where(F.col("support") >= needed("n", "least", similarity)).drop("support", "least")
+    left = cut(undecided(enough), "near-left")
+    least = left.groupBy("bucket").agg(F.min("n").alias("least"))
+    short = join_skewed(left, least, ["bucket"]).withColumn("short", needed("n", "least", similarity) - F.col("common")).drop("least")
+    others = short.join(tested.select(F.col("member").alias("rep"), "pivot", "rest"), ["rep", "pivot"]).select("bucket", "rep", "short", F.explode("rest").alias("s"))
+    taken = (
+        others.join(across, "s")
+        .groupBy("bucket", "rep", "short")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("rare"))
+        .withColumn("take", F.size("rare") - F.greatest(F.col("short"), F.lit(1)) + 1)
+        .where("take > 0")
+        .select("rep", F.explode(F.slice("rare", F.lit(1), F.col("take").cast("int"))).alias("r"))
+        .select(F.col("r.s").alias("bucket"), "rep")
+        .distinct()
+    )
+    loose = short.where("short <= 0").select(F.xxhash64("bucket", F.lit("loose")).alias("bucket"), "rep")
+    return taken.unionByName(loose)
 
 
 def classes(whole: DataFrame, *, size: int, similarity: float, bands: int, band_rows: int) -> DataFrame:
@@ -165,34 +255,42 @@ def classes(whole: DataFrame, *, size: int, similarity: float, bands: int, band_
     signed_rows = cut(whole.mapInArrow(signatures(size, bands, band_rows), f"row long, doc_id {kind}, d1 long, d2 long, bands array<bigint>"), "near-signatures")
     # Texts of the same words are one representative from here on.
     reps = signed_rows.groupBy("d1", "d2").agg(F.min("row").alias("rep"))
-    distinct = cut(signed_rows.select("row", "d1", "d2", "bands").join(reps, ["d1", "d2"]).where("row = rep").select("rep", "bands"), "near-reps")
-    buckets = distinct.select("rep", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
-    members = cut(buckets.join(shared, "bucket"), "near-members")
-    labels = cut(members.select("rep").distinct().withColumn("label", F.col("rep")), "near-labels")
+    named = join_skewed(signed_rows.select("row", "doc_id", "d1", "d2"), reps, ["d1", "d2"]).select("row", "doc_id", "rep")
+    buckets = signed_rows.join(named.where("row = rep").select("row", "rep"), "row").select("rep", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    banded = cut(join_skewed(buckets, shared, ["bucket"]), "near-banded")
+    labels = cut(banded.groupBy("rep").agg(F.sum("n").alias("weight")).select("rep", F.col("rep").alias("label"), "weight"), "near-labels")
     texts = cut(whole.select(F.col("row").alias("of"), "text").join(labels.select(F.col("rep").alias("of")), "of"), "near-texts")
-    pivots = 1
+    members = cut(unlike(banded.select("bucket", "rep")), "near-members")
+    budget = DIRECT_PAIRS * labels.count()
     while True:
-        # A pivot meets every member of its bucket that isn't in its class yet, and then leaves the bucket: all of its
-        # pairs there are decided. Rounds end when each bucket is one class or has no member left.
-        open_members = members.join(labels, "rep")
-        mixed = open_members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        open_members = cut(open_members.join(mixed, "bucket"), "near-open")
-        if open_members.isEmpty():
+        open_members = cut(undecided(members.join(labels, "rep")), "near-open")
+        per_class = open_members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        counted = per_class.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("across"), F.max_by("label", "n").alias("major"))
+        by_size = counted.groupBy(F.ceil(F.log2("across")).cast("int").alias("power")).agg(F.sum("across").alias("pairs")).collect()
+        if not by_size:
             break
-        draws = [F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("draw"), F.col("rep"), F.col("label"))).alias(f"p{j}") for j in range(pivots)]
-        chosen = cut(
-            open_members.groupBy("bucket").agg(*draws).select("bucket", F.explode(F.array_distinct(F.array(*[F.struct(f"p{j}.rep", f"p{j}.label") for j in range(pivots)]))).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.label").alias("pivot_label")),
-            "near-pivots",
+        largest, all_direct = direct_size({r["power"]: r["pairs"] for r in by_size}, budget)
+        sized = join_skewed(open_members, counted, ["bucket"])
+        small = sized.where(F.col("across") <= largest)
+        # All but the largest class of a small bucket meet the members of other classes.
+        again = small.select("bucket", F.col("rep").alias("pivot"), F.col("label").alias("pivot_label"))
+        direct = (
+            small.where("label <> major").join(again, "bucket").where("label <> pivot_label and (pivot_label = major or rep < pivot)").select(F.col("rep").alias("member"), "pivot", F.lit(False).alias("wide"))
         )
-        pairs = open_members.join(chosen, "bucket").where("label <> pivot_label").select(F.col("rep").alias("member"), "pivot").distinct()
+        # The pivot of a large bucket is the member that shares most buckets with most others; all others are compared with it.
+        large = sized.where(F.col("across") > largest)
+        pivots = large.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "rep")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"))
+        met = cut(join_skewed(large.select("bucket", "rep"), pivots, ["bucket"]).where("rep <> pivot"), "near-met")
+        pairs = met.select(F.col("rep").alias("member"), "pivot", F.lit(True).alias("wide")).unionByName(direct).groupBy("member", "pivot").agg(F.max("wide").alias("wide"))
         sides = texts.select(F.col("of").alias("member"), F.col("text").alias("member_text")), texts.select(F.col("of").alias("pivot"), F.col("text").alias("pivot_text"))
-        links = cut(pairs.join(sides[0], "member").join(sides[1], "pivot").select("member", "pivot", "member_text", "pivot_text").mapInArrow(verifier(size, similarity), "u long, v long"), "near-links")
-        members = cut(open_members.select("bucket", "rep").join(chosen.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti"), "near-members")
-        labels = cut(relabel(labels, links), "near-labels")
-        pivots *= 2
-    rows = signed_rows.select("row", "doc_id", "d1", "d2").join(reps, ["d1", "d2"])
-    return rows.join(labels.withColumnRenamed("rep", "of"), F.col("rep") == F.col("of"), "left").select("row", "doc_id", F.coalesce("label", "rep").alias("label"))
+        both = pairs.join(sides[0], "member").join(sides[1], "pivot").select("member", "pivot", "wide", "member_text", "pivot_text")
+        tested = cut(both.mapInArrow(comparer(size, similarity), "member long, pivot long, linked boolean, n long, common long, rest array<bigint>"), "near-tested")
+        labels = cut(relabel(labels, tested.where("linked").select(F.col("member").alias("u"), F.col("pivot").alias("v"))), "near-labels")
+        if all_direct:
+            break
+        members = cut(unlike(refine(met, tested, labels, texts, size, similarity)), "near-members")
+    return named.join(labels.withColumnRenamed("rep", "of"), F.col("rep") == F.col("of"), "left").select("row", "doc_id", F.coalesce("label", "rep").alias("label"))
 
 
 def dedup_near(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -204,8 +302,10 @@ def dedup_near(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", s
 
     Candidates come from ProbMinHash signatures of the shingles, weighted by 1 + log of their count, in bands: two
     texts of probability Jaccard similarity j meet with probability 1 - (1 - j**band_rows)**bands, 0.9996 at 0.8.
-    Candidates are verified exactly against pivots of their bucket, in rounds that double the pivots, until no pair of
-    a bucket is undecided; within a class no pairs are made.
+    Members of small buckets are compared with those of other classes, all of larger ones with one of them, its pivot;
+    how many pairs small buckets may have in all is in proportion to the texts. What the comparisons with a pivot say about the other pairs is
+    used to prove most of them unlike; those left meet in narrower buckets, until no pair of two classes is undecided.
+    Within a class no pairs are made, and no link between candidates is lost.
 
     Texts of the same words are one class, so are all texts without words (null, empty, blank). Texts of fewer words
     than a shingle are one shingle. A null id is larger than others; a class of null ids has a null name. An empty
@@ -216,5 +316,5 @@ def dedup_near(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", s
     found = classes(whole.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size=size, similarity=similarity, bands=bands, band_rows=band_rows)
     found = cut(found, "near-classes")
     heads = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("head"), F.count("*").alias("class_size"))
-    verdict = found.join(heads, "label").select(F.col("row").alias(row), F.col("head.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("head.row")).alias("kept"))
+    verdict = join_skewed(found, heads, ["label"]).select(F.col("row").alias(row), F.col("head.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("head.row")).alias("kept"))
     return whole.drop("class_id", "class_size", "kept").join(verdict, row).drop(row)
