@@ -234,10 +234,12 @@ def refine(met: DataFrame, tested: DataFrame, labels: DataFrame, texts: DataFram
     left = cut(undecided(enough), "near-left")
     least = left.groupBy("bucket").agg(F.min("n").alias("least"))
     short = join_skewed(left, least, ["bucket"]).withColumn("short", needed("n", "least", similarity) - F.col("common")).drop("least")
-    others = short.join(tested.select(F.col("member").alias("rep"), "pivot", "rest"), ["rep", "pivot"]).select("bucket", "rep", "short", F.explode("rest").alias("s"))
+    # A member that meets its pivot in several buckets takes what the least demanding of them asks for.
+    shortest = short.groupBy("rep", "pivot").agg(F.min("short").alias("short"))
+    others = shortest.join(tested.select(F.col("member").alias("rep"), "pivot", "rest"), ["rep", "pivot"]).select("rep", "pivot", "short", F.explode("rest").alias("s"))
     taken = (
         others.join(across, "s")
-        .groupBy("bucket", "rep", "short")
+        .groupBy("rep", "pivot", "short")
         .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("rare"))
         .withColumn("take", F.size("rare") - F.greatest(F.col("short"), F.lit(1)) + 1)
         .where("take > 0")
