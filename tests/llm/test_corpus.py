@@ -282,6 +282,16 @@ def test_near_copies_against_all_pairs(docs):
     assert found_classes(near.dedup_near(docs(rows)).collect()) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("direct", [0, 0.3])
+def test_pivots_and_narrow_buckets_lose_no_link(docs, monkeypatch, direct):
+    """One family whose members are near the border of similarity, with few pairs compared directly or none."""
+    monkeypatch.setattr(near, "DIRECT_PAIRS", direct)
+    r = random.Random(3)
+    base = [f"w{r.randrange(500)}" for _ in range(120)]
+    rows = [(k, edited(r, base, r.choice([0.01, 0.02, 0.025, 0.03, 0.05]))) for k in range(16)]
+    assert found_classes(near.dedup_near(docs(rows)).collect()) == brute_classes(rows)
+
+
 def test_near_copies_of_odd_rows(odd, docs):
     found = near.dedup_near(odd).collect()
     assert len(found) == len(ODD)
