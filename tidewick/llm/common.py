@@ -36,24 +36,13 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Plan nodes that give the same rows in the same partitions each time.
-STEADY = {"Relation", "RelationV2", "LocalRelation", "Project", "Filter"}
-
-
-def steady(docs: DataFrame) -> bool:
-    """Whether ``docs`` is a scan with projections and filters at most."""
-    lines = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    nodes = [line.lstrip(" :+-").replace("(", " ").replace("[", " ").split() for line in lines]
-    return all(n[0] in STEADY for n in nodes if n)
-
-
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """Row numbers that are the same at each evaluation.
+    """``docs`` with row numbers, written to the shared folder once.
 
-    Scans number their rows alike each time. What comes out of joins, shuffles or samples may not, and is written to
-    the shared folder first.
+    A number depends on how a scan is split, which may follow the cores that are there when it runs; so numbers are
+    read from the files, by all sides of a join, and never computed again.
     """
-    return (docs if steady(docs) else cut(docs, "numbered")).withColumn(name, F.monotonically_increasing_id())
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", compression="zstd")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,11 +60,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewick/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps and lost executors start from the files."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 
