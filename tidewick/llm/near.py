@@ -70,25 +70,45 @@ def prob_min_hash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, rows
     return signature.reshape(rows, registers)
 
 
+def band_keys(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int, bands: int, band_rows: int) -> np.ndarray:
+    """A hash for each band of each row's signature."""
+    found = prob_min_hash(doc, element, weight, rows, bands * band_rows).reshape(rows, bands, band_rows)
+    keys = np.zeros((rows, bands), dtype=np.uint64)
+    for k in range(band_rows):
+        keys = mix(keys + found[:, :, k] + np.arange(1, bands + 1, dtype=np.uint64))
+    return keys
+
+
 def signatures(size: int, bands: int, band_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(row, doc_id, two hashes of the whole word sequence, band hashes); no bands without words."""
+    """(row, doc_id, two hashes of the whole word sequence, band hashes); no bands without words.
+
+    Links compare sets, so each text has the bands of a signature in which all shingles weigh the same, too. Where no
+    shingle repeats, both signatures are one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 whole = sequences(chunk.words)(chunk.at[:-1], chunk.at[1:])
                 again = sequences(mix(chunk.words + np.uint64(1)))(chunk.at[:-1], chunk.at[1:])
-                doc, element = shingle_hashes(chunk.at, chunk.words, size)
                 has = np.diff(chunk.at) > 0
                 keys = np.zeros((chunk.rows, bands), dtype=np.uint64)
+                even = keys
+                doc, element = shingle_hashes(chunk.at, chunk.words, size)
                 if len(doc):
-                    found = prob_min_hash(*weighted(doc, element), chunk.rows, bands * band_rows).reshape(chunk.rows, bands, band_rows)
-                    for k in range(band_rows):
-                        keys = mix(keys + found[:, :, k] + np.arange(1, bands + 1, dtype=np.uint64))
-                ends = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
+                    doc, element, weight = weighted(doc, element)
+                    keys = band_keys(doc, element, weight, chunk.rows, bands, band_rows)
+                    even = keys.copy()
+                    repeats = np.unique(doc[weight > 1])
+                    mine = np.isin(doc, repeats)
+                    if len(repeats):
+                        even[repeats] = band_keys(np.searchsorted(repeats, doc[mine]), element[mine], np.ones(int(mine.sum())), len(repeats), bands, band_rows)
+                # A key of both signatures counts once: equal bands of a text would look like two texts.
+                both, held = np.hstack([keys, even]), np.hstack([np.repeat(has[:, None], bands, axis=1), even != keys])
+                ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
                 rows = batch.slice(chunk.first, chunk.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("row"), rows.column("doc_id"), signed(whole), signed(again), pa.ListArray.from_arrays(pa.array(ends), signed(keys[has].ravel()))], names=["row", "doc_id", "d1", "d2", "bands"]
+                    [rows.column("row"), rows.column("doc_id"), signed(whole), signed(again), pa.ListArray.from_arrays(pa.array(ends), signed(both[held]))], names=["row", "doc_id", "d1", "d2", "bands"]
                 )
 
     return run
@@ -302,8 +322,9 @@ def dedup_near(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", s
     (words end at ASCII white space and are compared as they are); classes are the components of the links. A class is
     named by its smallest id, and the row with that id (the first, if it repeats) is kept.
 
-    Candidates come from ProbMinHash signatures of the shingles, weighted by 1 + log of their count, in bands: two
-    texts of probability Jaccard similarity j meet with probability 1 - (1 - j**band_rows)**bands, 0.9996 at 0.8.
+    Candidates come from ProbMinHash signatures of the shingles in bands: two texts of probability Jaccard similarity j
+    meet with probability 1 - (1 - j**band_rows)**bands, 0.9996 at 0.8. A text has two signatures, one of equal weights,
+    whose similarity is that of links, and one weighted by 1 + log of the counts, which brings further candidates.
     Members of small buckets are compared with those of other classes, all of larger ones with one of them, its pivot;
     how many pairs small buckets may have in all is in proportion to the texts. What the comparisons with a pivot say about the other pairs is
     used to prove most of them unlike; those left meet in narrower buckets, until no pair of two classes is undecided.
