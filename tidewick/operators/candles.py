@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal, localcontext
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,42 +78,67 @@ def dusty(trades: DataFrame) -> DataFrame:
     return trades.where((F.col("price") <= 0) | (F.col("i_quote_amount") <= 0))
 
 
+MONEY = ("lowest_price", "highest_price", "open_price", "close_price", "base_volume", "quote_volume")
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candles of trades that come in order of key, time and id; one candle is open at a time, whatever its trades.
+
+    Nulls behave as in SQL: a comparison with one doesn't hold, a sum with one is null.
+    """
+    key = lo = hi = first = close = base = quote = second = None
+    anew, kind = True, pa.timestamp("us", tz="UTC")
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 9
+        types = [pa.string(), pa.int32(), pa.int64(), *[pa.decimal128(38, 18)] * 6]
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        arrays[2] = arrays[2].cast(kind)
+        return pa.RecordBatch.from_arrays(arrays, names=[*KEYS, *MONEY])
+
+    for batch in batches:
+        kind, done = batch.schema.field("start_at").type, []
+        columns = [batch.column(c) for c in (*KEYS, "executed_at", "p", "b", "q")]
+        lists = [(c.cast(pa.int64()) if pa.types.is_timestamp(c.type) else c).to_pylist() for c in columns]
+        with localcontext(prec=80):
+            for market, length, start, time, p, b, q in zip(*lists, strict=True):
+                if (market, length, start) != key:
+                    if key is not None:
+                        done.append((*key, lo, hi, first, close, base, quote))
+                    key, first, second, anew = (market, length, start), p, None, True
+                    lo = hi = Decimal(0)
+                if time != second:
+                    second, close = time, p
+                lo = p if lo == 0 or (lo is not None and p is not None and p < lo) else lo
+                hi = p if hi == 0 or (hi is not None and p is not None and p > hi) else hi
+                base = b if anew else None if base is None or b is None else base + b
+                quote = q if anew else None if quote is None or q is None else quote + q
+                anew = p == 0 if lo is not None and lo == hi else quote == 0
+        yield batch_of(done)
+    if key is not None:
+        yield batch_of([(*key, lo, hi, first, close, base, quote)])
+
+
 def folded(trades: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """The candles that hold a dusty trade, folded trade by trade.
 
     The running average decides: where it is zero, volumes start anew with the next trade, and a zero low or high
-    counts as unset. Only markets and days with a dusty trade are read; these are broadcast if they are few.
+    counts as unset. Only trades of candles with a dusty trade are sorted, by candle, time and id, and pass the fold as
+    a stream; no candle's trades are collected. Markets and days with a dusty trade are broadcast if they are few.
     """
     day = bucket_start(F.col("executed_at"), max(LENGTHS)).alias("day")
     days = dusty(trades).select("market_id", day).distinct()
     if len(days.take(BROADCAST_DAYS + 1)) <= BROADCAST_DAYS:
         days = F.broadcast(days)
     mine = trades.withColumn("day", day).join(days, ["market_id", "day"], "left_semi")
-    mine = mine.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).withColumn("start_at", bucket_start(F.col("executed_at"), F.col("length")))
-    rows = mine.groupBy(*KEYS).agg(
-        F.sort_array(F.collect_list(F.struct("executed_at", "id", F.col("price").cast("decimal(38,18)").alias("p"), F.col("amount").cast("decimal(38,18)").alias("b"), F.col("i_quote_amount").cast("decimal(38,18)").alias("q")))).alias("ts"),
-        F.min(F.least("price", "i_quote_amount")).alias("least"),
-    ).where("least <= 0")
-    zero = F.lit(0).cast("decimal(38,18)")
-    start = F.struct(zero.alias("lo"), zero.alias("hi"), zero.alias("b"), zero.alias("q"), F.lit(True).alias("anew"))
-
-    def step(acc: Column, t: Column) -> Column:
-        lo = F.when((acc["lo"] == 0) | (t["p"] < acc["lo"]), t["p"]).otherwise(acc["lo"])
-        hi = F.when((acc["hi"] == 0) | (t["p"] > acc["hi"]), t["p"]).otherwise(acc["hi"])
-        b = F.when(acc["anew"], t["b"]).otherwise((acc["b"] + t["b"]).cast("decimal(38,18)"))
-        q = F.when(acc["anew"], t["q"]).otherwise((acc["q"] + t["q"]).cast("decimal(38,18)"))
-        return F.struct(lo.alias("lo"), hi.alias("hi"), b.alias("b"), q.alias("q"), F.when(lo == hi, t["p"] == 0).otherwise(q == 0).alias("anew"))
-
-    last_second = F.element_at("ts", -1)["executed_at"]
-    return rows.withColumn("acc", F.aggregate("ts", start, step)).select(
-        *KEYS,
-        F.col("acc.lo").alias("lowest_price"),
-        F.col("acc.hi").alias("highest_price"),
-        F.element_at("ts", 1)["p"].alias("open_price"),
-        F.filter("ts", lambda t: t["executed_at"] == last_second)[0]["p"].alias("close_price"),
-        F.col("acc.b").alias("base_volume"),
-        F.col("acc.q").alias("quote_volume"),
-    )
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).withColumn("start_at", bucket_start(F.col("executed_at"), F.col("length")))
+
+    money = [F.col(c).cast("decimal(38,18)").alias(n) for c, n in (("price", "p"), ("amount", "b"), ("i_quote_amount", "q"))]
+    rows = keyed(mine).join(keyed(dusty(trades)).select(*KEYS).distinct(), list(KEYS), "left_semi").select(*KEYS, "executed_at", "id", *money)
+    ordered = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "executed_at", "id", "p", "b", "q")
+    return ordered.mapInArrow(_fold, "market_id string, length int, start_at timestamp, " + ", ".join(f"{m} decimal(38,18)" for m in MONEY))
 
 
 def candles(trades: DataFrame, lengths: tuple[int, ...] = LENGTHS, *, exact: bool = True, strict: bool = False) -> DataFrame:
@@ -124,7 +153,7 @@ def candles(trades: DataFrame, lengths: tuple[int, ...] = LENGTHS, *, exact: boo
     if not exact or dusty(trades).isEmpty():
         return _averaged(rows, strict).select(*OUT)
     plain = (F.col("lowest_price") > 0) & (F.col("least_quote") > 0)
-    money = [F.col(c).cast("decimal(38,18)").alias(c) for c in ("lowest_price", "highest_price", "open_price", "close_price", "base_volume", "quote_volume")]
+    money = [F.col(c).cast("decimal(38,18)").alias(c) for c in MONEY]
     return _averaged(rows.where(plain).select(*KEYS, *money).unionByName(folded(trades, lengths)), strict).select(*OUT)
 
 
