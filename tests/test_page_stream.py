@@ -1,0 +1,63 @@
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from urllib.parse import parse_qs, urlparse
+
+import pytest
+
+from tidewick.sources.pages import PagedJson, PageStream
+
+TRADES = {"a/b": list(range(50, 0, -1)), "c/d": [7, 7, 3], "e/f": []}
+
+
+def page(market, limit, key):
+    at = int(key or 0)
+    rows = [{"executed_at": t, "price": "1"} for t in TRADES[market][at : at + limit]]
+    return {"list": rows, "next_key": str(at + limit) if at + limit < len(TRADES[market]) else ""}
+
+
+def test_the_driver_reads_one_page_of_a_market():
+    asked = []
+
+    def get(url, market, limit, key):
+        asked.append(market)
+        return page(market, limit, key)
+
+    stream = PageStream({"url": "u", "markets": ",".join(TRADES), "limit": "4"}, get)
+    end = stream.latestOffset()
+    assert end == {"a/b": 50, "c/d": 7, "e/f": 0} and sorted(asked) == sorted(TRADES)
+    spans = stream.partitions(stream.initialOffset(), {**end, "a/b": 20})
+    assert len(asked) == 3
+    assert [[r[-1] for r in stream.read(s)] for s in spans] == [list(range(20, 0, -1)), [7, 7, 3], []]
+    (again, *_) = stream.partitions({**end, "a/b": 20}, end)
+    assert [r[-1] for r in stream.read(again)] == list(range(50, 19, -1))
+
+
+@pytest.fixture
+def url():
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            body = json.dumps(page(q["market"], int(q["limit"]), q.get("key", ""))).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_stream_lands_all_trades(spark, tmp_path, url):
+    spark.dataSource.register(PagedJson)
+    rows = spark.readStream.format("paged_json").option("url", url).option("markets", "a/b,c/d,e/f").option("limit", "4").load()
+    out = str(tmp_path / "out")
+    query = rows.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).start(out)
+    query.processAllAvailable()
+    query.stop()
+    found = sorted((r.market_id, r.executed_at) for r in spark.read.parquet(out).collect())
+    assert found == sorted((m, t) for m, times in TRADES.items() for t in times)

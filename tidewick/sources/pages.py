@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 FIELDS = "market_id string, order_type string, price string, amount string, maker string, taker string, executed_at bigint"
 NAMES = tuple(f.split()[0] for f in FIELDS.split(", "))
@@ -53,22 +53,37 @@ class PageReader(DataSourceReader):
         return trades(self.options, partition.market, int(self.options.get("since", "0")))
 
 
-class PageStream(SimpleDataSourceStreamReader):
-    def __init__(self, options: dict[str, str]):
-        self.options = options
+class Span(Market):
+    """The trades of a market from the second ``since`` to ``until``, both included."""
+
+    def __init__(self, market: str, since: int, until: int):
+        super().__init__(market)
+        self.since, self.until = since, until
+
+
+class PageStream(DataSourceStreamReader):
+    """The driver holds offsets and takes the newest trade of a market's first page; tasks follow the pages."""
+
+    def __init__(self, options: dict[str, str], get=fetch):
+        self.options, self.get = options, get
+        self.newest = self.initialOffset()
 
     def initialOffset(self) -> dict:
         return {m: 0 for m in self.options["markets"].split(",")}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = [row for market, since in start.items() for row in trades(self.options, market, since)]
+    def latestOffset(self) -> dict:
         place = NAMES.index("executed_at")
-        newest = {m: max([since, *(r[place] for r in rows if r[0] == m)]) for m, since in start.items()}
-        return iter(rows), newest
+        for market, since in self.newest.items():
+            row = next(trades(self.options, market, since, self.get), None)
+            self.newest[market] = row[place] if row else since
+        return dict(self.newest)
+
+    def partitions(self, start: dict, end: dict) -> list[Span]:
+        return [Span(m, start.get(m, 0), until) for m, until in end.items()]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+    def read(self, partition: Span) -> Iterator[tuple]:
         place = NAMES.index("executed_at")
-        return iter([row for market, since in start.items() for row in trades(self.options, market, since) if row[place] <= end[market]])
+        return (row for row in trades(self.options, partition.market, partition.since, self.get) if row[place] <= partition.until)
 
 
 class PagedJson(DataSource):
@@ -82,5 +97,5 @@ class PagedJson(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return PageReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return PageStream(self.options)
