@@ -395,12 +395,22 @@ def upsert_markets(spark, sf_dir):
     return ntz(sinks.upsert_markets(old, new).select("id", "market_id", "created_by", "i_created_at"))
 
 
+#: Trades of a landed file, about.
+FILE_ROWS = 50_000
+
+
+def scattered(trades: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Trades in no order of time, in at least three partitions whose size doesn't grow with the table."""
+    late = F.unix_seconds("executed_at") % 5 == 0
+    return trades.repartition(max(3, -(-trades.count() // file_rows)), late, "id")
+
+
 @query
 def candles_streamed(spark, sf_dir):
     """Candles of a stream of trades that lands in several files, in no order of time, by recomputing touched days."""
     landed, stored, out, state = (shared_path(spark, f"stream-{n}") for n in ("landed", "trades", "candles", "state"))
     trades = derived.trades(spark, sf_dir)
-    trades.withColumn("late", F.unix_seconds("executed_at") % 5 == 0).repartition(3, "late").drop("late").write.parquet(landed)
+    scattered(trades).write.parquet(landed)
     stream = spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     listener.run(stream, stored, out, state).awaitTermination()
     return ntz(spark.read.parquet(out).select(*ohlc.OUT))
