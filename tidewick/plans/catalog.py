@@ -318,6 +318,24 @@ def order_conversion(spark, sf_dir):
     return rows.groupBy("market_id", "order_type").agg(F.count("*").alias("levels"), F.min("price").cast("double").alias("lowest"), F.max("price_dec").alias("highest"))
 
 
+def _rows(converted: DataFrame, *names: str) -> DataFrame:
+    money = [F.col(c).cast("double").alias(c) for c in ("price", "amount", "i_quote_amount")]
+    return converted.select("id", "market_id", *names, *money)
+
+
+@query
+def unit_conversion_compat_rows(spark, sf_dir):
+    """All trades that :func:`unit_conversion_compat` sums up."""
+    return _rows(assets.convert_trades(derived.raw_trades(spark, sf_dir), _units(spark, sf_dir), compat=True))
+
+
+@query
+def order_conversion_rows(spark, sf_dir):
+    """All levels that :func:`order_conversion` sums up."""
+    raw = derived.raw_trades(spark, sf_dir).select("id", "base", "quote", "order_type", "price", "amount")
+    return _rows(assets.convert_orders(raw, _units(spark, sf_dir), AS_OF), "order_type")
+
+
 @query
 def strip_html_pages(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", strip_html(F.col("html")).alias("text"))
@@ -360,6 +378,14 @@ def event_listen(spark, sf_dir):
     return heard.select("type", listener.event_market().alias("market_id")).groupBy("type", "market_id").agg(F.count("*").alias("n"))
 
 
+@query
+def event_listen_rows(spark, sf_dir):
+    """All events that :func:`event_listen` counts."""
+    events = derived.events(spark, sf_dir)
+    heard = listener.listen(events, events.where(F.col("type").endswith("ExecutedEvent")), "trade.Order")
+    return heard.select(F.col("attributes")[0]["value"].alias("event_id"), "type", listener.event_market().alias("market_id"))
+
+
 @query
 def upsert_candles(spark, sf_dir):
     hours = _candles(spark, sf_dir, 60)

@@ -184,6 +184,12 @@ SELECT count(*) = 0 AS is_healthy, coalesce(string_agg(error, '' ORDER BY kind,
     "quote_amount": f"""{_CONVERTED} SELECT id, market_id, ((p4::HUGEINT * amount) // 10000)::DOUBLE / pow(10.0, qe) AS quote_amount FROM c""",
     "order_conversion": f"""{_CONVERTED}, s AS (SELECT *, CASE WHEN be - qe >= 4 THEN p4::DOUBLE * pow(10.0, be - qe - 4) ELSE p4::DOUBLE / pow(10.0, 4 - be + qe) END AS price FROM c)
 SELECT market_id, order_type, count(*) AS levels, min(price) AS lowest, max(price) AS highest FROM s GROUP BY ALL""",
+    "unit_conversion_compat_rows": f"""{_CONVERTED} SELECT id, market_id, amount::DOUBLE / pow(10.0, be) AS amount,
+  CASE WHEN be - qe <= -3 THEN 0.0 WHEN be - qe >= 4 THEN p4::DOUBLE * pow(10.0, be - qe - 4) ELSE p4::DOUBLE / pow(10.0, 4 - be + qe) END AS price,
+  CASE WHEN be - qe <= -3 THEN 0.0 ELSE ((p4::HUGEINT * amount) // 10000)::DOUBLE / pow(10.0, qe) END AS i_quote_amount FROM c""",
+    "order_conversion_rows": f"""{_CONVERTED}, s AS (SELECT *, CASE WHEN be - qe >= 4 THEN p4::DOUBLE * pow(10.0, be - qe - 4) ELSE p4::DOUBLE / pow(10.0, 4 - be + qe) END AS shown FROM c)
+SELECT id, market_id, order_type, shown AS price, amount::DOUBLE / pow(10.0, be) AS amount,
+  CASE WHEN shown = 0 THEN 0.0 ELSE ((p4::HUGEINT * amount) // 10000)::DOUBLE / pow(10.0, qe) END AS i_quote_amount FROM s""",
     "strip_html": f"SELECT page_id, {_strip('html')} AS text FROM pages",
     "short_description": f"WITH s AS (SELECT page_id, {_strip('html')} AS t FROM pages) SELECT page_id, {_short('t')} AS description FROM s",
     "shorten_documents": f"SELECT doc_id, {_short('text')} AS short FROM documents",
@@ -197,6 +203,10 @@ UNION ALL SELECT NULL, 'markets' FROM e WHERE event_type = 'signup'""",
     "event_listen": """SELECT 'chain.trade.' || kind AS type, market_id, sum(n)::BIGINT AS n FROM (
   SELECT CASE event_type WHEN 'click' THEN 'OrderSavedEvent' WHEN 'error' THEN 'OrderCanceledEvent' WHEN 'purchase' THEN 'OrderExecutedEvent' WHEN 'view' THEN 'OrderSavedEvent' END AS kind,
          CASE WHEN event_type = 'error' THEN 'none' ELSE event_type END || '/usd' AS market_id, CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS n FROM events WHERE event_type <> 'signup') GROUP BY ALL""",
+    "event_listen_rows": """WITH heard AS (SELECT event_id::VARCHAR AS event_id, event_type,
+  'chain.trade.' || CASE event_type WHEN 'error' THEN 'OrderCanceledEvent' WHEN 'purchase' THEN 'OrderExecutedEvent' ELSE 'OrderSavedEvent' END AS type,
+  CASE WHEN event_type = 'error' THEN 'none' ELSE event_type END || '/usd' AS market_id FROM events WHERE event_type <> 'signup')
+SELECT event_id, type, market_id FROM heard UNION ALL SELECT event_id, type, market_id FROM heard WHERE event_type = 'purchase'""",
     "upsert_candles": f"""WITH {TRADES}, {CANDLES}, o AS (SELECT * FROM candles WHERE length = 60 AND start_at < TIMESTAMP '2024-01-20'), n AS (SELECT * FROM candles WHERE length = 60 AND start_at >= TIMESTAMP '2024-01-10')
 SELECT market_id, start_at, cl::DOUBLE AS close_price, CASE WHEN o.market_id IS NOT NULL THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '{AS_OF}' END AS i_created_at,
   CASE WHEN o.market_id IS NOT NULL AND n.market_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' END AS i_updated_at FROM o FULL JOIN n USING (market_id, start_at, cl)""",
