@@ -282,13 +282,14 @@ def test_near_copies_against_all_pairs(docs):
     assert found_classes(near.dedup_near(docs(rows)).collect()) == brute_classes(rows)
 
 
-@pytest.mark.parametrize("direct", [0, 0.3])
-def test_pivots_and_narrow_buckets_lose_no_link(docs, monkeypatch, direct):
-    """One family whose members are near the border of similarity, with few pairs compared directly or none."""
-    monkeypatch.setattr(near, "DIRECT_PAIRS", direct)
+@pytest.mark.parametrize("members, shingles", [(3, 10**9), (512, 400)])
+def test_tiles_lose_no_link(docs, monkeypatch, members, shingles):
+    """A family whose members are near the border of similarity, in buckets of several tiles."""
+    monkeypatch.setattr(near, "TILE_MEMBERS", members)
+    monkeypatch.setattr(near, "TILE_SHINGLES", shingles)
     r = random.Random(3)
     base = [f"w{r.randrange(500)}" for _ in range(120)]
-    rows = [(k, edited(r, base, r.choice([0.01, 0.02, 0.025, 0.03, 0.05]))) for k in range(16)]
+    rows = [(k, edited(r, base, r.choice([0.01, 0.02, 0.025, 0.03, 0.05]))) for k in range(30)]
     assert found_classes(near.dedup_near(docs(rows)).collect()) == brute_classes(rows)
 
 

@@ -17,3 +17,13 @@ def test_copies_that_repeat_a_passage_are_candidates(docs):
         rows += [(2 * family, " ".join(base)), (2 * family + 1, " ".join(again[:passage] * r.choice([5, 20, 100]) + again[passage:]))]
     want = brute_classes(rows)
     assert len(want) == 60 and found_classes(near.dedup_near(docs(rows)).collect()) == want
+
+
+def test_passages_that_one_copy_repeats_300_times(docs):
+    """Sixty pairs of Jaccard 0.96 and more whose weights by counts are far apart."""
+    rows = []
+    for family in range(60):
+        base = [f"f{family}w{k}" for k in range(204)]
+        rows += [(2 * family, " ".join(base)), (2 * family + 1, " ".join(base[:64] * 300 + base[64:]))]
+    found = found_classes(near.dedup_near(docs(rows)).collect())
+    assert len(found) == 60 and all(len(g) == 2 for g in found)

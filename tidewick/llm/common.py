@@ -45,6 +45,11 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return cut(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", compression="zstd")
 
 
+def row_key(*columns: Column) -> list[Column]:
+    """``k1`` and ``k2``, two hashes of some columns of a row: a key that every scan computes alike, equal for equal rows."""
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(1), *columns).alias("k2")]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a temporary one only where none is set, in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -1,19 +1,24 @@
-"""Hashes of words and word sequences, for many texts at once."""
+"""Hashes of words and of windows of words, for many texts at once."""
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import sha256
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-#: Text bytes that are hashed together; a longer text is a chunk of its own.
+#: Text bytes whose words are held together.
 CHUNK_BYTES = 1 << 20
+#: Different words that a task remembers.
+CACHED_WORDS = 400_000
 
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
-_BYTES = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,70 +28,109 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in order. The scrambling after each step leaves no sum or product for texts to agree in."""
+    return mix(mix(left + _LEFT) * _RIGHT + right)
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1), modulo 2**64; kept in sizes of powers of two."""
-    return _powers(int(base), 1 << max(16, int(n - 1).bit_length()))[:n]
+def windows(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each ``size`` consecutive words, made of windows of 1, 2, 4, .. words, each of two halves."""
+    n = max(0, len(words) - size + 1)
+    out, reach, part, span = None, 0, words, 1
+    while True:
+        if size & span:
+            next_part = part[reach : reach + n]
+            out = next_part if out is None else joined(out, next_part)
+            reach += span
+        if span * 2 > size:
+            return out
+        part, span = joined(part[: max(0, len(part) - span)], part[span:]), span * 2
 
 
-class Rolling:
-    """Hash of any slice of a sequence of 64-bit values, from one pass over it."""
+class Vocabulary(dict):
+    """Numbers of words as bytes; a number stands for the two halves of the word's 128-bit hash."""
 
-    def __init__(self, values: np.ndarray, base: np.uint64):
-        n = len(values)
-        self.inverse = powers(np.uint64(pow(int(base), -1, 1 << 64)), n + 1)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values * powers(base, n + 1)[:n], dtype=np.uint64, out=self.sums[1:])
+    def __init__(self) -> None:
+        self.low, self.high = array("Q"), array("Q")
 
-    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stop] - self.sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64) * _BASE)
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh3_128_intdigest(word)
+        self.low.append(found & 0xFFFFFFFFFFFFFFFF)
+        self.high.append(found >> 64)
+        self[word] = len(self.low) - 1
+        return self[word]
+
+    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        found = np.frombuffer(self.low, dtype=np.uint64)[numbers] if words else np.empty(0, dtype=np.uint64), np.frombuffer(self.high, dtype=np.uint64)[numbers] if words else np.empty(0, dtype=np.uint64)
+        if len(self) > CACHED_WORDS:
+            self.clear()
+            self.low, self.high = array("Q"), array("Q")
+        return found
 
 
 class Chunk(NamedTuple):
-    """Some neighbouring rows of a batch: ``words`` has the hash of each word, row i's are ``words[at[i]:at[i + 1]]``."""
+    """Some neighbouring rows of a batch. Row i's words are ``words[at[i]:at[i + 1]]``; ``others`` are their second hashes."""
 
     first: int
     at: np.ndarray
     words: np.ndarray
+    others: np.ndarray
+    digests: list[bytes]
 
     @property
     def rows(self) -> int:
         return len(self.at) - 1
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, hashes) of the words of some texts; words end at ASCII white space."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(blank, prepend=True))
-    starts, stops = edge[0::2], edge[1::2]
-    words = Rolling(_BYTES[data], _BASE)(starts, stops)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return np.concatenate([[0], np.searchsorted(starts, ends)]).astype(np.int64), words
+def pieces(body: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, part by part; words end at ASCII white space."""
+    at = 0
+    while at < len(body):
+        stop = at + CHUNK_BYTES
+        end = _SPACE.search(body, stop) if stop < len(body) else None
+        stop = end.start() if end else len(body)
+        yield body[at:stop].split()
+        at = stop
 
 
-def chunks(texts: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The texts of a batch, hashed chunk by chunk; null is empty."""
-    held, size, first = [], 0, 0
-    for i, text in enumerate(texts):
-        body = (text.as_py() or "").encode()
-        if held and size + len(body) > chunk_bytes:
-            yield Chunk(first, *hash_words(held))
-            held, size, first = [], 0, i
-        held.append(body)
-        size += len(body) + 1
-    if held:
-        yield Chunk(first, *hash_words(held))
+def chunks(texts: pa.Array, digests: bool = False) -> Iterator[Chunk]:
+    """The texts of a batch, hashed chunk by chunk; null is empty. A digest is the SHA-256 of the words with single spaces between."""
+    vocabulary, held, low, high, counts, marks, first = Vocabulary(), [], [], [], [], [], 0
 
+    def hash_held() -> None:
+        found = vocabulary.hashes(held)
+        low.append(found[0])
+        high.append(found[1])
+        held.clear()
 
-def sequences(words: np.ndarray) -> Rolling:
-    return Rolling(words, _STEP)
+    def chunk() -> Chunk:
+        hash_held()
+        made = Chunk(first, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.concatenate(low), np.concatenate(high), list(marks))
+        for x in (low, high, counts, marks):
+            x.clear()
+        return made
+
+    size = 0
+    for i, text in enumerate(texts):
+        body = (text.as_py() or "").encode()
+        if counts and size + len(body) > CHUNK_BYTES:
+            yield chunk()
+            first, size = i, 0
+        size += len(body)
+        n, digest = 0, sha256()
+        for words in pieces(body):
+            if digests and words:
+                digest.update((b" " if n else b"") + b" ".join(words))
+            n += len(words)
+            held.extend(words)
+            if len(body) > CHUNK_BYTES:
+                hash_held()
+        counts.append(n)
+        if digests:
+            marks.append(digest.digest())
+    if counts:
+        yield chunk()
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -10,29 +10,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, join_skewed, numbered
-from .hashing import chunks, hash_words, mix, sequences, signed
+from .hashing import chunks, joined, mix, signed, windows
 
 #: Words of a shingle, similarity of a link, bands of a signature and registers of a band.
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 20, 5
-#: Pairs of small buckets that a round compares directly, for each text with a candidate.
-DIRECT_PAIRS = 4
+#: Members and shingles that a tile of a bucket has on average, at most.
+TILE_MEMBERS, TILE_SHINGLES = 512, 500_000
 
 
 def shingle_hashes(at: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of each shingle of some texts; a text of fewer words than a shingle is one shingle."""
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
-    begin = np.arange(max(0, len(words) - size + 1))
-    begin = begin[doc[begin] == doc[begin + size - 1]] if len(begin) else begin
-    short = np.flatnonzero((n > 0) & (n < size))
-    first, last = np.concatenate([begin, at[short]]), np.concatenate([begin + size, at[short + 1]])
-    return np.concatenate([doc[begin], short]).astype(np.int64), sequences(words)(first, last)
+    hashes = windows(words, size)
+    inside = np.flatnonzero(doc[: len(hashes)] == doc[size - 1 :]) if len(hashes) else np.empty(0, dtype=np.int64)
+    docs, found = [doc[inside]], [hashes[inside]]
+    for k in range(1, size):
+        short = np.flatnonzero(n == k)
+        whole = words[at[short]]
+        for step in range(1, k):
+            whole = joined(whole, words[at[short] + step])
+        docs.append(short)
+        found.append(mix(whole + np.uint64(k)))
+    return np.concatenate(docs).astype(np.int64), np.concatenate(found)
 
 
 def weighted(doc: np.ndarray, element: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, element, weight) of the distinct elements of each row; an element found c times weighs 1 + log c."""
-    order = np.argsort(element, kind="stable")
-    order = order[np.argsort(doc[order], kind="stable")]
+    order = np.lexsort((element, doc))
     doc, element = doc[order], element[order]
     new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (element[1:] != element[:-1])]))
     return doc[new], element[new], 1.0 + np.log(np.diff(np.concatenate([new, [len(doc)]])))
@@ -80,23 +85,23 @@ def band_keys(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: in
 
 
 def signatures(size: int, bands: int, band_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(row, doc_id, two hashes of the whole word sequence, band hashes); no bands without words.
+    """(row, doc_id, digest of the words, number of distinct shingles, band hashes); no bands without words.
 
-    Links compare sets, so each text has the bands of a signature in which all shingles weigh the same, too. Where no
-    shingle repeats, both signatures are one.
+    Links compare sets, so each text has the bands of a signature in which all shingles weigh the same: its probability
+    Jaccard is the similarity of links. Where shingles repeat, the bands of the signature weighted by counts come on top.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
-                whole = sequences(chunk.words)(chunk.at[:-1], chunk.at[1:])
-                again = sequences(mix(chunk.words + np.uint64(1)))(chunk.at[:-1], chunk.at[1:])
+            for chunk in chunks(batch.column("text"), digests=True):
                 has = np.diff(chunk.at) > 0
+                sizes = np.zeros(chunk.rows, dtype=np.int64)
                 keys = np.zeros((chunk.rows, bands), dtype=np.uint64)
                 even = keys
                 doc, element = shingle_hashes(chunk.at, chunk.words, size)
                 if len(doc):
                     doc, element, weight = weighted(doc, element)
+                    sizes = np.bincount(doc, minlength=chunk.rows)
                     keys = band_keys(doc, element, weight, chunk.rows, bands, band_rows)
                     even = keys.copy()
                     repeats = np.unique(doc[weight > 1])
@@ -108,57 +113,117 @@ def signatures(size: int, bands: int, band_rows: int) -> Callable[[Iterator[pa.R
                 ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
                 rows = batch.slice(chunk.first, chunk.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("row"), rows.column("doc_id"), signed(whole), signed(again), pa.ListArray.from_arrays(pa.array(ends), signed(both[held]))], names=["row", "doc_id", "d1", "d2", "bands"]
+                    [rows.column("row"), rows.column("doc_id"), pa.array(chunk.digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), signed(both[held]))],
+                    names=["row", "doc_id", "digest", "n", "bands"],
                 )
 
     return run
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    at, words = hash_words([(text or "").encode()])
-    return np.unique(shingle_hashes(at, words, size)[1])
+def shingler(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The distinct shingles of each text, sorted."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                doc, element, _ = weighted(*shingle_hashes(chunk.at, chunk.words, size))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=chunk.rows))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(chunk.first, chunk.rows), pa.ListArray.from_arrays(pa.array(ends), signed(element))], names=["rep", "shingles"])
+
+    return run
 
-def comparer(size: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each pair with what both share: whether it is a link, the member's shingles, the common ones, and, if ``wide``, the rest of the member's."""
+
+def similar(common: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, similarity: float) -> np.ndarray | bool:
+    return common >= similarity * (n + m - common)
+
+
+def linked_pairs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs (u, v) of similar shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot_set = None, np.empty(0, dtype=np.uint64)
         for batch in batches:
-            linked, sizes, common, rest, wide = [], [], [], [], batch.column("wide").to_pylist()
-            for i, pivot in enumerate(batch.column("pivot").to_pylist()):
+            last, pivot_set, linked = None, np.empty(0, dtype=np.int64), []
+            for i, pivot in enumerate(batch.column("v").to_pylist()):
                 if pivot != last:
-                    last, pivot_set = pivot, shingle_set(batch.column("pivot_text")[i].as_py(), size)
-                own = shingle_set(batch.column("member_text")[i].as_py(), size)
-                other = np.setdiff1d(own, pivot_set, assume_unique=True)
-                both = len(own) - len(other)
-                linked.append(both >= similarity * (len(own) + len(pivot_set) - both))
-                sizes.append(len(own))
-                common.append(both)
-                rest.append(other if wide[i] else other[:0])
-            ends = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, dtype=np.uint64), *rest])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("member"), batch.column("pivot"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), signed(flat))],
-                names=["member", "pivot", "linked", "n", "common", "rest"],
-            )
+                    last, pivot_set = pivot, batch.column("pivot_set")[i].values.to_numpy()
+                own = batch.column("member_set")[i].values.to_numpy()
+                common = len(np.intersect1d(own, pivot_set, assume_unique=True))
+                linked.append(bool(similar(common, len(own), len(pivot_set), similarity)))
+            yield batch.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
 
-def shingler(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The distinct shingles of each text."""
+class Block:
+    """The members of one tile of a bucket, or of two, with their labels, sides and shingle sets."""
+
+    def __init__(self) -> None:
+        self.labels: list[int] = []
+        self.sides: list[int] = []
+        self.sets: list[np.ndarray] = []
+
+    def links(self, similarity: float) -> Iterator[tuple[int, int]]:
+        """Pairs of labels that similar members join, few enough to be a forest; two tiles give the pairs across.
+
+        Sets become rows of bits over the shingles that several members have, and a member's row meets those of all
+        members of other classes at once.
+        """
+        labels, sides = np.array(self.labels), np.array(self.sides)
+        if len(self.sets) < 2 or (labels == labels[0]).all():
+            return
+        sizes = np.array([len(s) for s in self.sets])
+        held, where, counts = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(counts > 1) - 1
+        shared = counts[where] > 1
+        column, member = place[where[shared]], np.repeat(np.arange(len(sizes)), sizes)[shared]
+        bits = np.zeros((len(sizes), ((counts > 1).sum() + 64) // 64 * 8), dtype=np.uint8)
+        np.add.at(bits, (member, column >> 3), (1 << (column & 7)).astype(np.uint8))
+        bits = bits.view(np.uint64)
+        group, two = labels.copy(), (sides != sides[0]).any()
+        for i in range(len(sizes)):
+            ahead = (group != group[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))
+            if two:
+                if sides[i] != sides[0]:
+                    continue
+                ahead &= sides != sides[i]
+            else:
+                ahead[: i + 1] = False
+            others = np.flatnonzero(ahead)
+            if not len(others):
+                continue
+            common = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+            for j in others[similar(common, sizes[others], sizes[i], similarity)]:
+                if group[j] != group[i]:
+                    yield int(labels[i]), int(labels[j])
+                    group[group == group[j]] = group[i]
+
+
+def tile_links(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between classes from rows that come block after block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, block = None, Block()
         for batch in batches:
-            sets = [shingle_set(text.as_py(), size) for text in batch.column("text")]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, dtype=np.uint64), *sets])
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), pa.ListArray.from_arrays(pa.array(ends), signed(flat))], names=["rep", "label", "shingles"])
+            found: list[tuple[int, int]] = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "high")), strict=True)
+            labels, sides, sets = batch.column("label").to_pylist(), batch.column("tile").to_pylist(), batch.column("shingles")
+            for i, key in enumerate(keys):
+                if key != last:
+                    found.extend(block.links(similarity))
+                    last, block = key, Block()
+                block.labels.append(labels[i])
+                block.sides.append(sides[i])
+                block.sets.append(sets[i].values.to_numpy())
+            yield _pairs(found)
+        yield _pairs(list(block.links(similarity)))
 
     return run
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each component of ``links`` (u, v), for nodes with links.
 
@@ -190,17 +255,9 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Merge the classes that links (u, v) join; ``labels`` is (rep, label, weight)."""
-    named = labels.select(F.col("rep").alias("n"), "label")
-    ends = links.join(named.select(F.col("n").alias("u"), F.col("label").alias("lu")), "u").join(named.select(F.col("n").alias("v"), F.col("label").alias("lv")), "v")
-    merged = components(ends.select(F.col("lu").alias("u"), F.col("lv").alias("v"))).withColumnRenamed("label", "to")
-    return labels.join(merged, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("to", "label").alias("label"), "weight")
-
-
 def undecided(members: DataFrame) -> DataFrame:
     """The rows (bucket, rep, label, ..) of buckets with more than one class."""
-    several = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    several = members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
     return join_skewed(members, several, ["bucket"])
 
 
@@ -211,107 +268,59 @@ def unlike(members: DataFrame) -> DataFrame:
     return members.join(one, "bucket")
 
 
-def needed(n: str, least: str, similarity: float):
-    """Shingles that a text of ``n`` has to share with one of ``least`` or more to be similar."""
-    return F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(n) + F.greatest(F.col(least), F.col(n) * similarity)) - 1e-9)
+def pivot_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links of each bucket's members with one of them, the pivot: the one that shares buckets with most others.
 
-
-def direct_size(pairs: dict[int, float], budget: float) -> tuple[int, bool]:
-    """How many pairs of different classes a small bucket has at most, and whether all buckets are small.
-
-    ``pairs`` are those of buckets with 2**power pairs at most; small buckets have ``budget`` in total.
+    Overlapping buckets choose the same pivot, so their pairs fall together. Pairs of too different sizes are left out.
     """
-    total, largest = 0.0, 0
-    for power in sorted(pairs):
-        total += pairs[power]
-        if total > budget:
-            return largest, False
-        largest = 1 << power
-    return largest, True
-
+    pivots = members.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "rep", "n")).alias("p"))
+    met = join_skewed(members.select("bucket", "rep", "n"), pivots, ["bucket"]).where(F.col("rep") != F.col("p.rep"))
+    near = F.least("n", "p.n") >= similarity * F.greatest("n", "p.n")
+    pairs = met.where(near).select(F.col("rep").alias("u"), F.col("p.rep").alias("v")).distinct()
+    own, other = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("member_set")), sets.select(F.col("rep").alias("v"), F.col("shingles").alias("pivot_set"))
+    return pairs.join(own, "u").join(other, "v").select("u", "v", "member_set", "pivot_set").mapInArrow(linked_pairs(similarity), "u long, v long")
 
-def refine(met: DataFrame, tested: DataFrame, labels: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """New buckets for the pairs of members (bucket, rep, pivot) that the comparisons with pivots leave undecided.
 
-    Only members of different classes matter, and a shingle counts only if texts of two classes have it.
+def block_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between the classes of each bucket, from all pairs of its members of different classes.
 
-    1. A text with too few such shingles has no link to another class, and leaves.
-    2. Two members share at most what either shares with the pivot, and shingles that the pivot hasn't. A member that
-       has ``common`` shingles of the pivot must share ``short`` = needed - common of the others. Of these it takes the
-       rarest, all but short - 1: two members that share enough have one of the taken in common, which becomes their
-       new bucket, whatever buckets they come from. Members that aren't short of any also meet in a bucket of their own.
-
-    A pivot is in none of the new buckets, so refining ends.
+    A bucket's members are dealt over tiles; a task takes a pair of tiles (or one with itself), compares in memory and
+    returns at most as many links as there are classes. So a bucket of any size spreads over tasks of bounded size.
     """
-    rows = undecided(met.join(labels.select("rep", "label"), "rep"))
-    rows = cut(rows.join(tested.select(F.col("member").alias("rep"), "pivot", "n", "common"), ["rep", "pivot"]), "near-rows")
-    sets = texts.select(F.col("of").alias("rep"), "text").join(rows.select("rep", "label").distinct(), "rep").select("rep", "label", "text")
-    each = sets.mapInArrow(shingler(size), "rep long, label long, shingles array<bigint>").select("rep", "label", F.explode("shingles").alias("s"))
-    across = cut(each.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("df")).where("low < high").select("s", "df"), "near-across")
-    support = each.select("rep", "s").join(across, "s").groupBy("rep").agg(F.count("*").alias("support"))
-    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
-    enough = join_skewed(rows, least, ["bucket"]).join(support, "rep").where(F.col("support") >= needed("n", "least", similarity)).drop("support", "least")
-    left = cut(undecided(enough), "near-left")
-    least = left.groupBy("bucket").agg(F.min("n").alias("least"))
-    short = join_skewed(left, least, ["bucket"]).withColumn("short", needed("n", "least", similarity) - F.col("common")).drop("least")
-    # A member that meets its pivot in several buckets takes what the least demanding of them asks for.
-    shortest = short.groupBy("rep", "pivot").agg(F.min("short").alias("short"))
-    others = shortest.join(tested.select(F.col("member").alias("rep"), "pivot", "rest"), ["rep", "pivot"]).select("rep", "pivot", "short", F.explode("rest").alias("s"))
-    taken = (
-        others.join(across, "s")
-        .groupBy("rep", "pivot", "short")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("rare"))
-        .withColumn("take", F.size("rare") - F.greatest(F.col("short"), F.lit(1)) + 1)
-        .where("take > 0")
-        .select("rep", F.explode(F.slice("rare", F.lit(1), F.col("take").cast("int"))).alias("r"))
-        .select(F.col("r.s").alias("bucket"), "rep")
-        .distinct()
+    sized = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    tiles = F.greatest(F.ceil(F.col("m") / TILE_MEMBERS), F.least(F.ceil(F.col("total") / TILE_SHINGLES), F.col("m"))).cast("int")
+    dealt = join_skewed(members, sized.select("bucket", tiles.alias("tiles")), ["bucket"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    blocks = dealt.select("bucket", "rep", "label", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("meets")).select(
+        "bucket", F.least("tile", "meets").alias("low"), F.greatest("tile", "meets").alias("high"), "tile", "rep", "label"
     )
-    loose = short.where("short <= 0").select(F.xxhash64("bucket", F.lit("loose")).alias("bucket"), "rep")
-    return taken.unionByName(loose)
+    rows = blocks.join(sets, "rep").select("bucket", "low", "high", "tile", "label", "shingles")
+    return rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(tile_links(similarity), "u long, v long")
+
+
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Merge the classes that links (u, v) between labels join."""
+    merged = components(links).withColumnRenamed("label", "to")
+    return labels.join(merged, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("to", "label").alias("label"))
 
 
 def classes(whole: DataFrame, *, size: int, similarity: float, bands: int, band_rows: int) -> DataFrame:
     """(row, doc_id, label) of each row of ``whole`` (row, doc_id, text); rows of a class share a label."""
     kind = whole.schema["doc_id"].dataType.simpleString()
-    signed_rows = cut(whole.mapInArrow(signatures(size, bands, band_rows), f"row long, doc_id {kind}, d1 long, d2 long, bands array<bigint>"), "near-signatures")
+    signed_rows = cut(whole.mapInArrow(signatures(size, bands, band_rows), f"row long, doc_id {kind}, digest binary, n long, bands array<bigint>"), "near-signatures")
     # Texts of the same words are one representative from here on.
-    reps = signed_rows.groupBy("d1", "d2").agg(F.min("row").alias("rep"))
-    named = join_skewed(signed_rows.select("row", "doc_id", "d1", "d2"), reps, ["d1", "d2"]).select("row", "doc_id", "rep")
-    buckets = signed_rows.join(named.where("row = rep").select("row", "rep"), "row").select("rep", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    reps = signed_rows.groupBy("digest").agg(F.min("row").alias("rep"))
+    named = cut(join_skewed(signed_rows.select("row", "doc_id", "digest"), reps, ["digest"]).select("row", "doc_id", "rep"), "near-named")
+    buckets = signed_rows.join(named.where("row = rep").select("row", "rep"), "row").select("rep", "n", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
     banded = cut(join_skewed(buckets, shared, ["bucket"]), "near-banded")
-    labels = cut(banded.groupBy("rep").agg(F.sum("n").alias("weight")).select("rep", F.col("rep").alias("label"), "weight"), "near-labels")
-    texts = cut(whole.select(F.col("row").alias("of"), "text").join(labels.select(F.col("rep").alias("of")), "of"), "near-texts")
-    members = cut(unlike(banded.select("bucket", "rep")), "near-members")
-    budget = DIRECT_PAIRS * labels.count()
-    while True:
-        open_members = cut(undecided(members.join(labels, "rep")), "near-open")
-        per_class = open_members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        counted = per_class.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("across"), F.max_by("label", "n").alias("major"))
-        by_size = counted.groupBy(F.ceil(F.log2("across")).cast("int").alias("power")).agg(F.sum("across").alias("pairs")).collect()
-        if not by_size:
-            break
-        largest, all_direct = direct_size({r["power"]: r["pairs"] for r in by_size}, budget)
-        sized = join_skewed(open_members, counted, ["bucket"])
-        small = sized.where(F.col("across") <= largest)
-        # All but the largest class of a small bucket meet the members of other classes.
-        again = small.select("bucket", F.col("rep").alias("pivot"), F.col("label").alias("pivot_label"))
-        direct = (
-            small.where("label <> major").join(again, "bucket").where("label <> pivot_label and (pivot_label = major or rep < pivot)").select(F.col("rep").alias("member"), "pivot", F.lit(False).alias("wide"))
-        )
-        # The pivot of a large bucket is the member that shares most buckets with most others; all others are compared with it.
-        large = sized.where(F.col("across") > largest)
-        pivots = large.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "rep")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"))
-        met = cut(join_skewed(large.select("bucket", "rep"), pivots, ["bucket"]).where("rep <> pivot"), "near-met")
-        pairs = met.select(F.col("rep").alias("member"), "pivot", F.lit(True).alias("wide")).unionByName(direct).groupBy("member", "pivot").agg(F.max("wide").alias("wide"))
-        sides = texts.select(F.col("of").alias("member"), F.col("text").alias("member_text")), texts.select(F.col("of").alias("pivot"), F.col("text").alias("pivot_text"))
-        both = pairs.join(sides[0], "member").join(sides[1], "pivot").select("member", "pivot", "wide", "member_text", "pivot_text")
-        tested = cut(both.mapInArrow(comparer(size, similarity), "member long, pivot long, linked boolean, n long, common long, rest array<bigint>"), "near-tested")
-        labels = cut(relabel(labels, tested.where("linked").select(F.col("member").alias("u"), F.col("pivot").alias("v"))), "near-labels")
-        if all_direct:
-            break
-        members = cut(unlike(refine(met, tested, labels, texts, size, similarity)), "near-members")
+    weights = cut(banded.groupBy("rep").agg(F.sum("in_bucket").alias("weight")), "near-weights")
+    texts = whole.select(F.col("row").alias("rep"), "text").join(weights.select("rep"), "rep")
+    sets = cut(texts.select("rep", "text").mapInArrow(shingler(size), "rep long, shingles array<bigint>"), "near-sets")
+    members = cut(unlike(banded.select("bucket", "rep", "n")).join(weights, "rep"), "near-members")
+    # What pivots leave undecided is compared in full; both ways only add links, and classes are their components.
+    labels = cut(relabel(weights.select("rep", F.col("rep").alias("label")), pivot_links(members, sets, similarity)), "near-labels")
+    left = cut(undecided(members.join(labels, "rep")).select("bucket", "rep", "label", "n"), "near-left")
+    labels = relabel(labels, block_links(left, sets, similarity))
     return named.join(labels.withColumnRenamed("rep", "of"), F.col("rep") == F.col("of"), "left").select("row", "doc_id", F.coalesce("label", "rep").alias("label"))
 
 
@@ -323,16 +332,15 @@ def dedup_near(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", s
     named by its smallest id, and the row with that id (the first, if it repeats) is kept.
 
     Candidates come from ProbMinHash signatures of the shingles in bands: two texts of probability Jaccard similarity j
-    meet with probability 1 - (1 - j**band_rows)**bands, 0.9996 at 0.8. A text has two signatures, one of equal weights,
-    whose similarity is that of links, and one weighted by 1 + log of the counts, which brings further candidates.
-    Members of small buckets are compared with those of other classes, all of larger ones with one of them, its pivot;
-    how many pairs small buckets may have in all is in proportion to the texts. What the comparisons with a pivot say about the other pairs is
-    used to prove most of them unlike; those left meet in narrower buckets, until no pair of two classes is undecided.
-    Within a class no pairs are made, and no link between candidates is lost.
-
-    Texts of the same words are one class, so are all texts without words (null, empty, blank). Texts of fewer words
-    than a shingle are one shingle. A null id is larger than others; a class of null ids has a null name. An empty
-    table gives an empty table.
+    meet with probability 1 - (1 - j**band_rows)**bands, 0.9996 at 0.8. A text has two signatures: in one all shingles
+    weigh the same, which makes j the similarity of links; in the other a shingle found c times weighs 1 + log c, which
+    brings further candidates. Texts of the same words, known by SHA-256, are one text. All members of a bucket are
+    compared with its pivot; buckets that still hold several classes are compared in full, tile by tile, by counting
+    common shingles in memory. No pair of a bucket is left undecided, and the number of steps doesn't depend on the
+    data, but for the rounds of the components.
+
+    All texts without words (null, empty, blank) are one class. Texts of fewer words than a shingle are one shingle. A
+    null id is larger than others; a class of null ids has a null name. An empty table gives an empty table.
     """
     row = fresh(docs, "near_row")
     whole = numbered(docs, row)

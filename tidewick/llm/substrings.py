@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, join_skewed, numbered
-from .hashing import chunks, ranges, sequences, signed
+from .common import cut, join_skewed, row_key
+from .hashing import chunks, joined, ranges, signed, windows
 
 #: Words of a window, and of the seeds from which anchors are winnowed.
 WINDOW, SEED = 35, 6
@@ -33,36 +33,37 @@ def winnow(seeds: np.ndarray, width: int) -> np.ndarray:
 def anchors(window: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The runs of neighbouring windows of a text that choose the same anchor.
 
-    Equal windows choose equal anchors at equal offsets, whatever surrounds them. ``context`` hashes all the words of
-    the run's windows with the anchor's offset: runs of equal context agree as far as their windows reach.
+    Equal windows choose equal anchors at equal offsets, whatever surrounds them. ``context`` and ``context2`` hash all
+    the words of the run's windows (its first and last window hold them) with the anchor's offset, from two hashes of
+    each word: runs of equal context agree as far as their windows reach.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("row").to_numpy()
             for chunk in chunks(batch.column("text")):
                 n = len(chunk.words)
                 if n < window:
                     continue
-                slices = sequences(chunk.words)
-                begin = np.arange(n - seed + 1)
-                seeds = slices(begin, begin + seed)
+                seeds = windows(chunk.words, seed)
                 chosen = winnow(seeds, window - seed + 1)
                 doc = np.repeat(np.arange(chunk.rows), np.diff(chunk.at))
-                start = np.arange(len(chosen))
-                inside = doc[start] == doc[start + window - 1]
-                start = start[inside]
+                start = np.flatnonzero(doc[: len(chosen)] == doc[window - 1 :])
                 if not len(start):
                     continue
                 anchor = chosen[start]
                 new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[start[1:]] != doc[start[:-1]])]))
                 count = np.diff(np.concatenate([new, [len(start)]]))
                 first, at = start[new], anchor[new]
-                context = slices(first, first + count - 1 + window) ^ ((at - first).astype(np.uint64) << np.uint64(57))
+                shape = (count * window + (at - first)).astype(np.uint64)
+                contexts = []
+                for words in (chunk.words, chunk.others):
+                    whole = windows(words, window)
+                    contexts.append(joined(joined(whole[first], whole[first + count - 1]), shape))
                 owner = doc[first]
+                keys = [batch.column(k).slice(chunk.first, chunk.rows).take(pa.array(owner)) for k in ("k1", "k2")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[chunk.first + owner]), pa.array((first - chunk.at[owner]).astype(np.int32)), pa.array(count.astype(np.int32)), signed(seeds[at]), signed(context)],
-                    names=["row", "first", "windows", "anchor", "context"],
+                    [*keys, pa.array((first - chunk.at[owner]).astype(np.int32)), pa.array(count.astype(np.int32)), signed(seeds[at]), *map(signed, contexts)],
+                    names=["k1", "k2", "first", "windows", "anchor", "context", "context2"],
                 )
 
     return run
@@ -71,28 +72,29 @@ def anchors(window: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def extensions(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The distinct windows of the runs asked for and where they start.
 
-    A window has its anchor and a hash of its words, that is, of the anchor extended both ways. Windows that a text
-    repeats are one row.
+    A window is known by two hashes of its words, that is, of the anchor extended both ways. Windows that a text repeats
+    are one row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, asked = batch.column("row").to_numpy(), batch.column("asked")
+            asked = batch.column("asked")
             for chunk in chunks(batch.column("text")):
                 runs = asked.slice(chunk.first, chunk.rows)
                 owner = np.repeat(np.arange(chunk.rows), pa.compute.list_value_length(runs).to_numpy())
                 flat = runs.flatten()
                 first, count = flat.field("first").to_numpy(), flat.field("windows").to_numpy()
                 where = ranges(chunk.at[owner] + first, count)
-                hashes = sequences(chunk.words)(where, where + window)
-                of, anchor = np.repeat(owner, count), np.repeat(flat.field("anchor").to_numpy(), count)
-                order = np.lexsort((where, hashes, anchor, of))
-                of, anchor, hashes, where = of[order], anchor[order], hashes[order], where[order]
+                one, two = windows(chunk.words, window)[where], windows(chunk.others, window)[where]
+                of = np.repeat(owner, count)
+                order = np.lexsort((where, two, one, of))
+                of, one, two, where = of[order], one[order], two[order], where[order]
                 new = np.ones(len(of), dtype=bool)
-                new[1:] = (of[1:] != of[:-1]) | (anchor[1:] != anchor[:-1]) | (hashes[1:] != hashes[:-1])
-                first = np.flatnonzero(new)
-                starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)).astype(np.int32)), pa.array((where - chunk.at[of]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[chunk.first + of[first]]), pa.array(anchor[first]), signed(hashes[first]), starts], names=["row", "anchor", "hash", "starts"])
+                new[1:] = (of[1:] != of[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+                begin = np.flatnonzero(new)
+                starts = pa.ListArray.from_arrays(pa.array(np.append(begin, len(of)).astype(np.int32)), pa.array((where - chunk.at[of]).astype(np.int32)))
+                keys = [batch.column(k).slice(chunk.first, chunk.rows).take(pa.array(of[begin])) for k in ("k1", "k2")]
+                yield pa.RecordBatch.from_arrays([*keys, signed(one[begin]), signed(two[begin]), starts], names=["k1", "k2", "hash", "hash2", "starts"])
 
     return run
 
@@ -142,28 +144,36 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     Documents meet on anchors; anchors that occur once are done with. Extend: where all occurrences of an anchor agree
     in the whole context of their windows, all these windows are repeats. Where occurrences differ, the anchor is
     extended both ways to each window that chose it, and windows are counted. Counting replaces pairs: the work is
-    linear in the windows, whatever the size of a group, and no link is lost. A window is known by two 64-bit hashes.
+    linear in the windows, whatever the size of a group, and no link is lost. Contexts and windows are known by 128 bits,
+    two hashes built from different hashes of their words, and hold only if both agree.
 
     Null and empty texts have no words. Texts shorter than a window are kept whole, with single spaces between words.
     Rows repeated whole are two documents, and repeat each other. Other columns are not read. An empty table gives an
     empty table.
     """
-    row = fresh(docs, "row")
-    whole = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), row).withColumnRenamed(row, "row")
+    # What goes from a row follows from its text, so rows are known by hashes of id and text, not by numbers.
+    keys = ["k1", "k2"]
+    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_key(F.col(doc_id), F.col(text)))
     # Inner joins ask for this filter on their own; with it in all plans, the scans and shuffles of texts are alike.
-    whole = whole.where("row is not null")
-    runs = whole.select("row", "text").mapInArrow(anchors(window, seed), "row long, first int, windows int, anchor long, context long")
-    shared = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n >= 2").select("anchor", (F.col("low") != F.col("high")).alias("differ"))
-    seeded = cut(join_skewed(runs.select("row", "first", "windows", "anchor"), shared, ["anchor"]), "substring-runs")
-    asked = seeded.where("differ").groupBy(F.col("row").alias("asked_row")).agg(F.collect_list(F.struct("first", "windows", "anchor")).alias("asked"))
+    whole = whole.where("k1 is not null and k2 is not null")
+    runs = whole.select(*keys, "text").mapInArrow(anchors(window, seed), "k1 long, k2 long, first int, windows int, anchor long, context long, context2 long")
+    shared = (
+        runs.groupBy("anchor")
+        .agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("context", "context2") for f in (F.min, F.max)])
+        .where("n >= 2")
+        .select("anchor", F.expr("min_context <> max_context or min_context2 <> max_context2").alias("differ"))
+    )
+    seeded = cut(join_skewed(runs.select(*keys, "first", "windows", "anchor"), shared, ["anchor"]), "substring-runs")
+    # Rows of one key are alike: what one of them asks for, the others need not ask again.
+    asked = seeded.where("differ").groupBy(*keys).agg(F.collect_set(F.struct("first", "windows")).alias("asked"))
     # Both joins read the texts with the same columns and key, so Spark shuffles the texts once.
-    extended = whole.join(asked, F.col("row") == F.col("asked_row")).select("doc_id", "row", "text", "asked").mapInArrow(extensions(window), "row long, anchor long, hash long, starts array<int>")
-    twice = extended.groupBy("anchor", "hash").agg(F.sum(F.size("starts")).alias("n")).where("n >= 2").select("anchor", "hash")
-    single = join_skewed(extended, twice, ["anchor", "hash"]).select("row", F.explode("starts").alias("first"), F.lit(1).alias("windows"))
-    spans = seeded.where("not differ").select("row", "first", "windows").unionByName(single).groupBy(F.col("row").alias("span_row")).agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+    extended = whole.join(asked, keys).select(*keys, "text", "asked").mapInArrow(extensions(window), "k1 long, k2 long, hash long, hash2 long, starts array<int>")
+    twice = extended.groupBy("hash", "hash2").agg(F.sum(F.size("starts")).alias("n")).where("n >= 2").select("hash", "hash2")
+    single = join_skewed(extended, twice, ["hash", "hash2"]).select(*keys, F.explode("starts").alias("first"), F.lit(1).alias("windows"))
+    spans = seeded.where("not differ").select(*keys, "first", "windows").unionByName(single).groupBy(*keys).agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
     kind = whole.schema["doc_id"].dataType.simpleString()
     return (
-        whole.join(spans, F.col("row") == F.col("span_row"), "left")
-        .select("doc_id", "row", "text", "spans")
+        whole.join(spans, keys, "left")
+        .select("doc_id", "text", "spans")
         .mapInArrow(removal(window), f"doc_id {kind}, n_words long, n_removed long, kept_text string, cut_starts array<bigint>, cut_lengths array<bigint>")
     )
