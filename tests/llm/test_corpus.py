@@ -217,6 +217,20 @@ def test_mix(spark, docs):
     assert emitted.columns == stored.columns and emitted.count() == sum(x.copies for x in found)
 
 
+def test_draws_follow_the_fraction(docs):
+    """Each document wins for its own hash: the limit is near the fraction, and more weight only adds winners."""
+    df = common.cut(docs([(k, "w " * (1 + k % 7)) for k in range(4000)]).withColumn("source", F.lit("one")), "mix-test")
+    won = {budget: {r.doc_id for r in mixing.mix_sources(df, budget=budget).collect() if r.copies > int(budget)} for budget in (0.2, 1.2, 1.5, 1.9)}
+    assert won[0.2] == won[1.2] < won[1.5] < won[1.9]
+    assert all(abs(len(ids) - 4000 * (budget % 1)) < 100 for budget, ids in won.items())
+
+
+def test_copies_of_documents_with_a_column_copy(docs):
+    df = docs([(1, "a b"), (2, "c")], copy=7, copies=8, size=9)
+    found = mixing.emit_copies(mixing.mix_sources(df), df.columns).collect()
+    assert {r["copy"] for r in found} == {7}
+
+
 def test_mix_of_nothing(docs):
     assert mixing.mix_sources(docs([])).count() == 0
     assert [r.copies for r in mixing.mix_sources(docs([(1, None), (2, " ")])).collect()] == [0, 0]
@@ -391,10 +405,28 @@ def test_pipeline_stages(spark, data):
     check_packing(frames["packing"].collect(), [(r.doc_id, r.text) for r in frames["mixing"].collect()])
 
 
+CLASHES = ("score", "strength", "hits", "predicted", "kept", "n_lines", "n_dropped", "kept_text", "class_id", "class_size", "size", "source_size", "target", "rate", "copies", "copy", "row", "k1", "other_columns", "gone")
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, odd, tmp_path):
+    own = odd.drop(*CLASHES).select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"), F.monotonically_increasing_id().alias("mark"))
+    docs = common.cut(own.withColumns({c: F.concat(F.lit(c), "mark") for c in CLASHES}), "pipeline-test")
+    spark.createDataFrame([(4, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    whole = {r.mark: r.asDict() for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.cut(stage(spark, docs, str(tmp_path)), "pipeline-test")
+        assert out.columns == docs.columns
+        for r in out.collect():
+            want, got = whole[r.mark], r.asDict()
+            changed = {c for c in docs.columns if want[c] != got[c]}
+            assert changed <= ({"text", "n_chars"} if name == "line dedup" else set()), (name, changed)
+
+
 def test_pipeline_of_odd_documents(spark, odd, tmp_path):
     odd.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(4, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    packed = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in packed} <= {i for i, _ in ODD} and all(r.n > 0 for r in packed) and len(packed) > 3
     spark.createDataFrame([], odd.schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, numbered, parallelism, word_count
+from .common import cut, fresh, word_count
 
 WEIGHTS = (3, 1, 2)
+#: Steps in which the limit of a draw is set.
+DRAW_STEPS = 4096
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -50,50 +48,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return left.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
 
 
-def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the rows of each source within a sorted partition."""
-    last, seen = object(), 0
-    for batch in batches:
-        out = np.empty(batch.num_rows, dtype=np.int64)
-        for i, source in enumerate(batch.column("source").to_pylist()):
-            if source != last:
-                last, seen = source, 0
-            out[i] = seen
-            seen += 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "place"])
+def draw_of(seed: str, doc_id: Column, text: Column) -> Column:
+    """The step, of DRAW_STEPS, on which a document's draw falls: hashed from the seed and its id, from its text without one."""
+    return F.floor(unit_hash(F.lit(seed), F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))) * DRAW_STEPS).cast("int")
 
 
-def copies(docs: DataFrame, *, text: str, doc_id: str, source: str, row: str, seed: str, weights: tuple[int, ...], budget: float, cap: float) -> DataFrame:
-    """How often each row is emitted: floor(rate) times, and once more with the probability that is left.
+def thresholds(drawn: DataFrame, targets: DataFrame) -> DataFrame:
+    """``targets`` with the step under which a draw wins: the one at which a source's drawn words come nearest to its fraction.
 
-    The extra copies are hash-seeded Bernoulli draws. Within a source, draws are taken along the documents ordered by
-    size, then hash: a document gets its copy where floor(place * fraction + start) steps up, the start being hashed
-    from the source. Each draw has exactly the wanted probability, and neighbours in size share their luck, so that a
-    source's words stay within a document or two of its target.
+    ``drawn`` has the words of each source and step, so a source has DRAW_STEPS rows at most, however many documents.
     """
-    spark = docs.sparkSession
-    name = F.col(doc_id).cast("string")
-    sized = docs.select(F.col(row).alias("row"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(name, F.lit("")))).alias("draw"))
-    order = ["source", "size", "draw", "row"]
-    ranged = cut(sized, "mix-sized").repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
-    placed = cut(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_ranks, "row long, source string, size long, draw string, part int, place long"), "mix-placed")
-    blocks = placed.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    targets = source_targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, cap)
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        blocks.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .select("source", "part", "offset", "source_size", "target", "rate")
-        .withColumn("start", unit_hash(F.lit(seed), F.coalesce("source", F.lit(""))))
-    )
-    fraction = F.col("rate") - F.floor("rate")
-    at = F.col("place") + F.col("offset")
-    extra = F.floor((at + 1) * fraction + F.col("start")) - F.floor(at * fraction + F.col("start"))
-    return (
-        placed.withColumnRenamed("source", "own").withColumnRenamed("part", "own_part")
-        .join(starts, F.col("own_part").eqNullSafe(F.col("part")) & F.col("own").eqNullSafe(F.col("source")))
-        .select("row", "size", "source_size", "target", "rate", (F.floor("rate") + extra).cast("long").alias("copies"))
+    so_far = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = (F.col("rate") - F.floor("rate")) * F.col("source_size")
+    ends = (
+        drawn.withColumn("won", F.sum("words").over(so_far))
+        .withColumnRenamed("source", "of")
+        .join(targets, F.col("of").eqNullSafe(F.col("source")))
+        .groupBy("source", "source_size", "target", "rate")
+        .agg(F.min(F.struct(F.abs(F.col("won") - wanted).alias("miss"), (F.col("step") + 1).alias("limit"))).alias("end"))
     )
+    nothing = F.struct(wanted.alias("miss"), F.lit(0).alias("limit"))
+    return ends.select("source", "source_size", "target", "rate", F.least("end", nothing)["limit"].alias("limit"))
 
 
 def mix_sources(
@@ -101,17 +76,35 @@ def mix_sources(
 ) -> DataFrame:
     """Each document with ``size``, ``source_size``, ``target``, ``rate`` and ``copies`` (columns of these names are replaced).
 
+    A document is taken floor(rate) times, and once more if its draw, hashed from the seed and its id, is under the
+    fraction that is left. Sizes are heavy-tailed, so draws under the bare fraction would miss the target of a small
+    source by a third of it; the limit that draws are held against is therefore the fraction as measured in words: the
+    step of the hash at which the words drawn so far come nearest to the fraction of the source's words. It tends to
+    the fraction as sources grow, and a source misses its target by half a document or half a step's words.
+
     Null text has size 0. A null source is a source, the last one. Sources without words have target 0 and no copies;
-    an empty table gives an empty table. Rows that repeat an id are counted and drawn on their own. Reruns agree: ties
-    of size are ordered by the MD5 of the seed and the id, then by row.
+    an empty table gives an empty table. Rows of one id are counted on their own and drawn alike; rows without an id are
+    drawn by their text. Reruns agree. Nothing but the sums of each source and step is shuffled.
     """
-    row = fresh(docs, "mix_row")
-    whole = numbered(docs, row)
-    found = copies(whole, text=text, doc_id=doc_id, source=source, row=row, seed=seed, weights=weights, budget=budget, cap=cap)
-    keep = whole.drop("size", "source_size", "target", "rate", "copies")
-    return keep.join(found.withColumnRenamed("row", row), row).drop(row)
+    size, step = word_count(F.col(text)), draw_of(seed, F.col(doc_id), F.col(text))
+    drawn = docs.select(F.col(source).cast("string").alias("source"), size.alias("size"), step.alias("step")).groupBy("source", "step").agg(F.sum("size").alias("words"))
+    drawn = cut(drawn, "mix-drawn")
+    targets = source_targets(drawn.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, cap)
+    # A table, so that Spark knows its size when it chooses the join: broadcast under its threshold, sorted beyond.
+    limits = cut(thresholds(drawn, targets), "mix-limits")
+    keep = docs.drop("size", "source_size", "target", "rate", "copies")
+    of, limit = fresh(keep, "mix_of"), fresh(keep, "mix_limit")
+    limits = limits.withColumnsRenamed({"source": of, "limit": limit})
+    extra = (step < F.col(limit)).cast("long")
+    return (
+        keep.join(limits, F.col(source).cast("string").eqNullSafe(F.col(of)))
+        .withColumns({"size": size, "copies": F.floor("rate").cast("long") + extra})
+        .select(*[F.col(f"`{c}`") for c in keep.columns], "size", "source_size", "target", "rate", "copies")
+    )
 
 
 def emit_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each document as often as ``copies`` says."""
-    return mixed.where(F.col("copies") > 0).select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*columns)
+    copy = fresh(mixed, "copy")
+    names = [F.col(f"`{c}`") for c in columns]
+    return mixed.where(F.col("copies") > 0).select(*names, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(copy)).select(*names)

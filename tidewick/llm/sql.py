@@ -44,7 +44,7 @@ _HASH = "(('0x' || substr(md5({0}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
 
 MIX = f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-                            md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS draw FROM documents),
+                            floor({_HASH.format("'mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))")} * 4096)::BIGINT AS step FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
       FROM d GROUP BY source),
 fill(round, shares) AS (
@@ -59,12 +59,13 @@ capped AS (SELECT unnest(shares, recursive := true) FROM (SELECT shares FROM fil
 t AS (SELECT source, size AS source_size, coalesce(target,
         (1.5::DOUBLE * (SELECT sum(size) FROM capped) - coalesce((SELECT sum(target) FROM capped), 0)) * w / (SELECT sum(w) FROM capped WHERE target IS NULL)) AS target
       FROM capped),
-r AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target / source_size END AS rate,
-             {_HASH.format("'mix:' || coalesce(source, '')")} AS start FROM t),
-p AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, draw, doc_id) - 1 AS place FROM d)
-SELECT p.doc_id, p.size, r.source_size, r.target,
-       (p.size * (floor(rate) + floor((place + 1) * (rate - floor(rate)) + start) - floor(place * (rate - floor(rate)) + start)))::BIGINT AS taken
-FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source"""
+r AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target / source_size END AS rate FROM t),
+won AS (SELECT source, step + 1 AS stop, sum(sum(size)) OVER (PARTITION BY source ORDER BY step) AS words FROM d GROUP BY source, step
+        UNION ALL SELECT source, 0, 0 FROM s),
+best AS (SELECT r.*, arg_min(stop, {{'miss': abs(words - (rate - floor(rate)) * source_size), 'stop': stop}}) AS stop
+         FROM won JOIN r ON won.source IS NOT DISTINCT FROM r.source GROUP BY ALL)
+SELECT d.doc_id, d.size, best.source_size, best.target, (d.size * (floor(rate) + (d.step < best.stop)::INT))::BIGINT AS taken
+FROM d JOIN best ON d.source IS NOT DISTINCT FROM best.source"""
 
 LINES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
