@@ -4,9 +4,11 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from odd_rows import ODD, words
+from pyspark.sql import functions as F
 
-from tidewick.llm import exact, lines, rules, substrings
+from tidewick.llm import common, exact, lines, rules, substrings
 
 STRIP = " \t\n\x0b\x0c\r"
 
@@ -89,13 +91,32 @@ def test_exact(odd):
     assert Counter(r.text_sha256 for r in found if r.kept) == Counter({hashlib.sha256(k.encode()).hexdigest(): 1 for k in groups})
 
 
-def test_merge_in_several_rounds(spark):
-    base = spark.range(4000, numPartitions=40).selectExpr("id AS doc_id", "CAST(id % 7 AS STRING) AS text")
-    path = "/tmp/tidewick-test-exact"
-    base.write.mode("overwrite").parquet(path)
-    signed = exact.signatures(spark.read.parquet(path).withColumn("r", __import__("pyspark").sql.functions.monotonically_increasing_id()), "text", "doc_id", "r")
+def signed(docs, spread):
+    rows = docs.repartition(spread).withColumn("r", F.monotonically_increasing_id())
+    return common.cut(exact.signatures(rows, "text", "doc_id", "r"), "exact-test").repartition(spread)
+
+
+def test_merge_in_several_rounds(docs):
+    base = signed(docs([(k, str(k % 7)) for k in range(4000)]), 40)
     for fan_in in (2, 3, 64):
-        assert sorted((r.best.doc, r.group_size) for r in exact.merge_runs(signed, 40, fan_in).collect()) == [(k, 572 if k < 3 else 571) for k in range(7)]
+        found = exact.merge_runs(base, 40, fan_in).collect()
+        assert sorted((r.doc, r.group_size) for r in found) == [(k, 572 if k < 3 else 571) for k in range(7)]
+
+
+@pytest.mark.parametrize("column", ["n_bytes", "second"])
+def test_a_digest_of_two_texts_is_an_error(docs, column):
+    forged = signed(docs([(k, "same text") for k in range(40)]), 8).withColumn(column, F.when(F.col("doc") == 39, 1).otherwise(F.col(column)))
+    with pytest.raises(Exception, match="two texts share a digest"):
+        exact.merge_runs(forged, 8, 2).collect()
+
+
+def test_runs_go_on_over_batches(spark, docs):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = exact.merge_runs(signed(docs([(k, str(k % 3)) for k in range(200)]), 2), 8, 8).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.doc, r.group_size) for r in found) == [(0, 67), (1, 67), (2, 66)]
 
 
 def test_substrings(docs):
