@@ -3,8 +3,12 @@
 import base64
 import glob
 import hashlib
+import math
 import random
+import re
 import struct
+import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -147,6 +151,51 @@ def test_length_weakens():
     assert match("bad")[0] > match("bad " + "fine " * 100)[0] > match("bad " + "fine " * 10000)[0] > 0
 
 
+def brute_match(model, text):
+    """Regular expressions over the folded text, one term and phrase after the other."""
+    fold = lambda t: "".join(c if c.isalnum() else " " for c in (toxicity.LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFKD", "".join(x.lower() for x in t)) if unicodedata.category(c) not in ("Mn", "Cf"))).split()
+    w = fold(text)
+    body = f" {' '.join(w)} " if w else ""
+    best = defaultdict(float)
+    for term, weight in model.terms.items():
+        for m in re.finditer(f"(?={re.escape(term)})", body):
+            best[m.start()] = max(best[m.start()], weight)
+    for phrase in model.exceptions:
+        folded = f" {' '.join(fold(phrase))} "
+        for m in re.finditer(f"(?={re.escape(folded)})", body):
+            for at in range(m.start(), m.start() + len(folded) - 1):
+                best.pop(at, None)
+    return (math.log1p(100 * sum(best.values()) / math.sqrt(len(w))) if w else 0.0), len(best)
+
+
+def test_scores_against_regular_expressions(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), labels)
+    assert model.terms
+    model = model._replace(terms=model.terms | {" clown ": 3.0, " trash ": 2.0, " sc": 1.0}, exceptions=(*model.exceptions, "clown fish trash"))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += [t for _, t in ODD] + ["a clown fish trash can", "trash can trash", "p0nd sсum, pond scum", "ﬁlth ﬁlthy", "İdiot ½ ǆ", "trash can clown " * 50]
+    match = toxicity.matcher(model)
+    for text in texts:
+        strength, hits = match(text or "")
+        want = brute_match(model, text or "")
+        assert (pytest.approx(strength), hits) == want, text
+
+
+def test_ligatures_fold_whole():
+    assert toxicity.words_of("ﬁlth", toxicity.Folding()) == toxicity.words_of("filth", toxicity.Folding())
+
+
+def test_exceptions_take_linear_time():
+    match, times = toxicity.matcher(MODEL), []
+    for n in (2000, 32000):
+        began = time.perf_counter()
+        assert match("trash can idiot " * n)[1] == n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 100 * times[0]
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

@@ -22,8 +22,8 @@ LOOKALIKES = dict(zip("013457l8@$", "oieastibas", strict=True)) | dict(zip("ав
 #: Phrases in which a term isn't meant as an insult.
 EXCEPTIONS = ("pathetic fallacy", "trash can", "trash bin", "clown fish", "pond scum", "worthless check", "sore loser board game")
 
-#: Bounds of the fit: labelled rows read, candidate terms held on the driver, terms of the lexicon.
-MAX_ROWS, MAX_CANDIDATES, MAX_TERMS = 20_000, 50_000, 2_000
+#: Labelled rows that the lexicon is learned from, at most.
+MAX_ROWS = 20_000
 #: Lengths of word beginnings that can be terms, next to whole words.
 STEMS = (4, 5, 6, 7)
 #: What a term needs: distinct contexts in toxic texts, the evidence G2, and how many times likelier it makes a word toxic.
@@ -35,14 +35,9 @@ class Folding(dict):
     """Maps code points for str.translate: lower case, no accents, lookalikes to letters, all else to a space."""
 
     def __missing__(self, point: int) -> str:
-        base = unicodedata.normalize("NFKD", chr(point).lower())[:1]
-        if unicodedata.category(chr(point)) in ("Mn", "Cf"):
-            out = ""
-        else:
-            out = LOOKALIKES.get(base, base)
-            out = out if out.isalnum() else " "
-        self[point] = out
-        return out
+        parts = [LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFKD", chr(point).lower()) if unicodedata.category(c) not in ("Mn", "Cf")]
+        self[point] = "".join(c if c.isalnum() else " " for c in parts)
+        return self[point]
 
 
 def words_of(text: str, folding: Folding) -> list[str]:
@@ -64,6 +59,18 @@ class Model(NamedTuple):
         return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, self.bias + self.slope * strength))))
 
 
+def outside(best: dict[int, float], spared: list[tuple[int, int]]) -> dict[int, float]:
+    """The hits that don't begin within a span, in one walk along both."""
+    spans, kept, stop = iter(sorted(spared)), {}, -1
+    span = next(spans, None)
+    for at in sorted(best):
+        while span and span[0] <= at:
+            stop, span = max(stop, span[1]), next(spans, None)
+        if at >= stop:
+            kept[at] = best[at]
+    return kept
+
+
 def matcher(model: Model) -> Callable[[str], tuple[float, int]]:
     """Strength (weights by length) and number of hits of a text."""
     folding, tree = Folding(), ahocorasick.Automaton()
@@ -88,7 +95,7 @@ def matcher(model: Model) -> Callable[[str], tuple[float, int]]:
             else:
                 best[begin] = max(weight, best.get(begin, 0.0))
         if spared:
-            best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in spared)}
+            best = outside(best, spared)
         return log1p(100.0 * sum(best.values()) / sqrt(len(words))), len(best)
 
     return match
@@ -127,24 +134,19 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([*terms, ""], pa.string()), pa.array([*contexts, 0], pa.int64()), pa.array([0] * len(terms) + [n], pa.int64())], names=["term", "context", "words"])
 
 
-def counter(candidates: set[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """How often candidates come in clean texts; the term '' counts all words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folding, words, found = Folding(), Counter(), Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                words.update(words_of(text.as_py() or "", folding))
-            for word, n in words.items():
-                found[""] += n
-                for term in terms_of(word):
-                    if term in candidates:
-                        found[term] += n
-            words.clear()
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often candidates come in clean texts, batch by batch; the term '' counts all words."""
+    folding = Folding()
+    for batch in batches:
+        words, found = Counter(), Counter()
+        for text in batch.column("text"):
+            words.update(words_of(text.as_py() or "", folding))
+        for word, n in words.items():
+            found[""] += n
+            for term in terms_of(word):
+                found[term] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
-    return run
-
 
 def fold_of(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3; fold 1 is held out. A null id is in fold 0."""
@@ -158,12 +160,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str,
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("text", "toxic")
 
 
-def evidence(t: float, c: float, n1: float, n0: float) -> tuple[float, float]:
+def evidence(t: Column, c: Column, n1: int, n0: int) -> tuple[Column, Column]:
     """(log of the smoothed rate ratio, G2) of t of n1 toxic and c of n0 clean words."""
-    ratio = log((t + 0.5) / (n1 + 1)) - log((c + 0.5) / (n0 + 1))
+    ratio = F.log((t + 0.5) / (n1 + 1.0)) - F.log((c + 0.5) / (n0 + 1.0))
     share = n1 / max(n1 + n0, 1)
-    g2 = 2 * sum(x * log(x / e) for x, e in ((t, (t + c) * share), (c, (t + c) * (1 - share))) if x > 0 and e > 0)
-    return ratio, g2
+    part = lambda x, e: F.when((x > 0) & (e > 0), x * F.log(x / e)).otherwise(0.0)
+    return ratio, 2 * (part(t, (t + c) * share) + part(c, (t + c) * (1 - share)))
 
 
 def calibrate(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -193,21 +195,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     """Learn the lexicon and the curve from labelled rows outside the held-out fold.
 
     Terms are words and beginnings of words that toxic rows hold in several distinct contexts and clean rows (almost)
-    never. At most ``max_rows`` rows, MAX_CANDIDATES candidates and the bins of the strengths concern the driver, none
-    of which grows with the corpus. Without labels the lexicon is empty and every score is the prior.
+    never: all that reach the thresholds of evidence, however many. What is gathered comes from ``max_rows`` rows at
+    most; terms are counted and weighed in Spark, and the driver holds the lexicon and the bins of the strengths.
+    Without labels the lexicon is empty and every score is the prior.
     """
     rows = cut(training_rows(docs, labels, text=text, doc_id=doc_id, toxic=toxic, max_rows=max_rows), "tox-rows")
     contexts = rows.where("toxic = 1").select("text").mapInArrow(_contexts, "term string, context long, words long")
-    per_term = contexts.groupBy("term", "context").agg(F.sum("words").alias("words")).groupBy("term").agg(F.count("*").alias("t"), F.sum("words").alias("words"))
-    ranked = per_term.where((F.col("t") >= MIN_CONTEXTS) | (F.col("term") == "")).orderBy((F.col("term") != ""), F.col("t").desc(), "term").limit(MAX_CANDIDATES)
-    toxic_counts = {r["term"]: (r["t"], r["words"]) for r in ranked.collect()}
-    n1 = toxic_counts.pop("", (0, 0))[1]
-    clean = rows.where("toxic = 0").select("text").mapInArrow(counter(set(toxic_counts)), "term string, n long")
-    clean_counts = {r["term"]: r["n"] for r in clean.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n0 = clean_counts.pop("", 0)
-    weighed = {term: evidence(t, clean_counts.get(term, 0), n1, n0) for term, (t, _) in toxic_counts.items()}
-    good = sorted((term for term, (ratio, g2) in weighed.items() if ratio >= log(MIN_RATIO) and g2 >= MIN_G2), key=lambda term: (-weighed[term][1], term))
-    terms = {term: min(8.0, weighed[term][0]) for term in good[:MAX_TERMS]}
+    in_toxic = cut(contexts.groupBy("term", "context").agg(F.sum("words").alias("words")).groupBy("term").agg(F.count("*").alias("t"), F.sum("words").alias("words")), "tox-terms")
+    in_clean = cut(rows.where("toxic = 0").select("text").mapInArrow(_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("c")), "tox-clean")
+    n1 = in_toxic.where("term = ''").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    n0 = in_clean.where("term = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    ratio, g2 = evidence(F.col("t"), F.coalesce("c", F.lit(0)), n1, n0)
+    weighed = in_toxic.where((F.col("t") >= MIN_CONTEXTS) & (F.col("term") != "")).join(in_clean, "term", "left").select("term", ratio.alias("ratio"), g2.alias("g2"))
+    good = weighed.where((F.col("ratio") >= log(MIN_RATIO)) & (F.col("g2") >= MIN_G2)).orderBy("term").collect()
+    terms = {r["term"]: min(8.0, r["ratio"]) for r in good}
     draft = Model(terms, exceptions, 0.0, 0.0)
     bins = (
         rows.select(F.col("toxic"), F.col("text").alias("tox_text"))
