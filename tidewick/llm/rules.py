@@ -49,9 +49,9 @@ def pairwise(items: Column, n: Column, step: int) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words in 8-word windows that the text holds at least twice.
+    """Words in 8-word windows that the text holds at least twice, from the hashes of its words.
 
-    Word hashes are paired three times (1, 2, 4, 8 words); sorting (hash, place) brings equal windows together, and the
+    Hashes are paired three times (1, 2, 4, 8 words); sorting (hash, place) brings equal windows together, and the
     places of those are sorted again to sum what they cover. All of it is linear or n log n in the words.
     """
 
@@ -78,17 +78,17 @@ def repeated_words(words: Column) -> Column:
         gaps = F.zip_with(at, F.slice(at, F.lit(2), F.size(at)), lambda a, b: F.least(F.coalesce(b - a, F.lit(8)), F.lit(8)))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda total, gap: total + gap)
 
-    def count(w: Column) -> Column:
-        n = F.size(w)
-        hashes = F.transform(w, lambda x: F.xxhash64(x))
-        windows = bind(bind(bind(hashes, lambda h: pairwise(h, n - 1, 1)), lambda h: pairwise(h, n - 3, 2)), lambda h: pairwise(h, n - 7, 4))
+    def count(hashes: Column) -> Column:
+        n = F.size(hashes)
+        windows = bind(bind(pairwise(hashes, n - 1, 1), lambda h: pairwise(h, n - 3, 2)), lambda h: pairwise(h, n - 7, 4))
         return bind(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(bind(places(h), covered)))
 
-    return bind(words, lambda w: F.when(F.size(w) < 9, F.lit(0).cast("long")).otherwise(count(w)))
+    return F.when(F.size(words) < 9, F.lit(0).cast("long")).otherwise(count(words))
 
 
 def characters(text: Column, chars: str) -> Column:
-    return (F.char_length(text) - F.char_length(F.translate(text, chars, ""))).cast("long")
+    """How many of some ASCII characters a text has; removing them by one pattern is faster than translating all others."""
+    return (F.octet_length(text) - F.octet_length(F.regexp_replace(text, f"[{chars}]", ""))).cast("long")
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -96,20 +96,23 @@ def measures(text: Column) -> dict[str, Column]:
     body = F.coalesce(text, F.lit(""))
     words = word_array(text)
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    stop = F.array(*map(F.lit, dict.fromkeys(STOP_WORDS)))
+    stop = list(dict.fromkeys(STOP_WORDS))
     counted = bind(
         words,
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.size(F.filter(w, lambda x: (F.length(x) <= 6) & F.array_contains(stop, F.lower(F.rtrim(x, F.lit(".,!")))))).cast("long").alias("n_stop"),
-            F.size(F.filter(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: a == b), lambda x: x)).cast("long").alias("n_echo"),
-            repeated_words(w).alias("n_repeat_words"),
+        lambda w: bind(
+            F.transform(w, lambda x: F.xxhash64(x)),
+            lambda h: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                F.size(F.filter(w, lambda x: (F.length(x) <= 6) & F.lower(F.rtrim(x, F.lit(".,!"))).isin(stop))).cast("long").alias("n_stop"),
+                F.size(F.filter(F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), lambda a, b: a == b), lambda x: x)).cast("long").alias("n_echo"),
+                repeated_words(h).alias("n_repeat_words"),
+            ),
         ),
     )
     return {
         "counted": counted,
         "line_counts": bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))),
-        "word_chars": F.char_length(F.translate(body, SPACES, "")).cast("long"),
         "n_symbols": characters(body, SYMBOLS),
         "n_marks": characters(body, MARKS),
     }
@@ -133,7 +136,7 @@ def quality(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", rule
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop", "n_echo", "n_marks", "n_lines"]
     found = docs.select(F.col(doc_id).alias("doc_id"), *[c.alias(n) for n, c in measures(F.col(text)).items()])
-    flat = found.select("doc_id", "counted.*", "line_counts.*", "word_chars", "n_symbols", "n_marks").select("doc_id", *names)
+    flat = found.select("doc_id", "counted.*", "line_counts.*", "n_symbols", "n_marks").select("doc_id", *names)
     columns = {n: F.col(n) for n in names} | {"one": F.lit(1)}
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     judged = flat.withColumn("base_failed", base).withColumns(compile_rules(rules, columns))
