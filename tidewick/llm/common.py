@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +63,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Names of the open scratch folders, the innermost last.
+_SCRATCH: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewick/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return "/".join([shared_dir(spark), "tidewick", spark.sparkContext.applicationId, *_SCRATCH, f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is cut within goes at the end: a step's tables, once its result is stored at a path taken before."""
+    folder = new_path(spark, "scratch")
+    _SCRATCH.append(folder.rpartition("/")[2])
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -75,9 +98,7 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what :func:`cut` and the archive writer left in the shared folder for this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidewick/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/tidewick/{spark.sparkContext.applicationId}")
 
 
 def parallelism(spark: SparkSession) -> int:
