@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of ``documents``.
 ``run`` writes each result as Parquet in the shared folder and reads it back, so that a lost executor costs tasks of
-one stage only.
+one stage only; what a stage itself has stored is deleted then.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewick.llm import lines, mixing, near, packing, toxicity
-from tidewick.llm.common import cut
+from tidewick.llm.common import new_path, scratch
 
 
 #: What stages read or change; operators add no columns of these names.
@@ -76,5 +76,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        path = new_path(spark, "pipeline-" + name.replace(" ", "-"))
+        with scratch(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
     return docs
