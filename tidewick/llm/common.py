@@ -48,8 +48,8 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def row_key(*columns: Column) -> list[Column]:
-    """``k1`` and ``k2``, two hashes of some columns of a row: a key that every scan computes alike, equal for equal rows."""
-    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(1), *columns).alias("k2")]
+    """``k1`` and ``k2``, hashes of some columns of a row (96 bits): a key that every scan computes alike, equal for equal rows."""
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(1), *columns).cast("int").alias("k2")]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -109,8 +109,8 @@ def join_skewed(large: DataFrame, counted: DataFrame, keys: list[str]) -> DataFr
     """Join rows with an aggregate by the same keys, where one key may have many rows.
 
     The aggregate already lies by its keys, and Spark would join it in place; it splits a skewed partition only if both
-    sides come from exchanges made for the join. A key more, a function of the others, asks for these exchanges.
+    sides come from exchanges made for the join. A key more, one bit of the others, asks for these exchanges.
     """
     extra = fresh(large, "join_key")
-    key = F.xxhash64(*keys)
+    key = F.xxhash64(*keys) > 0
     return large.withColumn(extra, key).join(counted.withColumn(extra, key), [*keys, extra]).drop(extra)

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
-from hashlib import sha256
 from typing import NamedTuple
 
 import numpy as np
@@ -14,11 +12,11 @@ import xxhash
 
 #: Text bytes whose words are held together.
 CHUNK_BYTES = 1 << 20
-#: Different words that a task remembers.
-CACHED_WORDS = 400_000
+#: Bytes from which on a word is hashed by itself.
+LONG_WORD = 256
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_LEFT = np.uint64(0xD1342543DE82EF95)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,107 +28,103 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hash of two hashes in order. The scrambling after each step leaves no sum or product for texts to agree in."""
-    return mix(mix(left + _LEFT) * _RIGHT + right)
-
-
-def windows(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each ``size`` consecutive words, made of windows of 1, 2, 4, .. words, each of two halves."""
-    n = max(0, len(words) - size + 1)
-    out, reach, part, span = None, 0, words, 1
-    while True:
-        if size & span:
-            next_part = part[reach : reach + n]
-            out = next_part if out is None else joined(out, next_part)
-            reach += span
-        if span * 2 > size:
-            return out
-        part, span = joined(part[: max(0, len(part) - span)], part[span:]), span * 2
-
-
-class Vocabulary(dict):
-    """Numbers of words as bytes; a number stands for the two halves of the word's 128-bit hash."""
-
-    def __init__(self) -> None:
-        self.low, self.high = array("Q"), array("Q")
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_128_intdigest(word)
-        self.low.append(found & 0xFFFFFFFFFFFFFFFF)
-        self.high.append(found >> 64)
-        self[word] = len(self.low) - 1
-        return self[word]
-
-    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        found = np.frombuffer(self.low, dtype=np.uint64)[numbers] if words else np.empty(0, dtype=np.uint64), np.frombuffer(self.high, dtype=np.uint64)[numbers] if words else np.empty(0, dtype=np.uint64)
-        if len(self) > CACHED_WORDS:
-            self.clear()
-            self.low, self.high = array("Q"), array("Q")
-        return found
+    return mix(left * _LEFT + right)
+
+
+class Windows:
+    """Hashes of windows of consecutive words: those of 1, 2, 4, .. words of two halves, others of a few of these."""
+
+    def __init__(self, words: np.ndarray):
+        self.levels = [words]
+
+    def __call__(self, size: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Hash of each ``size`` words, or of those that start at the places ``at``."""
+        while 2 << len(self.levels) - 1 <= size:
+            last, half = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(joined(last[: max(0, len(last) - half)], last[half:]))
+        n, out, reach = max(0, len(self.levels[0]) - size + 1), None, 0
+        for level, part in enumerate(self.levels):
+            if size >> level & 1:
+                next_part = part[reach : reach + n] if at is None else part[at + reach]
+                out = next_part if out is None else joined(out, next_part)
+                reach += 1 << level
+        return out
+
+
+def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and stop; they end at ASCII white space, as does ``data``."""
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    edges = np.flatnonzero(np.diff(blank, prepend=True))
+    return edges[0::2], edges[1::2]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each word, eight bytes after eight with scrambling between; ``data`` goes on for 8 bytes after the last word."""
+    lanes = np.ndarray(max(0, len(data) - 7), dtype="<u8", buffer=data, strides=(1,))
+    lengths = stops - starts
+    out = mix(lengths.astype(np.uint64) + np.uint64(seed))
+    left, where, at = np.minimum(lengths, LONG_WORD), np.arange(len(starts)), starts
+    while len(where):
+        kept = (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64)))
+        out[where] = joined(out[where], lanes[at] & kept)
+        more = left > 8
+        left, where, at = left[more] - 8, where[more], at[more] + 8
+    for k in np.flatnonzero(lengths > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : stops[k]].tobytes(), seed)
+    return out
 
 
 class Chunk(NamedTuple):
-    """Some neighbouring rows of a batch. Row i's words are ``words[at[i]:at[i + 1]]``; ``others`` are their second hashes."""
+    """Some neighbouring rows of a batch. Row i's words are ``words[at[i]:at[i + 1]]``; ``others`` are second hashes, if asked for."""
 
     first: int
     at: np.ndarray
     words: np.ndarray
     others: np.ndarray
-    digests: list[bytes]
 
     @property
     def rows(self) -> int:
         return len(self.at) - 1
 
 
-def pieces(body: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, part by part; words end at ASCII white space."""
+def parts(body: bytes) -> Iterator[bytes]:
+    """A long text in parts of about CHUNK_BYTES that end between words."""
     at = 0
     while at < len(body):
-        stop = at + CHUNK_BYTES
-        end = _SPACE.search(body, stop) if stop < len(body) else None
+        end = _SPACE.search(body, at + CHUNK_BYTES) if at + CHUNK_BYTES < len(body) else None
         stop = end.start() if end else len(body)
-        yield body[at:stop].split()
+        yield body[at:stop]
         at = stop
 
 
-def chunks(texts: pa.Array, digests: bool = False) -> Iterator[Chunk]:
-    """The texts of a batch, hashed chunk by chunk; null is empty. A digest is the SHA-256 of the words with single spaces between."""
-    vocabulary, held, low, high, counts, marks, first = Vocabulary(), [], [], [], [], [], 0
-
-    def hash_held() -> None:
-        found = vocabulary.hashes(held)
-        low.append(found[0])
-        high.append(found[1])
-        held.clear()
-
-    def chunk() -> Chunk:
-        hash_held()
-        made = Chunk(first, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.concatenate(low), np.concatenate(high), list(marks))
-        for x in (low, high, counts, marks):
-            x.clear()
-        return made
-
-    size = 0
+def chunks(texts: pa.Array, second: bool = False) -> Iterator[Chunk]:
+    """The texts of a batch, hashed chunk by chunk; null is empty."""
+
+    def hashed(first: int, bodies: list[bytes]) -> Chunk:
+        pieces = [b"\n".join(bodies)] if len(bodies) > 1 else parts(bodies[0])
+        words, others, starts, before = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.uint64)], [], 0
+        for piece in pieces:
+            data = np.frombuffer(piece + b" " * 9, dtype=np.uint8)
+            edges = word_edges(data)
+            words.append(word_hashes(data, *edges))
+            if second:
+                others.append(word_hashes(data, *edges, seed=0x5851F42D4C957F2D))
+            starts.append(edges[0] + before)
+            before += len(piece)
+        ends = np.cumsum([len(b) + 1 for b in bodies])
+        at = np.searchsorted(np.concatenate(starts), ends) if starts else np.zeros(len(bodies), dtype=np.int64)
+        return Chunk(first, np.concatenate([[0], at]).astype(np.int64), np.concatenate(words), np.concatenate(others))
+
+    held, size, first = [], 0, 0
     for i, text in enumerate(texts):
         body = (text.as_py() or "").encode()
-        if counts and size + len(body) > CHUNK_BYTES:
-            yield chunk()
-            first, size = i, 0
-        size += len(body)
-        n, digest = 0, sha256()
-        for words in pieces(body):
-            if digests and words:
-                digest.update((b" " if n else b"") + b" ".join(words))
-            n += len(words)
-            held.extend(words)
-            if len(body) > CHUNK_BYTES:
-                hash_held()
-        counts.append(n)
-        if digests:
-            marks.append(digest.digest())
-    if counts:
-        yield chunk()
+        if held and size + len(body) > CHUNK_BYTES:
+            yield hashed(first, held)
+            held, size, first = [], 0, i
+        held.append(body)
+        size += len(body) + 1
+    if held:
+        yield hashed(first, held)
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, join_skewed, numbered
-from .hashing import chunks, joined, mix, signed, windows
+from .hashing import Windows, chunks, joined, mix, signed
 
 #: Words of a shingle, similarity of a link, bands of a signature and registers of a band.
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 20, 5
@@ -22,7 +23,7 @@ def shingle_hashes(at: np.ndarray, words: np.ndarray, size: int) -> tuple[np.nda
     """(row, hash) of each shingle of some texts; a text of fewer words than a shingle is one shingle."""
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
-    hashes = windows(words, size)
+    hashes = Windows(words)(size)
     inside = np.flatnonzero(doc[: len(hashes)] == doc[size - 1 :]) if len(hashes) else np.empty(0, dtype=np.int64)
     docs, found = [doc[inside]], [hashes[inside]]
     for k in range(1, size):
@@ -84,6 +85,11 @@ def band_keys(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: in
     return keys
 
 
+def digest(text: pa.StringScalar) -> bytes:
+    """SHA-256 of the words with single spaces between."""
+    return sha256(b" ".join((text.as_py() or "").encode().split())).digest()
+
+
 def signatures(size: int, bands: int, band_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(row, doc_id, digest of the words, number of distinct shingles, band hashes); no bands without words.
 
@@ -93,7 +99,7 @@ def signatures(size: int, bands: int, band_rows: int) -> Callable[[Iterator[pa.R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column("text"), digests=True):
+            for chunk in chunks(batch.column("text")):
                 has = np.diff(chunk.at) > 0
                 sizes = np.zeros(chunk.rows, dtype=np.int64)
                 keys = np.zeros((chunk.rows, bands), dtype=np.uint64)
@@ -113,7 +119,7 @@ def signatures(size: int, bands: int, band_rows: int) -> Callable[[Iterator[pa.R
                 ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
                 rows = batch.slice(chunk.first, chunk.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("row"), rows.column("doc_id"), pa.array(chunk.digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), signed(both[held]))],
+                    [rows.column("row"), rows.column("doc_id"), pa.array(list(map(digest, rows.column("text"))), pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), signed(both[held]))],
                     names=["row", "doc_id", "digest", "n", "bands"],
                 )
 

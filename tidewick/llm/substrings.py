@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, join_skewed, row_key
-from .hashing import chunks, joined, ranges, signed, windows
+from .hashing import Windows, chunks, joined, ranges, signed
 
 #: Words of a window, and of the seeds from which anchors are winnowed.
 WINDOW, SEED = 35, 6
@@ -33,9 +33,9 @@ def winnow(seeds: np.ndarray, width: int) -> np.ndarray:
 def anchors(window: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The runs of neighbouring windows of a text that choose the same anchor.
 
-    Equal windows choose equal anchors at equal offsets, whatever surrounds them. ``context`` and ``context2`` hash all
-    the words of the run's windows (its first and last window hold them) with the anchor's offset, from two hashes of
-    each word: runs of equal context agree as far as their windows reach.
+    Equal windows choose equal anchors at equal offsets, whatever surrounds them. ``context`` hashes all the words of the
+    run's windows (its first and last window hold them) with the anchor's offset: runs of equal anchor and context agree
+    as far as their windows reach.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,8 @@ def anchors(window: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 n = len(chunk.words)
                 if n < window:
                     continue
-                seeds = windows(chunk.words, seed)
+                slices = Windows(chunk.words)
+                seeds = slices(seed)
                 chosen = winnow(seeds, window - seed + 1)
                 doc = np.repeat(np.arange(chunk.rows), np.diff(chunk.at))
                 start = np.flatnonzero(doc[: len(chosen)] == doc[window - 1 :])
@@ -55,15 +56,12 @@ def anchors(window: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 count = np.diff(np.concatenate([new, [len(start)]]))
                 first, at = start[new], anchor[new]
                 shape = (count * window + (at - first)).astype(np.uint64)
-                contexts = []
-                for words in (chunk.words, chunk.others):
-                    whole = windows(words, window)
-                    contexts.append(joined(joined(whole[first], whole[first + count - 1]), shape))
+                context = joined(joined(slices(window, first), slices(window, first + count - 1)), shape)
                 owner = doc[first]
                 keys = [batch.column(k).slice(chunk.first, chunk.rows).take(pa.array(owner)) for k in ("k1", "k2")]
                 yield pa.RecordBatch.from_arrays(
-                    [*keys, pa.array((first - chunk.at[owner]).astype(np.int32)), pa.array(count.astype(np.int32)), signed(seeds[at]), *map(signed, contexts)],
-                    names=["k1", "k2", "first", "windows", "anchor", "context", "context2"],
+                    [*keys, pa.array((first - chunk.at[owner]).astype(np.int32)), pa.array(count.astype(np.int32)), signed(seeds[at]), signed(context)],
+                    names=["k1", "k2", "first", "windows", "anchor", "context"],
                 )
 
     return run
@@ -79,13 +77,13 @@ def extensions(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column("asked")
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(batch.column("text"), second=True):
                 runs = asked.slice(chunk.first, chunk.rows)
                 owner = np.repeat(np.arange(chunk.rows), pa.compute.list_value_length(runs).to_numpy())
                 flat = runs.flatten()
                 first, count = flat.field("first").to_numpy(), flat.field("windows").to_numpy()
                 where = ranges(chunk.at[owner] + first, count)
-                one, two = windows(chunk.words, window)[where], windows(chunk.others, window)[where]
+                one, two = Windows(chunk.words)(window, where), Windows(chunk.others)(window, where).astype(np.uint32)
                 of = np.repeat(owner, count)
                 order = np.lexsort((where, two, one, of))
                 of, one, two, where = of[order], one[order], two[order], where[order]
@@ -94,7 +92,7 @@ def extensions(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 begin = np.flatnonzero(new)
                 starts = pa.ListArray.from_arrays(pa.array(np.append(begin, len(of)).astype(np.int32)), pa.array((where - chunk.at[of]).astype(np.int32)))
                 keys = [batch.column(k).slice(chunk.first, chunk.rows).take(pa.array(of[begin])) for k in ("k1", "k2")]
-                yield pa.RecordBatch.from_arrays([*keys, signed(one[begin]), signed(two[begin]), starts], names=["k1", "k2", "hash", "hash2", "starts"])
+                yield pa.RecordBatch.from_arrays([*keys, signed(one[begin]), pa.array(two[begin].view(np.int32)), starts], names=["k1", "k2", "hash", "hash2", "starts"])
 
     return run
 
@@ -144,8 +142,9 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     Documents meet on anchors; anchors that occur once are done with. Extend: where all occurrences of an anchor agree
     in the whole context of their windows, all these windows are repeats. Where occurrences differ, the anchor is
     extended both ways to each window that chose it, and windows are counted. Counting replaces pairs: the work is
-    linear in the windows, whatever the size of a group, and no link is lost. Contexts and windows are known by 128 bits,
-    two hashes built from different hashes of their words, and hold only if both agree.
+    linear in the windows, whatever the size of a group, and no link is lost. A window is known by 96 bits, two hashes
+    built from different hashes of its words, and is a repeat only if both agree; a context by its anchor's 64 bits and
+    64 of its own.
 
     Null and empty texts have no words. Texts shorter than a window are kept whole, with single spaces between words.
     Rows repeated whole are two documents, and repeat each other. Other columns are not read. An empty table gives an
@@ -156,18 +155,18 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_key(F.col(doc_id), F.col(text)))
     # Inner joins ask for this filter on their own; with it in all plans, the scans and shuffles of texts are alike.
     whole = whole.where("k1 is not null and k2 is not null")
-    runs = whole.select(*keys, "text").mapInArrow(anchors(window, seed), "k1 long, k2 long, first int, windows int, anchor long, context long, context2 long")
+    runs = whole.select(*keys, "text").mapInArrow(anchors(window, seed), "k1 long, k2 int, first int, windows int, anchor long, context long")
     shared = (
         runs.groupBy("anchor")
-        .agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("context", "context2") for f in (F.min, F.max)])
+        .agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
         .where("n >= 2")
-        .select("anchor", F.expr("min_context <> max_context or min_context2 <> max_context2").alias("differ"))
+        .select("anchor", (F.col("low") != F.col("high")).alias("differ"))
     )
     seeded = cut(join_skewed(runs.select(*keys, "first", "windows", "anchor"), shared, ["anchor"]), "substring-runs")
     # Rows of one key are alike: what one of them asks for, the others need not ask again.
     asked = seeded.where("differ").groupBy(*keys).agg(F.collect_set(F.struct("first", "windows")).alias("asked"))
     # Both joins read the texts with the same columns and key, so Spark shuffles the texts once.
-    extended = whole.join(asked, keys).select(*keys, "text", "asked").mapInArrow(extensions(window), "k1 long, k2 long, hash long, hash2 long, starts array<int>")
+    extended = whole.join(asked, keys).select(*keys, "text", "asked").mapInArrow(extensions(window), "k1 long, k2 int, hash long, hash2 int, starts array<int>")
     twice = extended.groupBy("hash", "hash2").agg(F.sum(F.size("starts")).alias("n")).where("n >= 2").select("hash", "hash2")
     single = join_skewed(extended, twice, ["hash", "hash2"]).select(*keys, F.explode("starts").alias("first"), F.lit(1).alias("windows"))
     spans = seeded.where("not differ").select(*keys, "first", "windows").unionByName(single).groupBy(*keys).agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
