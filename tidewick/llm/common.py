@@ -49,7 +49,7 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 
 def row_key(*columns: Column) -> list[Column]:
     """``k1`` and ``k2``, hashes of some columns of a row (96 bits): a key that every scan computes alike, equal for equal rows."""
-    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(1), *columns).cast("int").alias("k2")]
+    return [F.xxhash64(*columns).alias("k1"), F.shiftright(F.xxhash64(F.lit(1), *columns), 32).cast("int").alias("k2")]
 
 
 def shared_dir(spark: SparkSession) -> str:
