@@ -51,6 +51,32 @@ def test_missing_display_unit_raises(spark, data):
 IMAGES = [('<p><img alt="x" src="https://cdn-images/x.png"></p>', "https://cdn-images/x.png"), ('<img src="https://other/x.png">', ""), ("<p>none</p>", "")]
 
 
+def test_unknown_assets_are_an_error_or_null(spark):
+    units = spark.createDataFrame([("ua", "a", 6)], "denom string, display string, exponent int")
+    raw = spark.createDataFrame([(1, "ua", "ux", "buy", Decimal("2"), Decimal(5), "m", "t", 0)], "id long, base string, quote string, order_type string, price decimal(20,4), amount decimal(17,0), maker string, taker string, executed_at long")
+    with pytest.raises(Exception, match="no display denom for quote asset"):
+        assets.convert_trades(raw, units).collect()
+    with pytest.raises(Exception, match="no display denom for quote asset"):
+        assets.convert_orders(raw, units, "2024-01-01").collect()
+    (row,) = assets.convert_trades(raw, units, strict=False).collect()
+    assert row.price is None and row.market_id == "ua/ux"
+
+
+def test_landed_lists(spark, tmp_path):
+    (tmp_path / "orders.json").write_text('{"market_id": "a/b", "order_type": "buy", "price": "1.5", "amount": "7"}\n')
+    (tmp_path / "markets.json").write_text('{"base": "ua", "quote": "ub", "creator": "me"}\n')
+    (tmp_path / "assets.json").write_text('{"chain_name": "c", "assets": [{"base": "ua", "display": "a", "denom_units": [{"denom": "ua", "exponent": 0}, {"denom": "a", "exponent": 6}]}]}')
+    assert [tuple(r) for r in tables.raw_orders(spark, str(tmp_path / "orders.json")).collect()] == [("a/b", "buy", "1.5", "7")]
+    assert [tuple(r) for r in tables.raw_markets(spark, str(tmp_path / "markets.json")).collect()] == [("ua/ub", "ua", "ub", "me")]
+    assert [tuple(r) for r in assets.display_units(tables.registry(spark, str(tmp_path / "assets.json"))).collect()] == [("ua", "a", 6)]
+
+
+def test_charts_take_a_market_and_a_length(spark):
+    for bad in ({}, {"market_id": "a/b", "minutes": 0}):
+        with pytest.raises(ValueError):
+            requests.ChartRequest(**bad)
+
+
 @pytest.mark.parametrize("html, url", IMAGES)
 def test_images(spark, html, url):
     assert one(spark, text.first_image(F.lit(html))) == url

@@ -61,3 +61,12 @@ def test_stream_lands_all_trades(spark, tmp_path, url):
     query.stop()
     found = sorted((r.market_id, r.executed_at) for r in spark.read.parquet(out).collect())
     assert found == sorted((m, t) for m, times in TRADES.items() for t in times)
+
+
+def test_batch_reader_follows_pages_down_to_a_second(spark, url):
+    spark.dataSource.register(PagedJson)
+    reader = spark.read.format("paged_json").option("url", url).option("markets", "a/b,c/d,e/f").option("limit", "4")
+    found = reader.option("since", "7").load()
+    assert found.rdd.getNumPartitions() == 3
+    got = sorted((r.market_id, r.executed_at) for r in found.collect())
+    assert got == sorted([("a/b", t) for t in range(7, 51)] + [("c/d", 7)] * 2)

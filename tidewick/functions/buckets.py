@@ -23,10 +23,6 @@ def bucket_end(start: Column, minutes: Column | int) -> Column:
     return F.timestamp_seconds(F.unix_seconds(start) + seconds)
 
 
-def day_start(time: Column) -> Column:
-    return bucket_start(time, max(LENGTHS))
-
-
 def at(as_of: datetime | str) -> Column:
     """The moment that a query takes as now; no query reads the clock."""
     return F.lit(str(as_of)).cast("timestamp")

@@ -23,12 +23,6 @@ def shown(value: Column) -> Column:
     return trim_zeros(value.cast(MONEY).cast("string"))
 
 
-def power_of_ten(exponent: Column) -> Column:
-    """10**exponent for -18..18, exact, from a map of literals."""
-    table = F.create_map(*[x for e in range(-18, 19) for x in (F.lit(e), F.lit(Decimal(1).scaleb(e)).cast("decimal(38,18)"))])
-    return F.element_at(table, exponent.cast("int"))
-
-
 def shift(value: Column, exponent: Column) -> Column:
     """value * 10**exponent with 18 digits, half to even.
 

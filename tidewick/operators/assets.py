@@ -20,9 +20,9 @@ def display_units(registry: DataFrame) -> DataFrame:
 
 
 def with_exponents(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """``rows`` (base, quote, ..) with both exponents; rows of unknown assets drop out. Spark broadcasts small registries."""
+    """``rows`` (base, quote, ..) with both exponents, null where an asset or its display unit is unknown. Spark broadcasts small registries."""
     side = lambda c: units.select(F.col("denom").alias(c), F.col("exponent").alias(f"{c}_exponent"))
-    return rows.join(side("base"), "base").join(side("quote"), "quote")
+    return rows.join(side("base"), "base", "left").join(side("quote"), "quote", "left")
 
 
 def checked(exponent: Column, what: str) -> Column:
@@ -61,7 +61,8 @@ def quote_amount(amount: Column, price: Column, exponent: Column) -> Column:
 def convert_trades(raw: DataFrame, units: DataFrame, *, compat: bool = False, strict: bool = True) -> DataFrame:
     """Raw trades (id, base, quote, order_type, price, amount, maker, taker, executed_at in seconds) as history rows.
 
-    ``strict`` raises where an asset has no display unit; otherwise these rows have null prices and amounts.
+    ``strict`` raises where an asset is unknown or has no display unit, whatever columns are read; otherwise these rows
+    have null prices and amounts.
     """
     e = lambda c: checked(F.col(f"{c}_exponent"), c) if strict else F.col(f"{c}_exponent")
     rows = with_exponents(raw, units)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import at
 from ..functions.money import shown
+from .requests import BookRequest, allowed_format
 
 BUY, SELL = "buy", "sell"
 
@@ -43,3 +44,9 @@ def listing_books(rows: DataFrame) -> DataFrame:
     """The other book format: [price, volume] pairs under a ticker id."""
     pairs = lambda c: F.transform(c, lambda x: F.array(x["price"], x["volume"])).alias(c)
     return rows.select(F.replace("market_id", F.lit("/"), F.lit("_")).alias("ticker_id"), "timestamp", pairs("bids"), pairs("asks"))
+
+
+def requested(orders: DataFrame, request: BookRequest, as_of: str) -> DataFrame:
+    """The book that a request asks for, in the format it asks for; an unknown format is the default one."""
+    rows = books(orders.where(F.col("market_id") == request.market), as_of, request.depth)
+    return listing_books(rows) if allowed_format(request.format) else rows

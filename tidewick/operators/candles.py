@@ -157,6 +157,23 @@ def candles(trades: DataFrame, lengths: tuple[int, ...] = LENGTHS, *, exact: boo
     return _averaged(rows.where(plain).select(*KEYS, *money).unionByName(folded(trades, lengths)), strict).select(*OUT)
 
 
+def candles_since(trades: DataFrame, begin: Column, lengths: tuple[int, ...] = LENGTHS, **options: bool) -> DataFrame:
+    """Candles that start at ``begin`` or later. Trades are filtered before the fold: those of such candles are no older."""
+    return candles(trades.where(F.col("executed_at") >= begin), lengths, **options).where(F.col("start_at") >= begin)
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """One candle for each market, length and start: of rows that repeat a start, the one updated last."""
+    order = F.struct(F.coalesce("i_updated_at", "i_created_at"), "i_created_at")
+    others = [c for c in rows.columns if c not in KEYS]
+    return rows.groupBy(*KEYS).agg(F.max_by(F.struct(*others), order).alias("c")).select(*KEYS, *[F.col(f"c.{c}").alias(c) for c in others]).select(*rows.columns)
+
+
+def public_rows(rows: DataFrame) -> DataFrame:
+    """Candles under their public names: the length is called ``minutes``."""
+    return rows.withColumnRenamed("length", "minutes")
+
+
 def trading_view(rows: DataFrame, *keys: str) -> DataFrame:
     """Candles as charts take them: ``keys``, time in unix seconds, prices as doubles, ``value`` the base volume."""
     price = lambda c, n: F.col(c).cast("double").alias(n)

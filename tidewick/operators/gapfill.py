@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.buckets import at, bucket_end, bucket_start, minutes_before
-from .candles import OUT
+from .candles import OUT, public_rows, trading_view
+from .requests import ChartRequest
 
 PRICES = ("lowest_price", "open_price", "average_price", "highest_price", "close_price", "base_volume", "quote_volume")
 
@@ -27,21 +28,32 @@ def found(candles: DataFrame, markets: DataFrame, as_of: str, length: int, limit
     return rows.withColumn("place", place).where(F.col("place") <= limit).drop("begin", "place")
 
 
+def calendar(markets: DataFrame, as_of: str, length: int, limit: int) -> DataFrame:
+    """The start of every bucket of each market's range."""
+    lowest = bucket_start(F.timestamp_seconds(F.unix_seconds("begin") + 60 * length - 1), length)
+    newest = bucket_start(at(as_of), length)
+    starts = F.explode(F.sequence(lowest, newest, F.make_interval(mins=F.lit(length))))
+    return ranges(markets, as_of, length, limit).where(lowest <= newest).select("market_id", starts.alias("start_at"))
+
+
 def gapfilled(candles: DataFrame, markets: DataFrame, as_of: str, length: int, limit: int) -> DataFrame:
     """The last candles of each market up to ``as_of``, zero candles in the gaps; all candles of one length.
 
     A bucket belongs to the range if its start does, so a range that begins on a boundary has ``limit + 1`` buckets. A
     market with exactly ``limit`` candles gets just these.
     """
-    held = found(candles, markets, as_of, length, limit)
-    full = held.groupBy("market_id").count().where(F.col("count") == limit).select("market_id")
-    step = F.make_interval(mins=F.lit(length))
-    lowest = bucket_start(F.timestamp_seconds(F.unix_seconds("begin") + 60 * length - 1), length)
-    newest = bucket_start(at(as_of), length)
-    open_ranges = ranges(markets, as_of, length, limit).join(full, "market_id", "left_anti").where(lowest <= newest)
-    calendar = open_ranges.select("market_id", F.explode(F.sequence(lowest, newest, step)).alias("start_at"))
+    held = found(candles, markets, as_of, length, limit).drop("length", "end_at").withColumn("traded", F.lit(True))
+    buckets = calendar(markets, as_of, length, limit).withColumn("listed", F.lit(True))
+    # Candles are computed once: how many a market has is counted over the joined rows.
+    both = buckets.join(held, ["market_id", "start_at"], "full")
+    full = F.count("traded").over(Window.partitionBy("market_id")) == limit
+    kept = both.withColumn("full", full).where(F.when(F.col("full"), F.col("traded")).otherwise(F.col("listed")))
     zeros = [F.coalesce(F.col(c), F.lit(0).cast(held.schema[c].dataType)).alias(c) for c in PRICES]
-    filled = calendar.join(held.drop("length", "end_at"), ["market_id", "start_at"], "left").select(
-        "market_id", F.lit(length).alias("length"), "start_at", bucket_end(F.col("start_at"), length).alias("end_at"), *zeros
-    )
-    return filled.select(*OUT).unionByName(held.join(full, "market_id", "left_semi").select(*OUT))
+    return kept.select("market_id", F.lit(length).alias("length"), "start_at", bucket_end(F.col("start_at"), length).alias("end_at"), *zeros).select(*OUT)
+
+
+def chart(candles: DataFrame, markets: DataFrame, request: ChartRequest, as_of: str) -> DataFrame:
+    """The chart that a request asks for: of its market, length and limit; ``tv`` gives the rows that charts take."""
+    mine = F.col("market_id") == request.market
+    rows = gapfilled(candles.where(mine), markets.where(mine), as_of, request.minutes, request.rows)
+    return trading_view(rows) if request.format == "tv" else public_rows(rows)

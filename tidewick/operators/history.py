@@ -92,6 +92,11 @@ def first_trades(trades: DataFrame) -> DataFrame:
     return trades.groupBy("market_id").agg(F.min("executed_at").alias("first_trade"))
 
 
+def created_at(trades: DataFrame) -> DataFrame:
+    """(market_id, i_created_at): a market counts as created a minute before its first trade."""
+    return first_trades(trades).select("market_id", (F.col("first_trade") - F.expr("interval 1 minute")).alias("i_created_at"))
+
+
 def oldest_unprocessed(trades: DataFrame) -> DataFrame:
     """The oldest trade of each market that no candle holds yet."""
     return first_trades(trades.where(~F.col("i_added_to_interval")))

@@ -36,6 +36,7 @@ class MarketChoice:
 class ChartRequest(MarketChoice):
     minutes: int = LENGTHS[0]
     limit: int = 0
+    format: str = ""
 
     def __post_init__(self):
         if self.minutes not in LENGTHS:
@@ -52,6 +53,7 @@ class ChartRequest(MarketChoice):
 @dataclass(frozen=True)
 class BookRequest(MarketChoice):
     depth: int = 0
+    format: str = ""
 
     def __post_init__(self):
         if self.depth < 0:

@@ -13,10 +13,11 @@ from ..functions.text import first_image, shorten, strip_html
 from ..operators import assets, book, documents, gapfill, health, history, tickers
 from ..operators import articles as feed
 from ..operators import candles as ohlc
+from ..operators.requests import BookRequest, ChartRequest
 from ..sinks import tables as sinks
-from ..sources import derived
+from ..sources import derived, tables
 from ..sources.shared import shared_path
-from ..streaming import listener
+from ..streaming import listener, sync
 from .oracle import AS_OF, AS_OF_ALIGNED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +58,7 @@ def candles_all_lengths(spark, sf_dir):
 
 @query
 def candles_since(spark, sf_dir):
-    return ntz(_candles(spark, sf_dir, 60).where(F.col("start_at") >= minutes_before(AS_OF, 24 * 60)))
+    return ntz(ohlc.candles_since(derived.trades(spark, sf_dir), minutes_before(AS_OF, 24 * 60), (60,)))
 
 
 @query
@@ -89,9 +90,30 @@ def intervals_tradingview(spark, sf_dir):
     return ohlc.trading_view(_filled(spark, sf_dir, AS_OF, 15, 500), "market_id")
 
 
+@query
+def chart_request(spark, sf_dir):
+    """A chart as it is asked for, under its public names."""
+    request = ChartRequest(ticker_id="click_usd", minutes=60, limit=100)
+    return ntz(gapfill.chart(_candles(spark, sf_dir, 60), derived.markets(spark, sf_dir), request, AS_OF))
+
+
+@query
+def candles_latest(spark, sf_dir):
+    """Candles that two syncs stored twice, each once, as the later one left it."""
+    hours = _candles(spark, sf_dir, 60).withColumn("i_created_at", at(AS_OF_ALIGNED)).withColumn("i_updated_at", F.lit(None).cast("timestamp"))
+    again = hours.where("start_at >= '2024-01-10'").withColumn("i_updated_at", at(AS_OF)).withColumn("close_price", F.col("close_price") + 1)
+    rows = ohlc.latest(hours.unionByName(again.withColumn("close_price", F.col("close_price").cast(hours.schema["close_price"].dataType))))
+    return ntz(rows.select("market_id", "start_at", "close_price", "i_updated_at"))
+
+
+@query
+def market_creation(spark, sf_dir):
+    return ntz(history.created_at(derived.trades(spark, sf_dir)))
+
+
 def _tickers(spark, sf_dir):
     trades = derived.trades(spark, sf_dir)
-    return tickers.tickers(derived.markets(spark, sf_dir), trades, ohlc.candles(trades, (5,)), derived.orders(spark, sf_dir), AS_OF)
+    return tickers.tickers(derived.markets(spark, sf_dir), trades, ohlc.candles_since(trades, minutes_before(AS_OF, 60 * tickers.HOURS), (5,)), derived.orders(spark, sf_dir), AS_OF)
 
 
 @query
@@ -188,6 +210,14 @@ def order_book_coingecko(spark, sf_dir):
     return book.listing_books(book.books(derived.orders(spark, sf_dir), AS_OF, 10)).select("ticker_id", pairs("bids"), pairs("asks"), "timestamp")
 
 
+@query
+def book_request(spark, sf_dir):
+    """A book as it is asked for, in the listing format."""
+    pairs = lambda c: F.array_join(F.transform(c, lambda x: F.array_join(x, ":")), ",").alias(c)
+    rows = book.requested(derived.orders(spark, sf_dir), BookRequest(market_id="view/usd", depth=10, format="coingecko"), AS_OF)
+    return rows.select("ticker_id", pairs("bids"), pairs("asks"), "timestamp")
+
+
 @query
 def best_bid_ask(spark, sf_dir):
     return ntz(book.best_prices(derived.orders(spark, sf_dir)))
@@ -440,3 +470,25 @@ def candles_streamed(spark, sf_dir):
     stream = spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     listener.run(stream, stored, out, state).awaitTermination()
     return ntz(spark.read.parquet(out).select(*ohlc.OUT))
+
+
+def feed_of(spark: SparkSession, sf_dir: str) -> sync.Feed:
+    """The derived tables as what the event loop reads from."""
+
+    def trades(asked: DataFrame) -> DataFrame:
+        return derived.trades(spark, sf_dir).join(asked, "market_id").where("since is null or executed_at >= since").drop("since")
+
+    return sync.Feed(lambda: derived.markets(spark, sf_dir), trades, lambda asked: derived.orders(spark, sf_dir).join(asked, "market_id", "left_semi"))
+
+
+@query
+def listener_streamed(spark, sf_dir):
+    """What the event loop has stored after all events of a stream: rows and sums of each table and market."""
+    landed, folder, state = (shared_path(spark, f"listener-{n}") for n in ("landed", "store", "state"))
+    derived.events(spark, sf_dir).repartition(3).write.json(landed)
+    feed = feed_of(spark, sf_dir)
+    store = sync.Store(folder, feed)
+    sync.run(tables.event_stream(spark, landed, 1), feed, store, state).awaitTermination()
+    parts = {"markets": "id", "trades": "amount", "candles": "base_volume", "orders": "amount"}
+    sums = [store.read(spark, n).groupBy("market_id").agg(F.count("*").alias("n"), F.sum(c).cast("double").alias("total")).withColumn("stored", F.lit(n)) for n, c in parts.items()]
+    return sums[0].unionByName(sums[1]).unionByName(sums[2]).unionByName(sums[3]).select("stored", "market_id", "n", "total")

@@ -216,4 +216,15 @@ SELECT market_id, start_at, cl::DOUBLE AS close_price, CASE WHEN o.market_id IS
     "mark_processed": f"WITH {TRADES} SELECT id, done OR order_type = 'buy' AS i_added_to_interval FROM trades",
     "upsert_markets": f"""WITH {TRADES}, {MARKETS} SELECT id, market_id, CASE WHEN id <= 4 THEN 'genesis' ELSE 'sync' END AS created_by, CASE WHEN id >= 3 THEN TIMESTAMP '{AS_OF}' ELSE created END AS i_created_at FROM markets""",
     "candles_streamed": candles(),
+    "book_request": f"""WITH {ORDERS}, {_LEVELS.format(keep='place <= 5')} SELECT replace(market_id, '/', '_') AS ticker_id, string_agg({shown('price')} || ':' || {shown('amount')}, ',' ORDER BY position) FILTER (order_type = 'buy') AS bids,
+  string_agg({shown('price')} || ':' || {shown('amount')}, ',' ORDER BY position) FILTER (order_type = 'sell') AS asks, epoch(TIMESTAMP '{AS_OF}')::BIGINT::VARCHAR AS timestamp FROM levels WHERE market_id = 'view/usd' GROUP BY market_id""",
+    "chart_request": f"""WITH {_filled(AS_OF, 60, 100)}, rows AS (SELECT {CANDLE_COLUMNS} FROM filled) SELECT * RENAME (length AS minutes) FROM rows WHERE market_id = 'click/usd'""",
+    "candles_latest": f"""WITH {TRADES}, {CANDLES} SELECT market_id, start_at, (CASE WHEN start_at >= TIMESTAMP '2024-01-10' THEN cl + 1 ELSE cl END)::DOUBLE AS close_price,
+  CASE WHEN start_at >= TIMESTAMP '2024-01-10' THEN TIMESTAMP '{AS_OF}' END AS i_updated_at FROM candles WHERE length = 60""",
+    "market_creation": f"WITH {TRADES} SELECT market_id, min(executed_at) - INTERVAL 1 MINUTE AS i_created_at FROM trades GROUP BY 1",
+    "listener_streamed": f"""WITH {TRADES}, {CANDLES}, {MARKETS}, {ORDERS}
+SELECT 'markets' AS stored, market_id, 1::BIGINT AS n, id::DOUBLE AS total FROM markets
+UNION ALL SELECT 'trades', market_id, count(*), sum(amount)::DOUBLE FROM trades WHERE market_id = 'purchase/usd' GROUP BY ALL
+UNION ALL SELECT 'candles', market_id, count(*), sum(bv)::DOUBLE FROM candles WHERE market_id = 'purchase/usd' GROUP BY ALL
+UNION ALL SELECT 'orders', market_id, count(*), sum(amount)::DOUBLE FROM book WHERE market_id IN ('click/usd', 'purchase/usd', 'view/usd') GROUP BY ALL""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.history import created_at
 from .tables import table
 
 KINDS = ("click", "error", "purchase", "signup", "view")
@@ -28,7 +29,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A market for each kind of event, created a minute before its first trade, and one without trades."""
-    first = trades(spark, sf_dir).groupBy("market_id").agg((F.min("executed_at") - F.expr("interval 1 minute")).alias("i_created_at"))
+    first = created_at(trades(spark, sf_dir))
     names = spark.createDataFrame([(i + 1, k) for i, k in enumerate(KINDS)] + [(len(KINDS) + 1, "idle")], "id long, base string")
     rows = names.select("id", F.concat("base", F.lit("/usd")).alias("market_id"), "base", F.lit("usd").alias("quote"), F.lit("genesis").alias("created_by"))
     return rows.join(first, "market_id", "left").select("id", "market_id", "base", "quote", "created_by", F.coalesce("i_created_at", F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("i_created_at"))

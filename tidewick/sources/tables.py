@@ -64,9 +64,9 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """A stream of events from a folder in which JSON files land."""
-    return spark.readStream.schema(schema.EVENT).json(path)
+    return spark.readStream.schema(schema.EVENT).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
 def trade_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:

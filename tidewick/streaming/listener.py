@@ -44,7 +44,7 @@ def listen(blocks: DataFrame, transactions: DataFrame, contains: str) -> DataFra
 
 
 def recompute(spark: SparkSession, trades_path: str, candles_path: str) -> Callable[[DataFrame, int], None]:
-    """Handler of a micro-batch of trades: store them, then recompute the candles of each market from its oldest new day.
+    """Handler of a micro-batch of trades: store them, then recompute the candles of the days they touch.
 
     Trades are partitioned by market and day, so that a late trade rewrites one market's days only. A batch that runs
     again replaces what it wrote. Candles are written after the trades; a batch that fails in between is run again.
@@ -60,8 +60,8 @@ def recompute(spark: SparkSession, trades_path: str, candles_path: str) -> Calla
         staged = f"{trades_path}_staged"
         old.unionByName(new.dropDuplicates(["id"])).write.mode("overwrite").parquet(staged)
         write_partitions(spark.read.schema(new.schema).parquet(staged), trades_path, ["market_id", "trade_date"])
-        since = new.groupBy("market_id").agg(F.min("trade_date").alias("since"))
-        again = spark.read.schema(new.schema).parquet(trades_path).join(since, "market_id").where("trade_date >= since").drop("since", "trade_date")
+        # No candle crosses a day: those of the touched days are all that changes, and only their partitions are read.
+        again = spark.read.schema(new.schema).parquet(trades_path).join(touched, ["market_id", "trade_date"], "left_semi").drop("trade_date")
         write_partitions(candles(again).withColumn("candle_date", F.to_date("start_at")), candles_path, ["market_id", "candle_date"])
 
     return handle
