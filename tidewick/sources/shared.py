@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under a temporary folder where it isn't set, in local mode only."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where it isn't set, in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidewick-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tidewick/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/tidewick/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
