@@ -3,6 +3,7 @@
 import base64
 import glob
 import hashlib
+import json
 import math
 import random
 import re
@@ -418,6 +419,28 @@ def test_encoder_agrees_with_the_tokenizer():
         assert np.frombuffer(encode(text), dtype=np.uint16).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
+@pytest.mark.parametrize("change", [{"truncation": {"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}}, {"added": "two words"}, {"added": "plain"}, {"added": "!?"}])
+def test_other_steps_take_the_whole_tokenizer(tmp_path, change):
+    with open(TOKENIZER, encoding="utf-8") as file:
+        steps = json.load(file)
+    if "added" in change:
+        tokenizer = Tokenizer.from_file(TOKENIZER)
+        tokenizer.add_tokens([change["added"]])
+        tokenizer.save(str(tmp_path / "t.json"))
+    else:
+        (tmp_path / "t.json").write_text(json.dumps(steps | change), encoding="utf-8")
+    encode, tokenizer = packing.Encoder(str(tmp_path / "t.json"), 2), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert not encode.by_word
+    for text in ("some plain words and two words more!? of explained text", ""):
+        assert np.frombuffer(encode(text), dtype=np.uint16 if encode.code == "H" else np.uint32).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_encoder_agrees_on_whole_texts(spark):
+    encode, tokenizer = packing.Encoder(TOKENIZER, 2), Tokenizer.from_file(TOKENIZER)
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        assert np.frombuffer(encode(r.text), dtype=np.uint16).tolist() == [*tokenizer.encode(r.text, add_special_tokens=False).ids, 2]
+
+
 def test_hilbert_neighbours_touch():
     grid = np.array([[x, y] for x in range(16) for y in range(16)])
     keys = packing.hilbert(grid, bits=4)

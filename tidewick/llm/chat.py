@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +20,18 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number the turns of each conversation within a sorted partition."""
     last, seen = object(), 0
     for batch in batches:
-        out = np.empty(batch.num_rows, dtype=np.int64)
-        for i, conv in enumerate(batch.column("conv").to_pylist()):
-            if conv != last:
-                last, seen = conv, 0
-            out[i] = seen
-            seen += 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "place"])
+        conv, n = batch.column("conv"), batch.num_rows
+        if not n:
+            continue
+        null = conv.is_null().to_numpy(zero_copy_only=False)
+        same_as_before = pc.fill_null(pc.equal(conv[1:], conv[:-1]), False).to_numpy(zero_copy_only=False) | (null[1:] & null[:-1])
+        starts = np.flatnonzero(np.concatenate([[True], ~same_as_before]))
+        lengths = np.diff(np.append(starts, n))
+        place = np.arange(n) - np.repeat(starts, lengths)
+        if conv[0].as_py() == last:
+            place[: lengths[0]] += seen
+        last, seen = conv[-1].as_py(), int(place[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "place"])
 
 
 def turn_hash(seed: int) -> Column:

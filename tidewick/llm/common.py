@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: The six ASCII white-space characters that separate words in every contract.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -52,17 +53,6 @@ def row_key(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns).alias("k1"), F.shiftright(F.xxhash64(F.lit(1), *columns), 32).cast("int").alias("k2")]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set, in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidewick-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 #: Names of the open scratch folders, the innermost last.
 _SCRATCH: list[str] = []
 

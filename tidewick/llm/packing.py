@@ -19,6 +19,8 @@ LENGTH = 4096
 END = 2
 #: Hashed features of a document's vector, dimensions and bits of the curve.
 FEATURES, DIMS, BITS = 1024, 4, 12
+#: Ids of a partition of the sort, about, where the session's partitions would be larger.
+PART_IDS = 1 << 25
 #: Words in a generation of a task's memory, and rows that are tokenized together.
 CACHED_WORDS, SLICE = 400_000, 256
 
@@ -89,6 +91,12 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def within_words(token: dict) -> bool:
+    """Whether an added token lies in one word that isn't plain: letters behind a mark, no white space, nothing stripped around it."""
+    content = token["content"]
+    return not (re.search(r"\s", content) or token["lstrip"] or token["rstrip"]) and bool(re.search(r"[!-/:-@\[-`{-~][^\W\d_]", content))
+
+
 class Encoder:
     """Ids of texts as bytes, two each where the vocabulary allows it.
 
@@ -106,7 +114,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.tail = array(self.code, [end]).tobytes()
-        self.by_word = all(steps[k] == v for k, v in WORD_STEPS.items()) and steps["post_processor"] is None
+        self.by_word = all(steps[k] == v for k, v in WORD_STEPS.items()) and not any(steps.get(k) for k in ("post_processor", "truncation", "padding")) and all(map(within_words, steps["added_tokens"]))
         self.letters = byte_letters()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -244,18 +252,19 @@ def pack(docs: DataFrame, *, tokenizer: str, text: str = "text", doc_id: str = "
         "pack-ids",
     )
     order = ["curve", "doc_id", "n"]
-    ranged = ids.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
+    parts = max(parallelism(spark), -(-ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // PART_IDS))
+    ranged = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     part = fresh(ranged, "part")
     placed = cut(ranged.withColumn(part, F.spark_partition_id()).mapInArrow(_running, f"doc_id {kind}, curve long, n long, width int, ids binary, part int, before long"), "pack-sorted")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     everywhere = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = (
+    sums = (
         placed.groupBy("part")
         .agg(F.sum("n").alias("words"))
         .select(F.col("part").alias("of"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"), F.sum("words").over(everywhere).alias("total"))
     )
     # One row for each partition of the sort: its size is the number of tasks, whatever the input.
-    laid = placed.join(F.broadcast(parts), F.col("part") == F.col("of"))
+    laid = placed.join(F.broadcast(sums), F.col("part") == F.col("of"))
     return laid.select("doc_id", "width", "ids", (F.col("base") + F.col("before")).alias("position"), "total").mapInArrow(
         _pieces(length), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
