@@ -84,6 +84,10 @@ WORD_STEPS = {
 PLAIN_WORD = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+#: The marks of a plain word, as bytes.
+MARKS = bytes(b for b in range(33, 127) if PLAIN_WORD.fullmatch(f"a{chr(b)}") and not chr(b).isalpha())
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -97,13 +101,64 @@ def within_words(token: dict) -> bool:
     return not (re.search(r"\s", content) or token["lstrip"] or token["rstrip"]) and bool(re.search(r"[!-/:-@\[-`{-~][^\W\d_]", content))
 
 
+class Pieces(dict):
+    """Ids of runs of small letters or of marks, straight from the merges."""
+
+    def __init__(self, model, code: str):
+        self.model, self.code, self.letters = model, code, byte_letters()
+
+    def __missing__(self, piece: bytes) -> bytes:
+        spelt = piece.decode() if piece.isascii() else "".join(map(self.letters.__getitem__, piece))
+        found = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[piece] = found
+        return found
+
+
+class Words(dict):
+    """Ids of words, remembered in two generations, of which the older is dropped when the younger is full.
+
+    A word of plain letters with marks behind is two pieces; all other words take the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer, code: str):
+        self.tokenizer, self.code, self.old = tokenizer, code, {}
+        self.pieces = Pieces(tokenizer.model, code)
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            head = word.rstrip(MARKS)
+            if head.isalpha():  # of bytes: ASCII letters
+                found = self.pieces[head.lower()]
+                if len(head) < len(word):
+                    found += self.pieces[word[len(head) :]]
+            elif plain := PLAIN_WORD.fullmatch(text := word.decode()):
+                found = self.pieces[plain[1].lower().encode()]
+                if plain[2]:
+                    found += self.pieces[plain[2].encode()]
+            else:
+                found = self.whole(text)
+        self[word] = found
+        return found
+
+    def ids(self, words: list[bytes]) -> bytes:
+        found = b"".join(map(self.__getitem__, words))
+        if len(self) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        return found
+
+
 class Encoder:
     """Ids of texts as bytes, two each where the vocabulary allows it.
 
     Where nothing that the tokenizer does looks across white space, and it drops that, a text is the concatenation of
-    its words' ids, and words are remembered. A word of plain letters with marks behind is two pieces for the merges,
-    which then are asked directly; all other words take the whole tokenizer. Words are remembered in two generations,
-    of which the older is dropped when the younger is full.
+    its words' ids, and words are remembered.
     """
 
     def __init__(self, path: str, end: int):
@@ -111,49 +166,14 @@ class Encoder:
 
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        tokenizer = Tokenizer.from_file(path)
+        self.code = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.tail = array(self.code, [end]).tobytes()
         self.by_word = all(steps[k] == v for k, v in WORD_STEPS.items()) and not any(steps.get(k) for k in ("post_processor", "truncation", "padding")) and all(map(within_words, steps["added_tokens"]))
-        self.letters = byte_letters()
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        """A run of small letters or of marks, straight from the merges."""
-        found = self.pieces.get(piece)
-        if found is None:
-            spelt = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
-            if len(self.pieces) >= CACHED_WORDS:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
-
-    def word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if plain := PLAIN_WORD.fullmatch(text):
-            found = self.piece(plain[1].lower())
-            return found + self.piece(plain[2]) if plain[2] else found
-        return self.whole(text)
+        self.words = Words(tokenizer, self.code)
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_word:
-            return self.whole(text) + self.tail
-        words = text.encode().split()
-        young, old = self.young, self.old
-        for word in dict.fromkeys(words):
-            if word not in young:
-                found = old.get(word)
-                young[word] = self.word(word) if found is None else found
-        ids = b"".join(map(young.__getitem__, words)) + self.tail
-        if len(young) > CACHED_WORDS:
-            self.young, self.old = {}, young
-        return ids
+        return (self.words.ids(text.encode().split()) if self.by_word else self.words.whole(text)) + self.tail
 
 
 def tokenize(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
