@@ -58,6 +58,23 @@ def test_small_payloads_are_never_revisits(spark):
     assert kinds[3] == kinds[4] == kinds[5] == "response" and kinds[1] == "revisit"
 
 
+def test_revisits_are_answered(spark):
+    records = warc.round_trip(pages(spark, PAGES))
+    assert records.where("record_type = 'revisit'").count() > 0 and warc.unresolved_revisits(records).count() == 0
+    lost = records.where("record_type = 'revisit' or page_id <> 2")
+    assert {r.page_id for r in warc.unresolved_revisits(lost).collect()} == {1}
+
+
+def test_long_archives_take_linear_time():
+    def seconds(n):
+        record = zstandard.compress(bytes(range(256)) * 8)
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.frames(record * n, "a")) == n
+        return time.perf_counter() - began
+
+    assert seconds(40000) < 100 * seconds(2000)
+
+
 def test_no_pages_no_records(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 

@@ -29,6 +29,9 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
+#: Bytes that are decompressed at a time.
+STEP = 1 << 14
+
 #: A new archive starts after so many compressed bytes; a dictionary is trained on so many bytes of an archive's first payloads.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 4 << 20, 1 << 20, 32 << 10
 
@@ -191,19 +194,23 @@ def frames(data: bytes, name: str) -> Iterator[tuple[int, bytes]]:
         words = zstd.ZstdCompressionDict(zstd.ZstdDecompressor().decompress(stored) if stored[:4] == FRAME_MAGIC else stored)
         at = 8 + length
     reader = zstd.ZstdDecompressor(dict_data=words) if words else zstd.ZstdDecompressor()
+    view = memoryview(data)
     while at < len(data):
         if at + 8 <= len(data) and 0x184D2A50 <= struct.unpack_from("<I", data, at)[0] <= 0x184D2A5F:
             at += 8 + struct.unpack_from("<I", data, at + 4)[0]  # other skippable frames hold no records
             continue
-        one = reader.decompressobj()
+        one, parts, end = reader.decompressobj(), [], at
         try:
-            record = one.decompress(memoryview(data)[at:])
+            # In steps, as what is left over behind a frame is copied: an archive of any size takes linear time.
+            while not one.eof and end < len(data):
+                parts.append(one.decompress(view[end : end + STEP]))
+                end = min(len(data), end + STEP)
         except zstd.ZstdError as error:
             raise BadArchive(f"{name}: no frame at byte {at}: {error}") from error
         if not one.eof:
             raise BadArchive(f"{name}: the frame at byte {at} is cut short")
-        yield at, record
-        at = len(data) - len(one.unused_data)
+        yield at, b"".join(parts)
+        at = end - len(one.unused_data)
 
 
 def parse(record: bytes, where: str) -> dict:
@@ -275,6 +282,12 @@ def read_archives(spark: SparkSession, *paths: str, manifest: DataFrame | None =
     return files.mapInArrow(_records, RECORD_FIELDS)
 
 
+def unresolved_revisits(records: DataFrame) -> DataFrame:
+    """The revisits of some records that no response with the page they refer to and their payload's digest answers."""
+    responses = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return records.where("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest"], "left_anti").select(*records.columns)
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archive ``pages`` in the shared folder and read the records back; no pages, no records."""
     spark = pages.sparkSession
