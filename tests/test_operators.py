@@ -1,9 +1,10 @@
 import json
 from datetime import datetime
-from decimal import Decimal
+from decimal import ROUND_HALF_EVEN, Context, Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tidewick.functions import money, text
 from tidewick.operators import assets, book, health, history, requests
@@ -32,6 +33,17 @@ def test_strict_division_rounds_half_to_even(spark):
     assert [r.x for r in df.select(money.strict_divide("a", "b").alias("x")).collect()] == [Decimal("0.000000000123"), Decimal("0.333333333333333333"), None]
 
 
+@pytest.mark.parametrize("precision, scale", [(20, 4), (19, 0), (18, 2), (10, 10), (36, 4), (38, 18), (30, 18)])
+def test_shifts_by_products_are_shifts_by_text(spark, precision, scale):
+    kind = DecimalType(precision, scale)
+    values = [Decimal(n).scaleb(-scale) for n in (0, 1, -1, 5, 15, -25, 123456789)]
+    rows = spark.createDataFrame([(v, e) for v in values for e in (None, *range(-25, 9))], f"v {kind.simpleString()}, e int")
+    found = rows.select("v", "e", money.shift(F.col("v"), F.col("e"), kind).alias("x"), money.shift(F.col("v"), F.col("e")).alias("y")).collect()
+    for v, e, x, y in found:
+        want = None if e is None else v.scaleb(e).quantize(Decimal(1).scaleb(-18), ROUND_HALF_EVEN, Context(prec=60))
+        assert x == y == want
+
+
 @pytest.mark.parametrize("quote, compat, price", [(6, True, "2"), (7, True, "0.2"), (8, True, "0.02"), (9, True, "0"), (18, True, "0"), (9, False, "0.002"), (18, False, "0.000000000002")])
 def test_price_scales(spark, quote, compat, price):
     assert one(spark, assets.display_price(F.lit(Decimal("2")), F.lit(6), F.lit(quote), compat)) == Decimal(price)

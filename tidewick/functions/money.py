@@ -23,14 +23,33 @@ def shown(value: Column) -> Column:
     return trim_zeros(value.cast(MONEY).cast("string"))
 
 
-def shift(value: Column, exponent: Column) -> Column:
+def shift(value: Column, exponent: Column, kind: DecimalType | None = None) -> Column:
     """value * 10**exponent with 18 digits, half to even.
 
-    A decimal times a power of ten is a move of the point; the integer form keeps all of its digits, which a product of
-    two decimal(38,18) would not.
+    A decimal times a power of ten is a move of the point. Where ``kind``, the type of ``value``, leaves room for the
+    power, this is a product that keeps all digits; otherwise, and for powers out of that room, the point moves in the
+    text of the integer form, as a product of two decimal(38,18) would lose some.
     """
-    digits = value.cast(MONEY).cast("string")
-    return F.bround(F.concat(digits, F.lit("E"), exponent.cast("int").cast("string")).cast("decimal(38,18)"), 18)
+    moved = shift_text(F.replace(value.cast(MONEY).cast("string"), F.lit("."), F.lit("")), exponent.cast("int"))
+    room = 37 - kind.precision if kind else 0
+    scale = min(room // 2, 18 - kind.scale) if kind else 0
+    if room < 1 or scale < 0:
+        return moved
+    powers = F.array(*[F.lit(f"{Decimal(1).scaleb(k):f}").cast(DecimalType(room, scale)) for k in range(-scale, room - scale)])
+    product = (value * F.get(powers, exponent.cast("int") + scale)).cast(MONEY)
+    return F.when(exponent.between(-scale, room - scale - 1), product).otherwise(moved)
+
+
+def shift_text(digits: Column, exponent: Column) -> Column:
+    """digits * 10**(exponent - 18) with 18 digits, half to even; ``digits`` is a whole number as text.
+
+    The cast rounds halves up, so halves whose last digit came out odd are cut instead.
+    """
+    up = F.concat(digits, F.lit("E"), (exponent - 18).cast("string")).cast(MONEY)
+    half = (exponent < 0) & (F.right(digits, -exponent) == F.rpad(F.lit("5"), -exponent, F.lit("0")))
+    odd = F.right(up.cast("string"), F.lit(1)).isin("1", "3", "5", "7", "9")
+    cut = F.concat(F.left(digits, F.length(digits) + exponent), F.lit("0E-19")).cast(MONEY)
+    return F.when(half & odd, cut).otherwise(up)
 
 
 def percent_change(open_price: Column, last_price: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from ..functions.money import shift, shown
 from ..functions.text import market_id
@@ -29,21 +30,25 @@ def checked(exponent: Column, what: str) -> Column:
     return F.when(exponent.isNull(), F.raise_error(F.lit(f"no display denom for {what} asset")).cast("int")).otherwise(exponent)
 
 
-def display_price(price: Column, base_exponent: Column, quote_exponent: Column, compat: bool = False) -> Column:
-    """Price of a whole base unit in whole quote units.
+def display_price(price: Column, base_exponent: Column, quote_exponent: Column, compat: bool = False, kind: DecimalType | None = None) -> Column:
+    """Price of a whole base unit in whole quote units; ``kind`` is the type of ``price``, if it is a decimal.
 
     The factor 10**(base - quote) is exact; ``compat`` rounds it to two digits first, so that differences of -3 and
     less give 0.
     """
     difference = base_exponent - quote_exponent
-    if not compat:
-        return shift(price, difference)
-    return F.when(difference <= -3, F.lit(0).cast("decimal(38,18)")).otherwise(shift(price, difference))
+    whole = shift(price, difference, kind)
+    return F.when(difference <= -3, F.lit(0).cast("decimal(38,18)")).otherwise(whole) if compat else whole
 
 
-def display_amount(amount: Column, exponent: Column) -> Column:
-    """Whole units of an integer amount."""
-    return shift(amount, -exponent)
+def display_amount(amount: Column, exponent: Column, kind: DecimalType | None = None) -> Column:
+    """Whole units of an integer amount; ``kind`` is its type, if it is a decimal."""
+    return shift(amount, -exponent, kind)
+
+
+def decimal_kind(rows: DataFrame, name: str) -> DecimalType | None:
+    kind = rows.schema[name].dataType
+    return kind if isinstance(kind, DecimalType) else None
 
 
 def quote_amount(amount: Column, price: Column, exponent: Column) -> Column:
@@ -66,7 +71,7 @@ def convert_trades(raw: DataFrame, units: DataFrame, *, compat: bool = False, st
     """
     e = lambda c: checked(F.col(f"{c}_exponent"), c) if strict else F.col(f"{c}_exponent")
     rows = with_exponents(raw, units)
-    priced = rows.withColumns({"shown_price": display_price(F.col("price"), e("base"), e("quote"), compat), "shown_amount": display_amount(F.col("amount"), e("base"))})
+    priced = rows.withColumns({"shown_price": display_price(F.col("price"), e("base"), e("quote"), compat, decimal_kind(raw, "price")), "shown_amount": display_amount(F.col("amount"), e("base"), decimal_kind(raw, "amount"))})
     quote = quote_amount(F.col("amount"), F.col("price"), F.col("quote_exponent"))
     if compat:
         quote = F.when(F.col("shown_price") == 0, F.lit(0).cast("decimal(38,18)")).otherwise(quote)
@@ -79,8 +84,8 @@ def convert_trades(raw: DataFrame, units: DataFrame, *, compat: bool = False, st
 def convert_orders(raw: DataFrame, units: DataFrame, as_of: str, *, compat: bool = False) -> DataFrame:
     """Raw price levels (id, base, quote, order_type, price, amount) as book rows; buys and sells come in one frame."""
     rows = with_exponents(raw, units)
-    shown_price = display_price(F.col("price"), checked(F.col("base_exponent"), "base"), checked(F.col("quote_exponent"), "quote"), compat)
-    amount = display_amount(F.col("amount"), F.col("base_exponent"))
+    shown_price = display_price(F.col("price"), checked(F.col("base_exponent"), "base"), checked(F.col("quote_exponent"), "quote"), compat, decimal_kind(raw, "price"))
+    amount = display_amount(F.col("amount"), F.col("base_exponent"), decimal_kind(raw, "amount"))
     known = rows.withColumn("i_quote_amount", quote_amount(F.col("amount"), F.col("price"), F.col("quote_exponent"))).withColumns({"price": shown_price, "amount": amount})
     return known.select(
         "id", market_id(F.col("base"), F.col("quote")).alias("market_id"), "order_type", "amount", "price", F.col("price").cast("double").alias("price_dec"),
