@@ -3,6 +3,7 @@
 import base64
 import glob
 import hashlib
+import io
 import json
 import math
 import random
@@ -108,11 +109,32 @@ def test_dictionary_leads_and_damage_is_found(spark):
 def test_archives_of_others(spark, tmp_path):
     """No dictionary, an unknown skippable frame, a metadata record."""
     record = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <x>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    (tmp_path / "a.warc.zst").write_bytes(zstandard.compress(record) + struct.pack("<II", 0x184D2A50, 2) + b"zz" + zstandard.compress(record))
+    (tmp_path / "a #1 50%.warc.zst").write_bytes(zstandard.compress(record) + struct.pack("<II", 0x184D2A50, 2) + b"zz" + zstandard.compress(record))
     found = warc.read_archives(spark, str(tmp_path)).collect()
     assert [(r.record_type, bytes(r.payload)) for r in found] == [("metadata", b"abc")] * 2
 
 
+def test_archives_are_no_rows(spark):
+    folder, _ = archive(spark)
+    plan = warc.read_archives(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string>" in plan
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 14])
+def test_archives_in_steps_of_any_size(monkeypatch, step):
+    monkeypatch.setattr(warc, "STEP", step)
+    bodies = [bytes([i]) * (i * 37 % 300) for i in range(60)]
+    skipped = struct.pack("<II", 0x184D2A51, 50) + b"z" * 50
+    data = skipped.join(map(zstandard.compress, bodies))
+    found = list(warc.frames(io.BytesIO(data), "a"))
+    assert [body for _, body in found] == bodies
+    assert all(zstandard.ZstdDecompressor().decompressobj().decompress(data[at:]) == body for at, body in found)
+
+
+def test_where_files_lie():
+    assert warc.located("/a:b/c")[1] == "/a:b/c" and warc.located("file:/a/b")[1] == warc.located("file:///a/b")[1] == "/a/b"
+
+
 # Chat
 
 

@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import os
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
-from urllib.parse import urlparse
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard as zstd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,17 +89,24 @@ def train(samples: list[bytes]) -> bytes:
         return b""
 
 
-def open_sink(url: str):
-    """A file in the shared folder, on any file system that Arrow knows."""
-    parts = urlparse(url)
-    if parts.scheme in ("", "file"):
-        os.makedirs(os.path.dirname(parts.path), exist_ok=True)
-        return open(parts.path, "wb")
-    from pyarrow import fs
+def located(url: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a URL or path, and the path in it."""
+    scheme, colon, rest = url.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        return fs.LocalFileSystem(), os.path.normpath("/" + rest.lstrip("/")) if scheme == "file" else url
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", url))
 
-    files, path = fs.FileSystem.from_uri(url)
+
+def open_sink(url: str) -> pa.NativeFile:
+    """A new file in the shared folder, on any file system that Arrow knows."""
+    files, path = located(url)
     files.create_dir(os.path.dirname(path), recursive=True)
-    return files.open_output_stream(path)
+    return files.open_output_stream(path, compression=None)  # Arrow would compress by the name
+
+
+def open_source(url: str) -> pa.NativeFile:
+    files, path = located(url)
+    return files.open_input_stream(path, compression=None)
 
 
 def writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -183,34 +193,55 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
     return rows.mapInArrow(writer(folder), "archive string, token string, records long, bytes long")
 
 
-def frames(data: bytes, name: str) -> Iterator[tuple[int, bytes]]:
-    """Each record of an archive with its byte position."""
-    at, words = 0, None
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_MAGIC:
-        (length,) = struct.unpack_from("<I", data, 4)
-        if 8 + length > len(data):
+class Source:
+    """A file that is read in steps; what a frame leaves over is put back."""
+
+    def __init__(self, file: BinaryIO):
+        self.file, self.held, self.at = file, b"", 0
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and (more := self.file.read(max(STEP, n - len(self.held)))):
+            self.held += more
+        return self.held[:n]
+
+    def take(self, n: int) -> bytes:
+        found = self.peek(n)
+        self.held, self.at = self.held[len(found) :], self.at + len(found)
+        return found
+
+    def back(self, data: bytes) -> None:
+        self.held, self.at = data + self.held, self.at - len(data)
+
+
+def frames(archive: bytes | BinaryIO, name: str) -> Iterator[tuple[int, bytes]]:
+    """Each record of an archive with its byte position; of an archive that is a file, one record is held at a time."""
+    source, words = Source(io.BytesIO(archive) if isinstance(archive, bytes) else archive), None
+    head = source.peek(8)
+    if len(head) == 8 and struct.unpack_from("<I", head)[0] == DICTIONARY_MAGIC:
+        (length,) = struct.unpack_from("<I", head, 4)
+        stored = source.take(8 + length)[8:]
+        if len(stored) < length:
             raise BadArchive(f"{name}: the dictionary is cut short")
-        stored = data[8 : 8 + length]
         words = zstd.ZstdCompressionDict(zstd.ZstdDecompressor().decompress(stored) if stored[:4] == FRAME_MAGIC else stored)
-        at = 8 + length
     reader = zstd.ZstdDecompressor(dict_data=words) if words else zstd.ZstdDecompressor()
-    view = memoryview(data)
-    while at < len(data):
-        if at + 8 <= len(data) and 0x184D2A50 <= struct.unpack_from("<I", data, at)[0] <= 0x184D2A5F:
-            at += 8 + struct.unpack_from("<I", data, at + 4)[0]  # other skippable frames hold no records
+    while head := source.peek(8):
+        at = source.at
+        if len(head) == 8 and 0x184D2A50 <= struct.unpack_from("<I", head)[0] <= 0x184D2A5F:
+            left = 8 + struct.unpack_from("<I", head, 4)[0]  # other skippable frames hold no records
+            while left and (passed := source.take(min(left, STEP))):
+                left -= len(passed)
             continue
-        one, parts, end = reader.decompressobj(), [], at
+        one, parts = reader.decompressobj(), []
         try:
             # In steps, as what is left over behind a frame is copied: an archive of any size takes linear time.
-            while not one.eof and end < len(data):
-                parts.append(one.decompress(view[end : end + STEP]))
-                end = min(len(data), end + STEP)
+            while not one.eof and (step := source.take(STEP)):
+                parts.append(one.decompress(step))
         except zstd.ZstdError as error:
             raise BadArchive(f"{name}: no frame at byte {at}: {error}") from error
         if not one.eof:
             raise BadArchive(f"{name}: the frame at byte {at} is cut short")
+        source.back(one.unused_data)
         yield at, b"".join(parts)
-        at = end - len(one.unused_data)
 
 
 def parse(record: bytes, where: str) -> dict:
@@ -258,24 +289,25 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]] for f in RECORD_FIELDS.split(", ")]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
     for batch in batches:
-        for i in range(batch.num_rows):
-            name, data = batch.column("path")[i].as_py(), batch.column("content")[i].as_py()
+        for name in batch.column("path").to_pylist():
             rows, held = [], 0
-            for at, record in frames(data, name):
-                rows.append({"archive": name, "position": at, **parse(record, f"{name}, byte {at}")})
-                held += len(record)
-                if held >= 4 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows, held = [], 0
+            with open_source(name) as file:
+                for at, record in frames(file, name):
+                    rows.append({"archive": name, "position": at, **parse(record, f"{name}, byte {at}")})
+                    held += len(record)
+                    if held >= 4 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def read_archives(spark: SparkSession, *paths: str, manifest: DataFrame | None = None) -> DataFrame:
-    """One row for each record of ``.warc.zst`` archives, from any path that Spark reads; a broken archive raises.
+    """One row for each record of ``.warc.zst`` archives, which Spark lists and tasks read; a broken archive raises.
 
-    With a ``manifest`` only its archives are read; what is broadcast of it is one token for each task that wrote.
+    A task opens an archive where it lies, on a file system that Arrow knows, and reads it frame by frame, so archives
+    may have any size; a record has to fit in memory. With a ``manifest`` only its archives are read; what is broadcast of it is one token for each task that wrote.
     """
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    files = spark.read.format("binaryFile").load(list(paths)).select("path")
     if manifest is not None:
         tokens = manifest.select("token").distinct()
         files = files.join(F.broadcast(tokens), F.regexp_extract("path", r"([0-9a-f]{32})-[0-9]+\.warc\.zst$", 1) == F.col("token"), "left_semi")
