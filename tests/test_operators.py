@@ -83,6 +83,21 @@ def test_landed_lists(spark, tmp_path):
     assert [tuple(r) for r in assets.display_units(tables.registry(spark, str(tmp_path / "assets.json"))).collect()] == [("ua", "a", 6)]
 
 
+def test_database_tables(spark, tmp_path):
+    """Derby comes with Spark; a numeric key splits the table into ranges, and filters and columns reach the database."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(i, f"m{i % 3}", Decimal(i) / 2) for i in range(20)]
+    spark.createDataFrame(rows, "id long, market_id string, price decimal(18,2)").write.option("createTableColumnTypes", "market_id VARCHAR(64)").jdbc(url, "history", properties=driver)
+    whole = tables.jdbc(spark, url, "history", **driver)
+    parts = tables.jdbc(spark, url, "history", key="id", bounds=(0, 20), parts=4, **driver)
+    assert whole.rdd.getNumPartitions() == 1 and parts.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) == rows
+    some = parts.where("market_id = 'm1'").select("price")
+    assert "EqualTo(market_id,m1)" in some._jdf.queryExecution().executedPlan().toString().replace("\n", "")
+    assert sorted(r.price for r in some.collect()) == [Decimal(i) / 2 for i in range(20) if i % 3 == 1]
+
+
 def test_charts_take_a_market_and_a_length(spark):
     for bad in ({}, {"market_id": "a/b", "minutes": 0}):
         with pytest.raises(ValueError):
