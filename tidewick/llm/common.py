@@ -95,7 +95,7 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_skewed(large: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+def join_skewed(large: DataFrame, counted: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join rows with an aggregate by the same keys, where one key may have many rows.
 
     The aggregate already lies by its keys, and Spark would join it in place; it splits a skewed partition only if both
@@ -103,4 +103,4 @@ def join_skewed(large: DataFrame, counted: DataFrame, keys: list[str]) -> DataFr
     """
     extra = fresh(large, "join_key")
     key = F.xxhash64(*keys) > 0
-    return large.withColumn(extra, key).join(counted.withColumn(extra, key), [*keys, extra]).drop(extra)
+    return large.withColumn(extra, key).join(counted.withColumn(extra, key), [*keys, extra], how).drop(extra)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, lines, mixing, near, packing, rules, sql, substrings, toxicity, warc
+from . import chat, divergence, exact, interactions, lines, mixing, near, packing, rules, sql, substrings, toxicity, urls, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_chat_collapse, op3_toxicity, op4_quality_rules, op5_exact_dedup, op6_mix_sources, op7_substring_dedup, op8_line_dedup, op9_near_dedup, op10_packing)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "text"))
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return interactions.audit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: The rules of :func:`op13_url_filters`, of which the longest that fits decides.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = urls.build_index(spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), index)
+
+
+_ALL = (
+    op1_warc, op2_chat_collapse, op3_toxicity, op4_quality_rules, op5_exact_dedup, op6_mix_sources, op7_substring_dedup, op8_line_dedup, op9_near_dedup, op10_packing, op11_source_divergence, op12_filter_interactions,
+    op13_url_filters,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "op1_warc": sql.WARC,
     "op2_chat_collapse": sql.CHAT,
@@ -70,4 +92,7 @@ ORACLES = {
     "op6_mix_sources": sql.MIX,
     "op7_substring_dedup": sql.SUBSTRINGS,
     "op8_line_dedup": sql.LINES,
+    "op11_source_divergence": sql.DIVERGENCE,
+    "op12_filter_interactions": sql.INTERACTIONS,
+    "op13_url_filters": sql.url_filters(URL_RULES),
 }
