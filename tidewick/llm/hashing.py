@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -14,6 +15,8 @@ import xxhash
 CHUNK_BYTES = 1 << 20
 #: Bytes from which on a word is hashed by itself.
 LONG_WORD = 256
+#: Words that a dictionary of keyed digests remembers, and bytes of the longest such word.
+REMEMBERED, SHORT_WORD = 500_000, 64
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LEFT = np.uint64(0xD1342543DE82EF95)
@@ -74,18 +77,45 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: i
     return out
 
 
+class WordKeys(dict):
+    """64-bit digests of words under a secret key: who writes texts can't know which words or shingles would agree."""
+
+    def __init__(self, key: bytes):
+        self.key = key
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(word) <= SHORT_WORD:
+            self[word] = value
+        return value
+
+
+def digests(pieces: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of byte strings, as two halves."""
+    halves = np.frombuffer(b"".join([blake2b(piece, digest_size=16).digest() for piece in pieces]), dtype="<u8").reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
+
+
 class Chunk(NamedTuple):
-    """Some neighbouring rows of a batch. Row i's words are ``words[at[i]:at[i + 1]]``; ``others`` are second hashes, if asked for."""
+    """Some neighbouring rows of a batch. Row i's words are ``words[at[i]:at[i + 1]]``; word k is ``data[starts[k]:stops[k]]``."""
 
     first: int
     at: np.ndarray
     words: np.ndarray
-    others: np.ndarray
+    data: bytes
+    starts: np.ndarray
+    stops: np.ndarray
 
     @property
     def rows(self) -> int:
         return len(self.at) - 1
 
+    def spelled(self, first: np.ndarray, last: np.ndarray) -> Iterator[bytes]:
+        """The words from ``first`` to ``last``, as they are written, with what is between them."""
+        return (self.data[a:b] for a, b in zip(self.starts[first].tolist(), self.stops[last].tolist(), strict=True))
+
 
 def parts(body: bytes) -> Iterator[bytes]:
     """A long text in parts of about CHUNK_BYTES that end between words."""
@@ -97,27 +127,30 @@ def parts(body: bytes) -> Iterator[bytes]:
         at = stop
 
 
-def chunks(texts: pa.Array, second: bool = False) -> Iterator[Chunk]:
-    """The texts of a batch, hashed chunk by chunk; null is empty."""
+def chunks(texts: pa.Array, *, spaced: bool = False, keys: WordKeys | None = None) -> Iterator[Chunk]:
+    """The texts of a batch, hashed chunk by chunk; null is empty. ``spaced`` puts one space between words; ``keys`` hashes words."""
 
     def hashed(first: int, bodies: list[bytes]) -> Chunk:
-        pieces = [b"\n".join(bodies)] if len(bodies) > 1 else parts(bodies[0])
-        words, others, starts, before = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.uint64)], [], 0
+        whole = b"\n".join(bodies) if len(bodies) > 1 else bodies[0]
+        pieces = [whole] if len(bodies) > 1 else parts(whole)
+        words, starts, stops, before = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], 0
         for piece in pieces:
             data = np.frombuffer(piece + b" " * 9, dtype=np.uint8)
             edges = word_edges(data)
-            words.append(word_hashes(data, *edges))
-            if second:
-                others.append(word_hashes(data, *edges, seed=0x5851F42D4C957F2D))
+            words.append(np.fromiter(map(keys.__getitem__, piece.split()), dtype=np.uint64, count=len(edges[0])) if keys is not None else word_hashes(data, *edges))
             starts.append(edges[0] + before)
+            stops.append(edges[1] + before)
             before += len(piece)
         ends = np.cumsum([len(b) + 1 for b in bodies])
-        at = np.searchsorted(np.concatenate(starts), ends) if starts else np.zeros(len(bodies), dtype=np.int64)
-        return Chunk(first, np.concatenate([[0], at]).astype(np.int64), np.concatenate(words), np.concatenate(others))
+        begin = np.concatenate(starts)
+        at = np.searchsorted(begin, ends)
+        return Chunk(first, np.concatenate([[0], at]).astype(np.int64), np.concatenate(words), whole, begin, np.concatenate(stops))
 
     held, size, first = [], 0, 0
     for i, text in enumerate(texts):
         body = (text.as_py() or "").encode()
+        if spaced:
+            body = b" ".join(body.split())
         if held and size + len(body) > CHUNK_BYTES:
             yield hashed(first, held)
             held, size, first = [], 0, i

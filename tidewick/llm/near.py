@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from secrets import token_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, join_skewed, numbered
-from .hashing import Windows, chunks, joined, mix, signed
+from .hashing import WordKeys, Windows, chunks, joined, mix, signed
 
 #: Words of a shingle, similarity of a link, bands of a signature and registers of a band.
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 20, 5
@@ -91,7 +92,7 @@ def digest(text: pa.StringScalar) -> bytes:
 
 
 def signatures(size: int, bands: int, band_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(row, doc_id, digest of the words, number of distinct shingles, band hashes); no bands without words.
+    """(row, doc_id, digest of the words, band hashes); no bands without words.
 
     Links compare sets, so each text has the bands of a signature in which all shingles weigh the same: its probability
     Jaccard is the similarity of links. Where shingles repeat, the bands of the signature weighted by counts come on top.
@@ -101,13 +102,11 @@ def signatures(size: int, bands: int, band_rows: int) -> Callable[[Iterator[pa.R
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 has = np.diff(chunk.at) > 0
-                sizes = np.zeros(chunk.rows, dtype=np.int64)
                 keys = np.zeros((chunk.rows, bands), dtype=np.uint64)
                 even = keys
                 doc, element = shingle_hashes(chunk.at, chunk.words, size)
                 if len(doc):
                     doc, element, weight = weighted(doc, element)
-                    sizes = np.bincount(doc, minlength=chunk.rows)
                     keys = band_keys(doc, element, weight, chunk.rows, bands, band_rows)
                     even = keys.copy()
                     repeats = np.unique(doc[weight > 1])
@@ -119,22 +118,24 @@ def signatures(size: int, bands: int, band_rows: int) -> Callable[[Iterator[pa.R
                 ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
                 rows = batch.slice(chunk.first, chunk.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("row"), rows.column("doc_id"), pa.array(list(map(digest, rows.column("text"))), pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), signed(both[held]))],
-                    names=["row", "doc_id", "digest", "n", "bands"],
+                    [rows.column("row"), rows.column("doc_id"), pa.array(list(map(digest, rows.column("text"))), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), signed(both[held]))],
+                    names=["row", "doc_id", "digest", "bands"],
                 )
 
     return run
 
 
-def shingler(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The distinct shingles of each text, sorted."""
+def shingler(size: int, key: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The distinct shingles of each text, sorted, by digests of their words under a secret key, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = WordKeys(key)
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(batch.column("text"), keys=keys):
                 doc, element, _ = weighted(*shingle_hashes(chunk.at, chunk.words, size))
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=chunk.rows))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(chunk.first, chunk.rows), pa.ListArray.from_arrays(pa.array(ends), signed(element))], names=["rep", "shingles"])
+                n = np.bincount(doc, minlength=chunk.rows)
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(chunk.first, chunk.rows), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), signed(element))], names=["rep", "n", "shingles"])
 
     return run
 
@@ -312,17 +313,21 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
 def classes(whole: DataFrame, *, size: int, similarity: float, bands: int, band_rows: int) -> DataFrame:
     """(row, doc_id, label) of each row of ``whole`` (row, doc_id, text); rows of a class share a label."""
     kind = whole.schema["doc_id"].dataType.simpleString()
-    signed_rows = cut(whole.mapInArrow(signatures(size, bands, band_rows), f"row long, doc_id {kind}, digest binary, n long, bands array<bigint>"), "near-signatures")
+    signed_rows = cut(whole.mapInArrow(signatures(size, bands, band_rows), f"row long, doc_id {kind}, digest binary, bands array<bigint>"), "near-signatures")
     # Texts of the same words are one representative from here on.
     reps = signed_rows.groupBy("digest").agg(F.min("row").alias("rep"))
     named = cut(join_skewed(signed_rows.select("row", "doc_id", "digest"), reps, ["digest"]).select("row", "doc_id", "rep"), "near-named")
-    buckets = signed_rows.join(named.where("row = rep").select("row", "rep"), "row").select("rep", "n", F.explode("bands").alias("bucket"))
+    buckets = signed_rows.join(named.where("row = rep").select("row", "rep"), "row").select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
     banded = cut(join_skewed(buckets, shared, ["bucket"]), "near-banded")
     weights = cut(banded.groupBy("rep").agg(F.sum("in_bucket").alias("weight")), "near-weights")
     texts = whole.select(F.col("row").alias("rep"), "text").join(weights.select("rep"), "rep")
-    sets = cut(texts.select("rep", "text").mapInArrow(shingler(size), "rep long, shingles array<bigint>"), "near-sets")
-    members = cut(unlike(banded.select("bucket", "rep", "n")).join(weights, "rep"), "near-members")
+    # Bands only bring texts together. What decides a link are shingles under a key that is drawn for this run, so that
+    # no words can be chosen to share a hash; sets are stored once, so all tasks that read them have the same key.
+    sets = cut(texts.select("rep", "text").mapInArrow(shingler(size, token_bytes(16)), "rep long, n long, shingles array<bigint>"), "near-sets")
+    sized = cut(weights.join(sets.select("rep", "n"), "rep"), "near-sizes")
+    sets = sets.drop("n")
+    members = cut(unlike(banded.select("bucket", "rep")).join(sized, "rep"), "near-members")
     # What pivots leave undecided is compared in full; both ways only add links, and classes are their components.
     labels = cut(relabel(weights.select("rep", F.col("rep").alias("label")), pivot_links(members, sets, similarity)), "near-labels")
     left = cut(undecided(members.join(labels, "rep")).select("bucket", "rep", "label", "n"), "near-left")
@@ -342,7 +347,8 @@ def dedup_near(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", s
     weigh the same, which makes j the similarity of links; in the other a shingle found c times weighs 1 + log c, which
     brings further candidates. Texts of the same words, known by SHA-256, are one text. All members of a bucket are
     compared with its pivot; buckets that still hold several classes are compared in full, tile by tile, by counting
-    common shingles in memory. No pair of a bucket is left undecided, and the number of steps doesn't depend on the
+    common shingles in memory. Shingles count as common by digests of their words under a key drawn for the run, which
+    nobody who writes a text can know; what brings texts together needs no key, and so reruns agree. No pair of a bucket is left undecided, and the number of steps doesn't depend on the
     data, but for the rounds of the components.
 
     All texts without words (null, empty, blank) are one class. Texts of fewer words than a shingle are one shingle. A

@@ -7,11 +7,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, row_key
-from .hashing import Windows, chunks, joined, mix, ranges, signed
+from .hashing import Windows, chunks, digests, joined, mix, ranges, signed
 
 #: Words of a window, and of the seeds from which anchors are winnowed.
 WINDOW, SEED = 35, 6
@@ -66,19 +67,18 @@ def integers(x: np.ndarray) -> pa.Array:
 
 
 def runs_of(batch: pa.RecordBatch, window: int, seed: int) -> tuple[np.ndarray, ...]:
-    """(row, first, windows, anchor, context) of the runs of neighbouring windows of a text that choose one anchor.
+    """(row, first, windows, anchor, context, context2) of the runs of neighbouring windows of a text that choose one anchor.
 
-    Equal windows choose equal anchors at equal offsets, whatever surrounds them. ``context`` hashes all the words of the
-    run's windows (its first and last window hold them) with the anchor's offset: runs of equal anchor and context agree
-    as far as their windows reach.
+    Equal windows choose equal anchors at equal offsets, whatever surrounds them. The context is a digest of all the words
+    of the run's windows, as they are written, and of the anchor's offset: 128 bits that nobody can make agree for other
+    words. The anchor only brings runs together.
     """
     found = []
-    for chunk in chunks(batch.column("text")):
+    for chunk in chunks(batch.column("text"), spaced=True):
         n = len(chunk.words)
         if n < window:
             continue
-        slices = Windows(chunk.words)
-        seeds = slices(seed)
+        seeds = Windows(chunk.words)(seed)
         chosen = winnow(seeds, window - seed + 1)
         doc = np.repeat(np.arange(chunk.rows), np.diff(chunk.at))
         start = np.flatnonzero(doc[: len(chosen)] == doc[window - 1 :])
@@ -88,10 +88,11 @@ def runs_of(batch: pa.RecordBatch, window: int, seed: int) -> tuple[np.ndarray,
         new = starts_of(anchor, doc[start])
         count = np.diff(np.concatenate([new, [len(start)]]))
         first, at = start[new], anchor[new]
-        shape = (count * window + (at - first)).astype(np.uint64)
-        context = joined(joined(slices(window, first), slices(window, first + count - 1)), shape)
+        offsets = (at - first).astype("<u2" if window < 1 << 16 else "<u8")
+        shapes = [offsets[k : k + 1].tobytes() for k in range(len(offsets))]
+        context = digests(map(bytes.__add__, shapes, chunk.spelled(first, first + count + window - 2)))
         owner = doc[first]
-        found.append((chunk.first + owner, first - chunk.at[owner], count, seeds[at], context))
+        found.append((chunk.first + owner, first - chunk.at[owner], count, seeds[at], *context))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else ()
 
 
@@ -108,13 +109,13 @@ def anchors(window: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             runs = runs_of(batch, window, seed)
             if not runs:
                 continue
-            order = np.lexsort((runs[1], runs[0], runs[4], runs[3]))
-            row, first, count, anchor, context = (x[order] for x in runs)
-            group = starts_of(anchor, context)
+            order = np.lexsort((runs[1], runs[0], runs[5], runs[4], runs[3]))
+            row, first, count, anchor, context, context2 = (x[order] for x in runs)
+            group = starts_of(anchor, context, context2)
             n = np.diff(np.concatenate([group, [len(row)]]))
             twice = np.repeat(n > 1, n)
             told = merged(row[twice], first[twice], count[twice])
-            row, first, count, anchor, context = (x[group] for x in (row, first, count, anchor, context))
+            row, first, count, anchor, context, context2 = (x[group] for x in (row, first, count, anchor, context, context2))
             new = starts_of(anchor)
             contexts = np.diff(np.concatenate([new, [len(anchor)]]))
             differ, leads = np.repeat(contexts > 1, contexts), np.zeros(len(anchor), dtype=bool)
@@ -131,9 +132,10 @@ def anchors(window: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     signed(np.concatenate([spread, task])),
                     signed(np.concatenate([spread, anchor])),
                     signed(np.concatenate([spread, context])),
+                    signed(np.concatenate([spread, context2])),
                     pa.array(np.concatenate([np.zeros(len(told[0]), dtype=bool), differ])),
                 ],
-                names=["k1", "k2", "first", "windows", "kind", "task", "anchor", "context", "differ"],
+                names=[*RUN_COLUMNS, "task", "anchor", "context", "context2", "differ"],
             )
 
     return run
@@ -151,13 +153,13 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             continue
         rows = table.to_batches()[0]
-        kind, anchor, context = (rows.column(c).to_numpy() for c in ("kind", "anchor", "context"))
+        kind = rows.column("kind").to_numpy()
         told = kind == REPEAT
         if told.any():
             yield rows.filter(pa.array(told)).select(RUN_COLUMNS)
             rows = rows.filter(pa.array(~told))
-            kind, anchor, context = kind[~told], anchor[~told], context[~told]
-        group = starts_of(anchor, context)
+        kind, anchor, *context = (rows.column(c).to_numpy() for c in ("kind", "anchor", "context", "context2"))
+        group = starts_of(anchor, *context)
         if batch is not None and len(group):
             held, rows = rows.slice(int(group[-1])), rows.slice(0, int(group[-1]))
             of_held = anchor[group[-1]]
@@ -192,21 +194,21 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
 def extensions(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The windows of the runs asked for, after what their batch can decide: one row for each window.
 
-    A window is known by two hashes of its words, that is, of the anchor extended both ways. Windows that a batch holds
-    twice are repeats; one row goes on to stand for them.
+    A window is the anchor extended both ways, known by a digest of its words as they are written. Windows that a batch
+    holds twice are repeats; one row goes on to stand for them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked, found = batch.column("asked"), []
-            for chunk in chunks(batch.column("text"), second=True):
+            for chunk in chunks(batch.column("text"), spaced=True):
                 runs = asked.slice(chunk.first, chunk.rows)
-                owner = np.repeat(np.arange(chunk.rows), pa.compute.list_value_length(runs).to_numpy())
+                owner = np.repeat(np.arange(chunk.rows), pc.list_value_length(runs).to_numpy())
                 flat = runs.flatten()
                 first, count, kind = (flat.field(c).to_numpy() for c in ("first", "windows", "kind"))
                 where = ranges(chunk.at[owner] + first, count)
                 of = np.repeat(owner, count)
-                found.append((chunk.first + of, where - chunk.at[of], np.repeat(kind, count), Windows(chunk.words)(window, where), Windows(chunk.others)(window, where).astype(np.uint32)))
+                found.append((chunk.first + of, where - chunk.at[of], np.repeat(kind, count), *digests(chunk.spelled(where, where + window - 1))))
             if not found:
                 continue
             row, first, kind, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -226,7 +228,7 @@ def extensions(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     integers(np.concatenate([spans[2], np.ones(len(group), dtype=np.int64)])),
                     integers(np.concatenate([np.full(len(spans[0]), REPEAT), np.where(total > 1, TWO, ONE)])),
                     signed(np.concatenate([spread, one[group]])),
-                    pa.array(np.concatenate([spread.astype(np.uint32), two[group]]).view(np.int32)),
+                    signed(np.concatenate([spread, two[group]])),
                 ],
                 names=[*RUN_COLUMNS, "hash", "hash2"],
             )
@@ -301,8 +303,8 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     occurrence of each is extended both ways to the windows that chose the anchor, and equal windows are counted.
     Counting replaces pairs of documents: the work is linear in the windows, whatever the size of a group, and no link is
     lost. Batches decide what they can before a shuffle, so a frequent passage sends one row for each batch.
-    A window is known by 96 bits, two hashes built from different hashes of its words, and is a repeat only if both
-    agree; a context by its anchor's 64 bits and 64 of its own.
+    Runs and windows are equal if 128-bit digests of their words, as written, agree; anchors, for which a fast hash is
+    enough, decide nothing on their own, so words made to share a hash only cost a comparison.
 
     Null and empty texts have no words. Texts shorter than a window are kept whole, with single spaces between words.
     Rows repeated whole are two documents, and repeat each other. Other columns are not read. An empty table gives an
@@ -310,15 +312,15 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     """
     # What goes from a row follows from its text, so rows are known by hashes of id and text, not by numbers.
     keys = ["k1", "k2"]
-    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_key(F.col(doc_id), F.col(text)))
+    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_key(F.col(doc_id), F.sha2(F.col(text), 256)))
     # Inner joins ask for this filter on their own; with it in all plans, the scans and shuffles of texts are alike.
     whole = whole.where("k1 is not null and k2 is not null")
-    runs = whole.select(*keys, "text").mapInArrow(anchors(window, seed), f"{RUNS}, task long, anchor long, context long, differ boolean")
-    met = cut(runs.repartition("task").sortWithinPartitions("anchor", "context").mapInArrow(meet, RUNS), "substring-runs")
+    runs = whole.select(*keys, "text").mapInArrow(anchors(window, seed), f"{RUNS}, task long, anchor long, context long, context2 long, differ boolean")
+    met = cut(runs.repartition("task").sortWithinPartitions("anchor", "context", "context2").mapInArrow(meet, RUNS), "substring-runs")
     # Rows of one key are alike: what one of them asks for, the others need not ask again.
     asked = met.where(F.col("kind") != REPEAT).groupBy(*keys).agg(F.collect_set(F.struct("first", "windows", "kind")).alias("asked"))
     # Both joins read the texts with the same columns and key, so Spark shuffles the texts once.
-    extended = whole.join(asked, keys).select(*keys, "text", "asked").mapInArrow(extensions(window), f"{RUNS}, hash long, hash2 int")
+    extended = whole.join(asked, keys).select(*keys, "text", "asked").mapInArrow(extensions(window), f"{RUNS}, hash long, hash2 long")
     counted = extended.repartition("hash", "hash2").sortWithinPartitions("hash", "hash2").mapInArrow(count, RUNS)
     spans = met.where(F.col("kind") == REPEAT).unionByName(counted).groupBy(*keys).agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
     kind = whole.schema["doc_id"].dataType.simpleString()
