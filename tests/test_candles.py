@@ -31,7 +31,10 @@ def model(rows, minutes):
         for _, p, b, q in trades:
             low = p if low == 0 or p < low else low
             high = p if high == 0 or p > high else high
-            base, quote = (b, q) if average == 0 else (base + b, quote + q)
+            if average == 0:
+                base, quote, average = b, q, p
+                continue
+            base, quote = base + b, quote + q
             average = p if high == low else (quote / base).quantize(Decimal(1).scaleb(-18), ROUND_HALF_EVEN)
         last = max(t[0] for t in trades)
         out[k * 60 * minutes] = (low, high, trades[0][1], next(t[1] for t in trades if t[0] == last), base, quote, average)

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from decimal import Decimal, localcontext
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.buckets import LENGTHS, bucket_end, bucket_start
 from ..functions.money import strict_divide
+from . import fold
 
-KEYS = ("market_id", "length", "start_at")
+KEYS = fold.KEYS
 OUT = ("market_id", "length", "start_at", "end_at", "lowest_price", "open_price", "average_price", "highest_price", "close_price", "base_volume", "quote_volume")
 _SPAN = "10000000000000000000"
 #: Market days that are broadcast at most.
@@ -24,15 +21,23 @@ def _moment(time: Column, rank: Column) -> Column:
     return F.unix_micros(time).cast("decimal(38,0)") * F.lit(_SPAN).cast("decimal(20,0)") + rank.cast("decimal(20,0)")
 
 
+def first_moment() -> Column:
+    """Orders trades by time, then id."""
+    return _moment(F.col("executed_at"), F.col("id").cast("decimal(20,0)"))
+
+
+def last_moment() -> Column:
+    """Orders trades by time, then id from the largest."""
+    return _moment(F.col("executed_at"), F.lit(_SPAN).cast("decimal(20,0)") - 1 - F.col("id").cast("decimal(20,0)"))
+
+
 def base_candles(trades: DataFrame, minutes: int) -> DataFrame:
     """Candles of one length, with the smallest price and quote amount that decide whether they need the exact fold.
 
     Open is the price of the first trade, close that of the first of those at the last second; among equal seconds the
     smallest id is first.
     """
-    order = F.col("id").cast("decimal(20,0)")
-    first = _moment(F.col("executed_at"), order)
-    last = _moment(F.col("executed_at"), F.lit(_SPAN).cast("decimal(20,0)") - 1 - order)
+    first, last = first_moment(), last_moment()
     return (
         trades.groupBy("market_id", bucket_start(F.col("executed_at"), minutes).alias("start_at"))
         .agg(
@@ -68,9 +73,13 @@ def roll_up(small: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
 
 
 def _averaged(rows: DataFrame, strict: bool) -> DataFrame:
-    ratio = strict_divide(F.col("quote_volume").cast("decimal(38,18)"), F.col("base_volume").cast("decimal(38,18)")) if strict else F.col("quote_volume").cast("double") / F.col("base_volume").cast("double")
-    flat = F.col("close_price").cast("decimal(38,18)") if strict else F.col("close_price").cast("double")
-    return rows.withColumn("average_price", F.when(F.col("lowest_price") == F.col("highest_price"), flat).otherwise(ratio)).withColumn("end_at", bucket_end(F.col("start_at"), F.col("length")))
+    """The average: the price that a trade has set alone, else the price if low and high are equal, else quote by base volume."""
+    exact = lambda c: F.col(c).cast("decimal(38,18)" if strict else "double")
+    ratio = strict_divide(exact("quote_volume"), exact("base_volume")) if strict else exact("quote_volume") / exact("base_volume")
+    alone = F.when(F.col("lowest_price") == F.col("highest_price"), exact("lowest_price"))
+    if "set_price" in rows.columns:
+        alone = F.coalesce(exact("set_price"), alone)
+    return rows.withColumn("average_price", F.when(alone.isNotNull(), alone).otherwise(ratio)).withColumn("end_at", bucket_end(F.col("start_at"), F.col("length")))
 
 
 def dusty(trades: DataFrame) -> DataFrame:
@@ -81,50 +90,10 @@ def dusty(trades: DataFrame) -> DataFrame:
 MONEY = ("lowest_price", "highest_price", "open_price", "close_price", "base_volume", "quote_volume")
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candles of trades that come in order of key, time and id; one candle is open at a time, whatever its trades.
+def folded(trades: DataFrame, lengths: tuple[int, ...], **options: int) -> DataFrame:
+    """The candles that hold a dusty trade, by :func:`fold.exact`, which spreads a candle's trades over tasks.
 
-    Nulls behave as in SQL: a comparison with one doesn't hold, a sum with one is null.
-    """
-    key = lo = hi = first = close = base = quote = second = None
-    anew, kind = True, pa.timestamp("us", tz="UTC")
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 9
-        types = [pa.string(), pa.int32(), pa.int64(), *[pa.decimal128(38, 18)] * 6]
-        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-        arrays[2] = arrays[2].cast(kind)
-        return pa.RecordBatch.from_arrays(arrays, names=[*KEYS, *MONEY])
-
-    for batch in batches:
-        kind, done = batch.schema.field("start_at").type, []
-        columns = [batch.column(c) for c in (*KEYS, "executed_at", "p", "b", "q")]
-        lists = [(c.cast(pa.int64()) if pa.types.is_timestamp(c.type) else c).to_pylist() for c in columns]
-        with localcontext(prec=80):
-            for market, length, start, time, p, b, q in zip(*lists, strict=True):
-                if (market, length, start) != key:
-                    if key is not None:
-                        done.append((*key, lo, hi, first, close, base, quote))
-                    key, first, second, anew = (market, length, start), p, None, True
-                    lo = hi = Decimal(0)
-                if time != second:
-                    second, close = time, p
-                lo = p if lo == 0 or (lo is not None and p is not None and p < lo) else lo
-                hi = p if hi == 0 or (hi is not None and p is not None and p > hi) else hi
-                base = b if anew else None if base is None or b is None else base + b
-                quote = q if anew else None if quote is None or q is None else quote + q
-                anew = p == 0 if lo is not None and lo == hi else quote == 0
-        yield batch_of(done)
-    if key is not None:
-        yield batch_of([(*key, lo, hi, first, close, base, quote)])
-
-
-def folded(trades: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """The candles that hold a dusty trade, folded trade by trade.
-
-    The running average decides: where it is zero, volumes start anew with the next trade, and a zero low or high
-    counts as unset. Only trades of candles with a dusty trade are sorted, by candle, time and id, and pass the fold as
-    a stream; no candle's trades are collected. Markets and days with a dusty trade are broadcast if they are few.
+    Only trades of candles with a dusty trade are read. Markets and days with one are broadcast if they are few.
     """
     day = bucket_start(F.col("executed_at"), max(LENGTHS)).alias("day")
     days = dusty(trades).select("market_id", day).distinct()
@@ -136,16 +105,16 @@ def folded(trades: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
         return rows.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).withColumn("start_at", bucket_start(F.col("executed_at"), F.col("length")))
 
     money = [F.col(c).cast("decimal(38,18)").alias(n) for c, n in (("price", "p"), ("amount", "b"), ("i_quote_amount", "q"))]
-    rows = keyed(mine).join(keyed(dusty(trades)).select(*KEYS).distinct(), list(KEYS), "left_semi").select(*KEYS, "executed_at", "id", *money)
-    ordered = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "executed_at", "id", "p", "b", "q")
-    return ordered.mapInArrow(_fold, "market_id string, length int, start_at timestamp, " + ", ".join(f"{m} decimal(38,18)" for m in MONEY))
+    rows = keyed(mine).join(keyed(dusty(trades)).select(*KEYS).distinct(), list(KEYS), "left_semi")
+    return fold.exact(rows.select(*KEYS, first_moment().alias("moment"), last_moment().alias("last_moment"), *money), **options)
 
 
 def candles(trades: DataFrame, lengths: tuple[int, ...] = LENGTHS, *, exact: bool = True, strict: bool = False) -> DataFrame:
     """Candles of the given lengths, one row for each market, length and bucket with trades.
 
-    ``exact`` sends candles with a zero price or quote amount through :func:`folded`; others have a closed form. A scan
-    for such trades, which statistics of the files usually answer, decides whether the plan needs the fold at all.
+    ``exact`` sends candles with a zero price or quote amount through :func:`folded`; others have a closed form. Whether
+    there are any is asked while the plan is built: one scan, which statistics of the files usually answer, and, only
+    where there are some, jobs that store their dust.
     ``strict`` averages with 18 decimal digits instead of as doubles.
     """
     small = base_candles(trades, LENGTHS[0])
@@ -154,7 +123,8 @@ def candles(trades: DataFrame, lengths: tuple[int, ...] = LENGTHS, *, exact: boo
         return _averaged(rows, strict).select(*OUT)
     plain = (F.col("lowest_price") > 0) & (F.col("least_quote") > 0)
     money = [F.col(c).cast("decimal(38,18)").alias(c) for c in MONEY]
-    return _averaged(rows.where(plain).select(*KEYS, *money).unionByName(folded(trades, lengths)), strict).select(*OUT)
+    others = rows.where(plain).select(*KEYS, *money, F.lit(None).cast("decimal(38,18)").alias("set_price"))
+    return _averaged(others.unionByName(folded(trades, lengths)), strict).select(*OUT)
 
 
 def candles_since(trades: DataFrame, begin: Column, lengths: tuple[int, ...] = LENGTHS, **options: bool) -> DataFrame:

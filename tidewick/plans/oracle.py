@@ -13,11 +13,27 @@ TRADES = """trades AS (
          date_trunc('second', ts) AS executed_at, user_id::VARCHAR AS maker, ((user_id * 7 + 3) % 150)::VARCHAR AS taker, event_id % 10 <> 0 AS done
   FROM events)"""
 
-CANDLES = f"""candles AS (
-  SELECT market_id, m AS length, time_bucket(to_minutes(m), executed_at, TIMESTAMP '1970-01-01') AS start_at,
-         min(price) AS lo, max(price) AS hi, arg_min(price, (epoch_us(executed_at), id)) AS op, arg_max(price, (epoch_us(executed_at), -id)) AS cl,
-         sum(amount) AS bv, sum(quote) AS qv
-  FROM trades, (SELECT unnest({list(LENGTHS)}) AS m) GROUP BY ALL)"""
+#: The candle after one more trade ``x``: the rules that depend on the order of trades.
+_LOW, _HIGH = "CASE WHEN a.lo = 0 OR x.p < a.lo THEN x.p ELSE a.lo END", "CASE WHEN a.hi = 0 OR x.p > a.hi THEN x.p ELSE a.hi END"
+_STEP = f"""{{'p': x.p, 'b': x.b, 'q': x.q, 'lo': {_LOW}, 'hi': {_HIGH},
+  'bv': CASE WHEN a.zero THEN x.b ELSE (a.bv + x.b)::DECIMAL(38,2) END, 'qv': CASE WHEN a.zero THEN x.q ELSE (a.qv + x.q)::DECIMAL(38,2) END,
+  'zero': CASE WHEN a.zero OR {_LOW} = {_HIGH} THEN x.p = 0 ELSE a.qv + x.q = 0 END,
+  'av': CASE WHEN a.zero OR {_LOW} = {_HIGH} THEN x.p::DOUBLE ELSE (a.qv + x.q)::DOUBLE / (a.bv + x.b)::DOUBLE END}}"""
+_FRESH = "{'p': %s, 'b': %s, 'q': %s, 'lo': 0::DECIMAL(18,2), 'hi': 0::DECIMAL(18,2), 'bv': 0::DECIMAL(38,2), 'qv': 0::DECIMAL(38,2), 'zero': true, 'av': 0::DOUBLE}"
+_NONE = _FRESH % ("0::DECIMAL(18,2)", "0::DECIMAL(38,2)", "0::DECIMAL(38,2)")
+_TRADE = _FRESH % ("price", "amount::DECIMAL(38,2)", "quote::DECIMAL(38,2)")
+
+CANDLES = f"""keyed AS (SELECT *, time_bucket(to_minutes(m), executed_at, TIMESTAMP '1970-01-01') AS start_at FROM trades, (SELECT unnest({list(LENGTHS)}) AS m)),
+plain AS (
+  SELECT market_id, m, start_at, min(price) AS lo, max(price) AS hi, arg_min(price, (epoch_us(executed_at), id)) AS op, arg_max(price, (epoch_us(executed_at), -id)) AS cl,
+         sum(amount) AS bv, sum(quote) AS qv, min(price) <= 0 OR min(quote) <= 0 AS dusty
+  FROM keyed GROUP BY ALL),
+folds AS (
+  SELECT market_id, m, start_at, list_reduce(list_prepend({_NONE}, list({_TRADE} ORDER BY executed_at, id)), lambda a, x: {_STEP}) AS f
+  FROM keyed SEMI JOIN (SELECT * FROM plain WHERE dusty) USING (market_id, m, start_at) GROUP BY ALL),
+candles AS (
+  SELECT market_id, m AS length, start_at, coalesce(f.lo, lo) AS lo, coalesce(f.hi, hi) AS hi, op, cl, coalesce(f.bv, bv) AS bv, coalesce(f.qv, qv) AS qv, f.av AS av
+  FROM plain LEFT JOIN folds USING (market_id, m, start_at))"""
 
 MARKETS = """markets AS (
   SELECT k.id, k.base || '/usd' AS market_id, k.base, coalesce(first, TIMESTAMP '2024-01-01') AS created
@@ -34,7 +50,7 @@ LAST = """last AS (
   WHERE executed_at > TIMESTAMP '{as_of}' - INTERVAL 24 HOUR GROUP BY 1)"""
 
 CANDLE_COLUMNS = """market_id, length, start_at, start_at + to_minutes(length) AS end_at, lo::DOUBLE AS lowest_price, op::DOUBLE AS open_price,
-  CASE WHEN lo = hi THEN cl::DOUBLE ELSE qv::DOUBLE / bv::DOUBLE END AS average_price, hi::DOUBLE AS highest_price, cl::DOUBLE AS close_price, bv::DOUBLE AS base_volume, qv::DOUBLE AS quote_volume"""
+  coalesce(av, CASE WHEN lo = hi THEN lo::DOUBLE ELSE qv::DOUBLE / bv::DOUBLE END) AS average_price, hi::DOUBLE AS highest_price, cl::DOUBLE AS close_price, bv::DOUBLE AS base_volume, qv::DOUBLE AS quote_volume"""
 
 
 def shown(column: str) -> str:
@@ -55,8 +71,8 @@ cut AS (SELECT * FROM held WHERE place <= {limit}),
 full_markets AS (SELECT market_id FROM cut GROUP BY 1 HAVING count(*) = {limit}),
 calendar AS (SELECT market_id, unnest(generate_series(time_bucket(to_minutes({length}), begin + to_minutes({length}) - INTERVAL 1 SECOND, TIMESTAMP '1970-01-01'),
                time_bucket(to_minutes({length}), TIMESTAMP '{as_of}', TIMESTAMP '1970-01-01'), to_minutes({length}))) AS start_at FROM r WHERE market_id NOT IN (SELECT market_id FROM full_markets)),
-filled AS (SELECT market_id, {length} AS length, start_at, coalesce(lo, 0) AS lo, coalesce(hi, 0) AS hi, coalesce(op, 0) AS op, coalesce(cl, 0) AS cl, coalesce(bv, 0) AS bv, coalesce(qv, 0) AS qv FROM calendar LEFT JOIN cut USING (market_id, start_at)
-  UNION ALL SELECT market_id, length, start_at, lo, hi, op, cl, bv, qv FROM cut WHERE market_id IN (SELECT market_id FROM full_markets))"""
+filled AS (SELECT market_id, {length} AS length, start_at, coalesce(lo, 0) AS lo, coalesce(hi, 0) AS hi, coalesce(op, 0) AS op, coalesce(cl, 0) AS cl, coalesce(bv, 0) AS bv, coalesce(qv, 0) AS qv, av FROM calendar LEFT JOIN cut USING (market_id, start_at)
+  UNION ALL SELECT market_id, length, start_at, lo, hi, op, cl, bv, qv, av FROM cut WHERE market_id IN (SELECT market_id FROM full_markets))"""
 
 
 def gapfilled(as_of: str, length: int, limit: int) -> str:
