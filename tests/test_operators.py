@@ -213,3 +213,51 @@ def test_windowed_stream(spark, tmp_path):
     stream = listener.windowed(spark.readStream.schema(trades.schema).parquet(path), 60)
     stream.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("windows").count() > 100
+
+
+def test_strict_conversion_raises_whatever_is_read(spark):
+    """A missing asset is an error for each column alone and for a count; a left join must not lose the row."""
+    raw = spark.createDataFrame([(1, "u1", "u2", "buy", Decimal("1.5"), Decimal(1000000), "m", "t", 0)], "id long, base string, quote string, order_type string, price decimal(20,4), amount decimal(17,0), maker string, taker string, executed_at long")
+    for units in ([], [("u1", "d", 6)], [("u2", "d", 6)], [("u1", "d", 6), ("u2", "d", None)]):
+        known = spark.createDataFrame(units, "denom string, display string, exponent int")
+        for made in (assets.convert_trades(raw, known), assets.convert_orders(raw, known, "2024-01-01")):
+            for column in made.columns:
+                with pytest.raises(Exception, match="no display denom"):
+                    made.select(column).collect()
+            with pytest.raises(Exception, match="no display denom"):
+                made.count()
+        assert assets.convert_trades(raw, known, strict=False).select("price").first().price is None
+        assert assets.convert_orders(raw, known, "2024-01-01", strict=False).count() == 1
+    both = spark.createDataFrame([("u1", "d", 6), ("u2", "d", 3)], "denom string, display string, exponent int")
+    assert assets.convert_trades(raw, both).count() == 1 and assets.convert_trades(raw, both).first().i_quote_amount == 1500
+
+
+def test_whole_numbers_are_divided_exactly(spark):
+    cases = [(w, k) for w in (0, 7, 10**18 - 1, 2**63 - 1, 2**63, 10**37) for k in (0, 1, 6, 18) if w < 10 ** (20 + k)]
+    df = spark.createDataFrame([(Decimal(w), k) for w, k in cases], "w decimal(38,0), k int")
+    assert [r.x for r in df.select(money.unshifted(F.col("w"), F.col("k")).alias("x")).collect()] == [Decimal(w).scaleb(-k) for w, k in cases]
+
+
+def test_charts_read_the_days_they_need(spark, data, tmp_path):
+    from tidewick.operators import gapfill
+    from tidewick.operators.candles import candles
+    from tidewick.sinks.tables import write_partitions
+    from tidewick.sources import derived
+
+    path = str(tmp_path / "candles")
+    write_partitions(candles(derived.trades(spark, data), (15, 60)).withColumn("candle_date", F.to_date("start_at")), path, ["market_id", "candle_date"])
+    markets = derived.markets(spark, data).where("market_id = 'view/usd'").cache()
+    chart = gapfill.from_table(spark, path, markets, "2024-01-20 12:00:00", 60, 30)
+    assert rows_of(chart) == rows_of(gapfill.from_trades(derived.trades(spark, data).where("executed_at <= '2024-01-20 12:00:00'"), markets, "2024-01-20 12:00:00", 60, 30))
+    plan = chart._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "candle_date" in plan.split("PartitionFilters", 1)[1]
+    # Folders of other days may break without harm: they aren't opened.
+    for folder in (tmp_path / "candles").glob("market_id=view*/candle_date=*"):
+        if not "2024-01-19" <= folder.name.partition("=")[2] <= "2024-01-20":
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"broken")
+    assert rows_of(gapfill.from_table(spark, path, markets, "2024-01-20 12:00:00", 60, 30)) == rows_of(chart)
+
+
+def rows_of(df):
+    return sorted(map(str, df.select(*sorted(df.columns)).collect()))

@@ -52,6 +52,21 @@ def shift_text(digits: Column, exponent: Column) -> Column:
     return F.when(half & odd, cut).otherwise(up)
 
 
+def unshifted(whole: Column, digits: Column) -> Column:
+    """A whole number / 10**digits, exactly, for numbers of up to 20 digits before the point then.
+
+    What fits a long is divided as one: the quotient and the rest times a power are both exact. Others move the point in
+    the text.
+    """
+    held, at = whole.try_cast("bigint"), digits.cast("int")
+    power = F.get(F.array(*[F.lit(10**k).cast("bigint") for k in range(19)]), at)
+    part = F.get(F.array(*[F.lit(f"{Decimal(1).scaleb(-k):f}").cast("decimal(19,18)") for k in range(19)]), at)
+    rest = ((held % power).cast("decimal(18,0)") * part).cast("decimal(18,18)")
+    divided = (F.call_function("div", held, power).cast("decimal(19,0)") + rest).cast(MONEY)
+    moved = F.bround(F.concat(whole.cast("string"), F.lit("E"), (-at).cast("string")).cast(MONEY), 18)
+    return F.when(held.isNotNull() & at.between(0, 18), divided).otherwise(moved)
+
+
 def percent_change(open_price: Column, last_price: Column) -> Column:
     """Change from open to last in percent; 0 where there was no positive open price."""
     return F.when(open_price <= 0, F.lit(0.0)).otherwise((last_price - open_price).cast("double") / open_price.cast("double") * 100)

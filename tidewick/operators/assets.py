@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from ..functions.money import shift, shown
+from ..functions.money import shift, shown, unshifted
 from ..functions.text import market_id
 
 #: Digits of a quote amount whose asset has no display unit.
@@ -26,8 +26,10 @@ def with_exponents(rows: DataFrame, units: DataFrame) -> DataFrame:
     return rows.join(side("base"), "base", "left").join(side("quote"), "quote", "left")
 
 
-def checked(exponent: Column, what: str) -> Column:
-    return F.when(exponent.isNull(), F.raise_error(F.lit(f"no display denom for {what} asset")).cast("int")).otherwise(exponent)
+def only_known(rows: DataFrame) -> DataFrame:
+    """``rows`` with exponents; an error if one is missing. A filter is evaluated whatever columns are read, also by a count."""
+    missing = lambda what: F.raise_error(F.lit(f"no display denom for {what} asset")).cast("boolean")
+    return rows.where(F.when(F.col("base_exponent").isNull(), missing("base")).when(F.col("quote_exponent").isNull(), missing("quote")).otherwise(True))
 
 
 def display_price(price: Column, base_exponent: Column, quote_exponent: Column, compat: bool = False, kind: DecimalType | None = None) -> Column:
@@ -58,8 +60,7 @@ def quote_amount(amount: Column, price: Column, exponent: Column) -> Column:
     fraction is what is cut. Pass decimals whose precisions sum to 37 at most, so that the product keeps all digits.
     """
     product = amount * price
-    whole = F.floor(F.abs(product)).cast("decimal(38,0)")
-    cut = F.bround(F.concat(whole.cast("string"), F.lit("E"), (-F.coalesce(exponent, F.lit(DEFAULT_DIGITS))).cast("string")).cast("decimal(38,18)"), 18)
+    cut = unshifted(F.floor(F.abs(product)).cast("decimal(38,0)"), F.coalesce(exponent, F.lit(DEFAULT_DIGITS)))
     return F.when(product < 0, -cut).otherwise(cut)
 
 
@@ -67,10 +68,11 @@ def convert_trades(raw: DataFrame, units: DataFrame, *, compat: bool = False, st
     """Raw trades (id, base, quote, order_type, price, amount, maker, taker, executed_at in seconds) as history rows.
 
     ``strict`` raises where an asset is unknown or has no display unit, whatever columns are read; otherwise these rows
-    have null prices and amounts.
+    have null prices and amounts, and quote amounts have 6 digits.
     """
-    e = lambda c: checked(F.col(f"{c}_exponent"), c) if strict else F.col(f"{c}_exponent")
+    e = lambda c: F.col(f"{c}_exponent")
     rows = with_exponents(raw, units)
+    rows = only_known(rows) if strict else rows
     priced = rows.withColumns({"shown_price": display_price(F.col("price"), e("base"), e("quote"), compat, decimal_kind(raw, "price")), "shown_amount": display_amount(F.col("amount"), e("base"), decimal_kind(raw, "amount"))})
     quote = quote_amount(F.col("amount"), F.col("price"), F.col("quote_exponent"))
     if compat:
@@ -81,10 +83,14 @@ def convert_trades(raw: DataFrame, units: DataFrame, *, compat: bool = False, st
     )
 
 
-def convert_orders(raw: DataFrame, units: DataFrame, as_of: str, *, compat: bool = False) -> DataFrame:
-    """Raw price levels (id, base, quote, order_type, price, amount) as book rows; buys and sells come in one frame."""
+def convert_orders(raw: DataFrame, units: DataFrame, as_of: str, *, compat: bool = False, strict: bool = True) -> DataFrame:
+    """Raw price levels (id, base, quote, order_type, price, amount) as book rows; buys and sells come in one frame.
+
+    ``strict`` raises where an asset is unknown or has no display unit; otherwise these rows have null prices and amounts.
+    """
     rows = with_exponents(raw, units)
-    shown_price = display_price(F.col("price"), checked(F.col("base_exponent"), "base"), checked(F.col("quote_exponent"), "quote"), compat, decimal_kind(raw, "price"))
+    rows = only_known(rows) if strict else rows
+    shown_price = display_price(F.col("price"), F.col("base_exponent"), F.col("quote_exponent"), compat, decimal_kind(raw, "price"))
     amount = display_amount(F.col("amount"), F.col("base_exponent"), decimal_kind(raw, "amount"))
     known = rows.withColumn("i_quote_amount", quote_amount(F.col("amount"), F.col("price"), F.col("quote_exponent"))).withColumns({"price": shown_price, "amount": amount})
     return known.select(

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.buckets import at, bucket_end, bucket_start, minutes_before
-from .candles import OUT, public_rows, trading_view
+from .candles import OUT, candles_since, public_rows, trading_view
+from .candles import candles as candles_of
 from .requests import ChartRequest
 
+#: Markets whose days are broadcast at most.
+BROADCAST_MARKETS = 5_000
 PRICES = ("lowest_price", "open_price", "average_price", "highest_price", "close_price", "base_volume", "quote_volume")
 
 
@@ -52,6 +55,30 @@ def gapfilled(candles: DataFrame, markets: DataFrame, as_of: str, length: int, l
     return kept.select("market_id", F.lit(length).alias("length"), "start_at", bucket_end(F.col("start_at"), length).alias("end_at"), *zeros).select(*OUT)
 
 
+def from_trades(trades: DataFrame, markets: DataFrame, as_of: str, length: int, limit: int) -> DataFrame:
+    """:func:`gapfilled` of candles that are made of no more trades than the ranges need."""
+    made = candles_since(trades, minutes_before(as_of, (limit + 1) * length), (length,)) if limit > 0 else candles_of(trades, (length,))
+    return gapfilled(made, markets, as_of, length, limit)
+
+
+def from_table(spark: SparkSession, path: str, markets: DataFrame, as_of: str, length: int, limit: int) -> DataFrame:
+    """:func:`gapfilled` of candles stored by market and day (market_id, candle_date), of which only the days that ranges touch are read.
+
+    Candles that start after ``as_of`` don't count.
+
+    Days before the earliest possible begin are left out by a filter on the folder names; of the others a market's days
+    meet its folders in a join, which prunes while the query runs.
+    """
+    rows = spark.read.parquet(path).where(F.col("start_at") <= at(as_of))
+    days = ranges(markets, as_of, length, limit).select("market_id", F.explode(F.sequence(F.to_date("begin"), F.greatest(F.to_date("begin"), F.to_date(at(as_of))))).alias("candle_date"))
+    if limit > 0:
+        rows = rows.where(F.col("candle_date") >= F.to_date(minutes_before(as_of, limit * length)))
+        # A market has limit * length / 1440 + 2 days at most; many markets are left to Spark's own choice of a join.
+        days = F.broadcast(days) if markets.limit(BROADCAST_MARKETS + 1).count() <= BROADCAST_MARKETS else days
+    mine = rows.where(F.col("length") == length).join(days, ["market_id", "candle_date"], "left_semi").drop("candle_date")
+    return gapfilled(mine, markets, as_of, length, limit)
+
+
 def chart(candles: DataFrame, markets: DataFrame, request: ChartRequest, as_of: str) -> DataFrame:
     """The chart that a request asks for: of its market, length and limit; ``tv`` gives the rows that charts take."""
     mine = F.col("market_id") == request.market

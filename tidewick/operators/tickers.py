@@ -33,21 +33,17 @@ def day_summary(candles: DataFrame, as_of: str, hours: int = HOURS) -> DataFrame
     """
     recent = candles.where((F.col("length") == LENGTH) & (F.col("start_at") >= minutes_before(as_of, 60 * hours)))
     place = F.unix_seconds("start_at")
+    # At most 60 * hours / LENGTH + 1 lows of a market are listed.
     rows = recent.groupBy("market_id").agg(
         F.sum("base_volume").alias("base_volume"),
         F.sum("quote_volume").alias("quote_volume"),
         F.greatest(F.max("highest_price"), F.lit(0)).alias("high"),
         F.min_by("open_price", place).alias("open_price"),
-        F.min("lowest_price").alias("least"),
-        F.max(F.when(F.col("lowest_price") == 0, place)).alias("zero_at"),
-        F.max(place).alias("last_at"),
+        F.sort_array(F.collect_list(F.struct(place.alias("place"), F.col("lowest_price").alias("low")))).alias("lows"),
     )
-    plain = rows.where("zero_at is null").withColumn("low", F.col("least"))
-    zeroed = rows.where("zero_at is not null")
-    later = recent.join(zeroed.select("market_id", "zero_at"), "market_id").where(place > F.col("zero_at")).groupBy("market_id").agg(F.min("lowest_price").alias("later"))
-    reset = zeroed.join(later, "market_id", "left").withColumn("low", F.coalesce("later", F.lit(0).cast(recent.schema["lowest_price"].dataType)))
-    columns = ["market_id", "base_volume", "quote_volume", "high", "low", "open_price"]
-    return plain.select(*columns).unionByName(reset.select(*columns))
+    lower = lambda low, x: F.when(low.isNull() | (low == 0) | (x["low"] < low), x["low"]).otherwise(low)
+    low = F.aggregate("lows", F.lit(None).cast(recent.schema["lowest_price"].dataType), lower)
+    return rows.select("market_id", "base_volume", "quote_volume", "high", low.alias("low"), "open_price")
 
 
 def tickers(markets: DataFrame, trades: DataFrame, candles: DataFrame, orders: DataFrame, as_of: str) -> DataFrame:

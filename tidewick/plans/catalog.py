@@ -67,7 +67,7 @@ def trading_view_all(spark, sf_dir):
 
 
 def _filled(spark, sf_dir, as_of, length, limit):
-    return gapfill.gapfilled(_candles(spark, sf_dir, length), derived.markets(spark, sf_dir), as_of, length, limit)
+    return gapfill.from_trades(derived.trades(spark, sf_dir), derived.markets(spark, sf_dir), as_of, length, limit)
 
 
 @query
@@ -94,7 +94,16 @@ def intervals_tradingview(spark, sf_dir):
 def chart_request(spark, sf_dir):
     """A chart as it is asked for, under its public names."""
     request = ChartRequest(ticker_id="click_usd", minutes=60, limit=100)
-    return ntz(gapfill.chart(_candles(spark, sf_dir, 60), derived.markets(spark, sf_dir), request, AS_OF))
+    hours = ohlc.candles_since(derived.trades(spark, sf_dir), minutes_before(AS_OF, 60 * (request.rows + 1)), (60,))
+    return ntz(gapfill.chart(hours, derived.markets(spark, sf_dir), request, AS_OF))
+
+
+@query
+def charts_stored(spark, sf_dir):
+    """Charts from a stored table of candles of all lengths, of which only the days that they need are read."""
+    path = shared_path(spark, "candles")
+    sinks.write_partitions(_candles(spark, sf_dir).withColumn("candle_date", F.to_date("start_at")), path, ["market_id", "candle_date"])
+    return ntz(gapfill.from_table(spark, path, derived.markets(spark, sf_dir), AS_OF, 15, 100))
 
 
 @query

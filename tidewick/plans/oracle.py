@@ -147,6 +147,7 @@ ORACLES = {
     "intervals_gapfilled": gapfilled(AS_OF, 5, 500),
     "intervals_gapfilled_aligned": gapfilled(AS_OF_ALIGNED, 60, 10),
     "intervals_gapfilled_days": gapfilled(AS_OF, 1440, 5000),
+    "charts_stored": gapfilled(AS_OF, 15, 100),
     "intervals_tradingview": trading_view(AS_OF, 15, 500),
     "tickers_24h": f"WITH {_TICKERS} SELECT * FROM tickers",
     "tickers_coingecko": f"""WITH {_TICKERS} SELECT base || '_' || quote AS ticker_id, base AS base_currency, quote AS target_currency, market_id AS pool_id, last_price, base_volume,
