@@ -66,10 +66,10 @@ def from_table(spark: SparkSession, path: str, markets: DataFrame, as_of: str, l
 
     Candles that start after ``as_of`` don't count.
 
-    Days before the earliest possible begin are left out by a filter on the folder names; of the others a market's days
+    Days outside of all ranges are left out by a filter on the folder names; of the others a market's days
     meet its folders in a join, which prunes while the query runs.
     """
-    rows = spark.read.parquet(path).where(F.col("start_at") <= at(as_of))
+    rows = spark.read.parquet(path).where((F.col("candle_date") <= F.to_date(at(as_of))) & (F.col("start_at") <= at(as_of)))
     days = ranges(markets, as_of, length, limit).select("market_id", F.explode(F.sequence(F.to_date("begin"), F.greatest(F.to_date("begin"), F.to_date(at(as_of))))).alias("candle_date"))
     if limit > 0:
         rows = rows.where(F.col("candle_date") >= F.to_date(minutes_before(as_of, limit * length)))
