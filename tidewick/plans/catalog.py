@@ -15,6 +15,7 @@ from ..operators import articles as feed
 from ..operators import candles as ohlc
 from ..operators.requests import BookRequest, ChartRequest
 from ..sinks import tables as sinks
+from ..sinks.versions import Tables
 from ..sources import derived, tables
 from ..sources.shared import shared_path
 from ..streaming import listener, sync
@@ -474,12 +475,13 @@ def scattered(trades: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
 @query
 def candles_streamed(spark, sf_dir):
     """Candles of a stream of trades that lands in several files, in no order of time, by recomputing touched days."""
-    landed, stored, out, state = (shared_path(spark, f"stream-{n}") for n in ("landed", "trades", "candles", "state"))
+    landed, folder, state = (shared_path(spark, f"stream-{n}") for n in ("landed", "store", "state"))
     trades = derived.trades(spark, sf_dir)
     scattered(trades).write.parquet(landed)
     stream = spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    listener.run(stream, stored, out, state).awaitTermination()
-    return ntz(spark.read.parquet(out).select(*ohlc.OUT))
+    stored = Tables(spark, folder, listener.trade_tables(trades.schema))
+    listener.run(stream, stored, state).awaitTermination()
+    return ntz(stored.read("candles").select(*ohlc.OUT))
 
 
 def feed_of(spark: SparkSession, sf_dir: str) -> sync.Feed:
@@ -493,12 +495,16 @@ def feed_of(spark: SparkSession, sf_dir: str) -> sync.Feed:
 
 @query
 def listener_streamed(spark, sf_dir):
-    """What the event loop has stored after all events of a stream: rows and sums of each table and market."""
+    """What the event loop has stored after the initial sync and all events of a stream: the rows of each table."""
     landed, folder, state = (shared_path(spark, f"listener-{n}") for n in ("landed", "store", "state"))
     derived.events(spark, sf_dir).repartition(3).write.json(landed)
     feed = feed_of(spark, sf_dir)
-    store = sync.Store(folder, feed)
-    sync.run(tables.event_stream(spark, landed, 1), feed, store, state).awaitTermination()
-    parts = {"markets": "id", "trades": "amount", "candles": "base_volume", "orders": "amount"}
-    sums = [store.read(spark, n).groupBy("market_id").agg(F.count("*").alias("n"), F.sum(c).cast("double").alias("total")).withColumn("stored", F.lit(n)) for n, c in parts.items()]
-    return sums[0].unionByName(sums[1]).unionByName(sums[2]).unionByName(sums[3]).select("stored", "market_id", "n", "total")
+    stored = sync.tables_of(spark, folder, feed)
+    sync.run(tables.event_stream(spark, landed, 1), feed, stored, state).awaitTermination()
+    none = F.lit(None)
+    parts = {"markets": ("id", "i_created_at", none, none), "trades": ("id", "executed_at", "price", "amount"), "candles": ("length", "start_at", "close_price", "base_volume"), "orders": ("id", none, "price", "amount")}
+    rows = [
+        stored.read(name).select(F.lit(name).alias("stored"), "market_id", *[(F.col(c) if isinstance(c, str) else c).cast(t).alias(n) for c, n, t in zip(columns, ("number", "at", "price", "amount"), ("long", "timestamp_ntz", "double", "double"), strict=True)])
+        for name, columns in parts.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])

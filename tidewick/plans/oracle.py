@@ -240,8 +240,8 @@ SELECT market_id, start_at, cl::DOUBLE AS close_price, CASE WHEN o.market_id IS
   CASE WHEN start_at >= TIMESTAMP '2024-01-10' THEN TIMESTAMP '{AS_OF}' END AS i_updated_at FROM candles WHERE length = 60""",
     "market_creation": f"WITH {TRADES} SELECT market_id, min(executed_at) - INTERVAL 1 MINUTE AS i_created_at FROM trades GROUP BY 1",
     "listener_streamed": f"""WITH {TRADES}, {CANDLES}, {MARKETS}, {ORDERS}
-SELECT 'markets' AS stored, market_id, 1::BIGINT AS n, id::DOUBLE AS total FROM markets
-UNION ALL SELECT 'trades', market_id, count(*), sum(amount)::DOUBLE FROM trades WHERE market_id = 'purchase/usd' GROUP BY ALL
-UNION ALL SELECT 'candles', market_id, count(*), sum(bv)::DOUBLE FROM candles WHERE market_id = 'purchase/usd' GROUP BY ALL
-UNION ALL SELECT 'orders', market_id, count(*), sum(amount)::DOUBLE FROM book WHERE market_id IN ('click/usd', 'purchase/usd', 'view/usd') GROUP BY ALL""",
+SELECT 'markets' AS stored, market_id, id::BIGINT AS number, created AS at, NULL::DOUBLE AS price, NULL::DOUBLE AS amount FROM markets
+UNION ALL SELECT 'trades', market_id, id, executed_at, price::DOUBLE, amount::DOUBLE FROM trades
+UNION ALL SELECT 'candles', market_id, length, start_at, cl::DOUBLE, bv::DOUBLE FROM candles
+UNION ALL SELECT 'orders', market_id, (price * 100)::BIGINT, NULL, price::DOUBLE, amount::DOUBLE FROM book""",
 }

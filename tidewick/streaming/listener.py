@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, StructField, StructType
 
+from .. import schema
 from ..functions.text import unquoted
 from ..operators.candles import candles
-from ..sinks.tables import write_partitions
+from ..sinks.versions import Commit, Table, Tables
 
 #: What an event makes stale, by the last part of its type.
 STALE = {
@@ -43,36 +45,49 @@ def listen(blocks: DataFrame, transactions: DataFrame, contains: str) -> DataFra
     return blocks.unionByName(transactions).where(F.col("type").contains(contains))
 
 
-def recompute(spark: SparkSession, trades_path: str, candles_path: str) -> Callable[[DataFrame, int], None]:
-    """Handler of a micro-batch of trades: store them, then recompute the candles of the days they touch.
+def days_of(trades: DataFrame) -> DataFrame:
+    return trades.withColumn("trade_date", F.to_date("executed_at"))
 
-    Trades are partitioned by market and day, so that a late trade rewrites one market's days only. A batch that runs
-    again replaces what it wrote. Candles are written after the trades; a batch that fails in between is run again.
+
+def trade_tables(trades: StructType) -> dict[str, Table]:
+    """The tables of trades of a schema and of their candles, both by market and day."""
+    dated = StructType([*trades.fields, StructField("trade_date", DateType())])
+    return {"trades": Table(dated, ("market_id", "trade_date")), "candles": Table(StructType([*schema.CANDLES.fields, StructField("candle_date", DateType())]), ("market_id", "candle_date"))}
+
+
+def store_trades(commit: Commit, new: DataFrame) -> None:
+    """Store trades, then recompute the candles of the days they touch.
+
+    Trades of the markets and seconds in ``new`` are replaced, so a batch that comes again changes nothing. Trades are
+    partitioned by market and day: a late trade rewrites one market's day only, and no candle crosses a day. ``new`` is
+    read several times and has to be the same each time.
     """
+    new = days_of(new)
+    touched = new.select("market_id", "trade_date").distinct()
+    seconds = new.select("market_id", "trade_date", "executed_at").distinct()
+    old = commit.read("trades").join(touched, ["market_id", "trade_date"], "left_semi").join(seconds, ["market_id", "trade_date", "executed_at"], "left_anti")
+    commit.replace("trades", old.unionByName(new.dropDuplicates(["market_id", "id"])))
+    again = commit.read("trades").join(touched, ["market_id", "trade_date"], "left_semi").drop("trade_date")
+    commit.replace("candles", candles(again).withColumn("candle_date", F.to_date("start_at")))
+
+
+def recompute(tables: Tables, writer: str = "trades") -> Callable[[DataFrame, int], None]:
+    """Handler of a micro-batch of trades: they and their candles become visible together, once."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        new = batch.withColumn("trade_date", F.to_date("executed_at"))
-        touched = new.select("market_id", "trade_date").distinct()
-        stored = spark.read.schema(new.schema).parquet(trades_path)
-        seconds = new.select("market_id", "trade_date", "executed_at").distinct()
-        old = stored.join(touched, ["market_id", "trade_date"], "left_semi").join(seconds, ["market_id", "trade_date", "executed_at"], "left_anti")
-        # A partition can't be read while it is overwritten: the new content is written elsewhere first.
-        staged = f"{trades_path}_staged"
-        old.unionByName(new.dropDuplicates(["id"])).write.mode("overwrite").parquet(staged)
-        write_partitions(spark.read.schema(new.schema).parquet(staged), trades_path, ["market_id", "trade_date"])
-        # No candle crosses a day: those of the touched days are all that changes, and only their partitions are read.
-        again = spark.read.schema(new.schema).parquet(trades_path).join(touched, ["market_id", "trade_date"], "left_semi").drop("trade_date")
-        write_partitions(candles(again).withColumn("candle_date", F.to_date("start_at")), candles_path, ["market_id", "candle_date"])
+        state = tables.state()
+        if state.batches.get(writer, -1) < batch_id:
+            commit = tables.begin()
+            if not batch.isEmpty():
+                store_trades(commit, batch)
+            commit.publish(**{writer: batch_id})
 
     return handle
 
 
-def run(trades: DataFrame, trades_path: str, candles_path: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+def run(trades: DataFrame, tables: Tables, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
     """Start the recompute on a stream of trades: a backfill of all that is there, or continuously."""
-    spark = trades.sparkSession
-    empty = spark.createDataFrame([], trades.withColumn("trade_date", F.to_date("executed_at")).schema)
-    empty.write.mode("append").partitionBy("market_id", "trade_date").parquet(trades_path)
-    writer = trades.writeStream.foreachBatch(recompute(spark, trades_path, candles_path)).option("checkpointLocation", checkpoint)
+    writer = trades.writeStream.foreachBatch(recompute(tables)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -87,4 +102,4 @@ def windowed(trades: DataFrame, minutes: int, late: str = "1 hour") -> DataFrame
     )
 
 
-__all__ = ["STALE", "dispatch", "event_market", "listen", "recompute", "run", "windowed"]
+__all__ = ["STALE", "dispatch", "event_market", "listen", "recompute", "run", "store_trades", "trade_tables", "windowed"]

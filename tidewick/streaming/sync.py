@@ -8,14 +8,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..sinks.tables import upsert_markets, write_partitions
-from .listener import dispatch, recompute
+from ..sinks.tables import upsert_markets
+from ..sinks.versions import Commit, Table, Tables
+from ..sources.shared import stored
+from .listener import dispatch, store_trades, trade_tables
+
+#: Markets that could not be read or converted, by what was to be done.
+FAILURES = StructType([StructField(n, StringType()) for n in ("market_id", "process", "error")])
 
 
 @dataclass(frozen=True)
 class Feed:
-    """Where stale tables are read from."""
+    """Where stale tables are read from.
+
+    What reads trades or orders may have a column ``error``: a row with one says that its market could not be read whole.
+    """
 
     #: All markets.
     markets: Callable[[], DataFrame]
@@ -25,34 +34,18 @@ class Feed:
     orders: Callable[[DataFrame], DataFrame]
 
 
-class Store:
-    """A folder with the tables; all but the markets are partitioned by market, trades and candles by day, too."""
-
-    def __init__(self, folder: str, feed: Feed):
-        self.folder = folder
-        markets = feed.markets()
-        trades = feed.trades(markets.select("market_id", F.lit(None).cast("timestamp").alias("since"))).withColumn("trade_date", F.to_date("executed_at"))
-        self.empty = {"markets": (markets.limit(0), []), "trades": (trades.limit(0), ["market_id", "trade_date"]), "orders": (feed.orders(markets.select("market_id")).limit(0), ["market_id"])}
-
-    def path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
-
-    def read(self, spark: SparkSession, name: str) -> DataFrame:
-        """A table; an empty one with partitions has no files to take its columns from."""
-        reader = spark.read.schema(self.empty[name][0].schema) if name in self.empty else spark.read
-        return reader.parquet(self.path(name))
+def tables_of(spark: SparkSession, folder: str, feed: Feed) -> Tables:
+    """The tables of the loop; all but markets and failures are partitioned by market, trades and candles by day, too."""
+    plain = lambda rows: StructType([f for f in rows.schema.fields if f.name != "error"])
+    markets = feed.markets()
+    trades = feed.trades(markets.select("market_id", F.lit(None).cast("timestamp").alias("since")))
+    orders = feed.orders(markets.select("market_id"))
+    return Tables(spark, folder, {"markets": Table(markets.schema), **trade_tables(plain(trades)), "orders": Table(plain(orders), ("market_id",)), "failures": Table(FAILURES)})
 
-    def prepare(self) -> None:
-        """Empty tables where there are none yet."""
-        for name, (rows, by) in self.empty.items():
-            rows.write.mode("append").partitionBy(*by).parquet(self.path(name))
 
-
-def sync_markets(spark: SparkSession, feed: Feed, store: Store) -> None:
-    """New markets are added, known ones get the time of their sync; the table is written elsewhere before it is replaced."""
-    staged = store.path("markets_staged")
-    upsert_markets(store.read(spark, "markets"), feed.markets()).write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(store.path("markets"))
+def sync_markets(commit: Commit, feed: Feed) -> None:
+    """New markets are added, known ones get the time of their sync."""
+    commit.replace("markets", upsert_markets(commit.read("markets"), feed.markets()))
 
 
 def resume(trades: DataFrame, markets: DataFrame) -> DataFrame:
@@ -61,38 +54,75 @@ def resume(trades: DataFrame, markets: DataFrame) -> DataFrame:
     return markets.join(last, "market_id", "left")
 
 
-def handler(spark: SparkSession, feed: Feed, store: Store) -> Callable[[DataFrame, int], None]:
+def without_failed(rows: DataFrame, process: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of markets that were read whole, and the failures of the others, one for each."""
+    if "error" not in rows.columns:
+        return rows, rows.sparkSession.createDataFrame([], FAILURES)
+    failed = rows.where("error is not null").groupBy("market_id").agg(F.min("error").alias("error")).select("market_id", F.lit(process).alias("process"), "error")
+    return rows.join(failed, "market_id", "left_anti").drop("error"), failed
+
+
+def refresh(commit: Commit, feed: Feed, pairs: DataFrame) -> None:
+    """Read and store the trades, candles and books that pairs (market_id, process) name.
+
+    A market that fails keeps what is stored of it and doesn't stop the others; it is listed among the failures until it
+    is read again.
+    """
+    asked = lambda process: pairs.where(F.col("process") == process).select("market_id").distinct()
+    failures = []
+    traded = asked("history")
+    if not traded.isEmpty():
+        # The feed's answer is stored once: what is written and what candles are made of has to be the same.
+        found, failed = without_failed(stored(feed.trades(resume(commit.read("trades"), traded)), "fetched-trades"), "history")
+        failures.append(failed)
+        if not found.isEmpty():
+            store_trades(commit, found)
+    ordered = asked("orders")
+    if not ordered.isEmpty():
+        found, failed = without_failed(stored(feed.orders(ordered), "fetched-orders"), "orders")
+        failures.append(failed)
+        commit.replace("orders", found)
+    if failures:
+        others = commit.read("failures").join(pairs.select("market_id", "process"), ["market_id", "process"], "left_anti")
+        for failed in failures:
+            others = others.unionByName(failed)
+        commit.replace("failures", others)
+
+
+def initial_sync(tables: Tables, feed: Feed) -> int:
+    """Read all markets from their last stored second on, also those that no event names; one commit."""
+    commit = tables.begin()
+    sync_markets(commit, feed)
+    every = commit.read("markets").select("market_id", F.explode(F.array(F.lit("history"), F.lit("orders"))).alias("process"))
+    refresh(commit, feed, every)
+    return commit.publish()
+
+
+def handler(feed: Feed, tables: Tables, writer: str = "events") -> Callable[[DataFrame, int], None]:
     """Handler of a micro-batch of events.
 
     Markets come first, so that the events of a market that a batch creates find it; then the trades and candles of
-    markets with executed orders, then the books of all markets that orders concern. Each table is written in one job
-    for all its stale markets. A batch that runs again reads and writes the same rows again.
+    markets with executed orders, then the books of all markets that orders concern. What failed before is tried again.
+    All becomes visible in one commit that also says which batch it was, so a batch that runs again changes nothing.
     """
-    store_trades = recompute(spark, store.path("trades"), store.path("candles"))
-
-    def stale(pairs: DataFrame, process: str) -> DataFrame:
-        return pairs.where(F.col("process") == process).select("market_id")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if tables.state().batches.get(writer, -1) >= batch_id:
+            return
+        commit = tables.begin()
         listed = F.element_at(F.split("type", r"\."), -1) == "MarketCreatedEvent"
         if not batch.where(listed).isEmpty():
-            sync_markets(spark, feed, store)
-        dispatch(batch, store.read(spark, "markets")).write.mode("overwrite").parquet(store.path("stale"))
-        pairs = store.read(spark, "stale")
-        traded = stale(pairs, "history")
-        if not traded.isEmpty():
-            # The feed's answer is stored once: what is written and what candles are made of has to be the same.
-            feed.trades(resume(store.read(spark, "trades"), traded)).write.mode("overwrite").parquet(store.path("fetched"))
-            store_trades(store.read(spark, "fetched"), batch_id)
-        ordered = stale(pairs, "orders")
-        if not ordered.isEmpty():
-            write_partitions(feed.orders(ordered), store.path("orders"), ["market_id"])
+            sync_markets(commit, feed)
+        again = commit.read("failures").select("market_id", "process")
+        pairs = stored(dispatch(batch, commit.read("markets")).unionByName(again).distinct(), "stale")
+        refresh(commit, feed, pairs)
+        commit.publish(**{writer: batch_id})
 
     return handle
 
 
-def run(events: DataFrame, feed: Feed, store: Store, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
-    """Start the loop on a stream of events: a backfill of all that is there, or continuously."""
-    store.prepare()
-    writer = events.writeStream.foreachBatch(handler(events.sparkSession, feed, store)).option("checkpointLocation", checkpoint)
+def run(events: DataFrame, feed: Feed, tables: Tables, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+    """Sync all markets, then start the loop on a stream of events: a backfill of all that is there, or continuously."""
+    initial_sync(tables, feed)
+    writer = events.writeStream.foreachBatch(handler(feed, tables)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
