@@ -1,72 +1,217 @@
+"""Paged lists of trades, from a local server to stored candles."""
+
 import json
 import threading
+from decimal import Decimal
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidewick.sources.pages import PagedJson, PageStream
+from tidewick.operators import assets
+from tidewick.operators import candles as ohlc
+from tidewick.sources.pages import PLACES, PagedJson, PageStream, Walk
+from tidewick.streaming import history
 
-TRADES = {"a/b": list(range(50, 0, -1)), "c/d": [7, 7, 3], "e/f": []}
+T0 = 1_704_067_200
 
 
-def page(market, limit, key):
-    at = int(key or 0)
-    rows = [{"executed_at": t, "price": "1"} for t in TRADES[market][at : at + limit]]
-    return {"list": rows, "next_key": str(at + limit) if at + limit < len(TRADES[market]) else ""}
+def trade(at, n):
+    return {"executed_at": str(at), "price": f"{n % 7 + 1}.{n % 10}", "amount": str(1000 * n), "order_type": "buy" if n % 2 else "sell", "maker": "m", "taker": f"t{n}"}
+
 
+def history_of(n, step):
+    """Newest first; several trades a second."""
+    return [trade(T0 + (k // 3) * step, k + 1) for k in range(n)][::-1]
 
-def test_the_driver_reads_one_page_of_a_market():
+
+@pytest.fixture
+def lists():
+    return {"ua/ub": history_of(50, 40), "ua/factory/x/uc": history_of(7, 3000), "ub/uz": history_of(4, 9), "uc/ua": []}
+
+
+def page(lists, market, limit, key):
+    at = int(key or 0)
+    rows = lists[market]
+    return {"list": rows[at : at + limit], "next_key": str(at + limit) if at + limit < len(rows) else ""}
+
+
+def told(rows):
+    return sorted((r[0], r[1], r[7], r[6]) for r in rows)
+
+
+def everything(lists):
+    out = []
+    for market, rows in lists.items():
+        seconds = {}
+        for r in reversed(rows):
+            at = int(r["executed_at"])
+            seconds[at] = seconds.get(at, -1) + 1
+            out.append((market, at * PLACES + seconds[at], at, r["taker"]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [1, 2, 4, 100])
+@pytest.mark.parametrize("pages", [1, 2, 5])
+def test_walks_stop_between_seconds_and_go_on(lists, limit, pages):
+    get = lambda url, market, n, key: page(lists, market, n, key)
+    for market in lists:
+        found, key, until, walks = [], "", None, 0
+        while True:
+            walk = Walk({"url": "u", "limit": str(limit)}, market, 0, until, key, get)
+            got = list(walk.trades(pages))
+            assert got or not walk.left
+            found += got
+            walks += 1
+            if walks == 2:
+                lists[market].insert(0, trade(T0 + 10**6, 900))  # offsets of pages move; nothing is lost or read twice
+            if not walk.left:
+                break
+            key, until = walk.left
+        assert told(found) == [x for x in everything(lists) if x[0] == market and x[2] < T0 + 10**6]
+
+
+def run_steps(stream, lists, start, most=100):
+    """Steps until nothing is new, each as (rows, offset)."""
+    for _ in range(most):
+        end = stream.latestOffset()
+        if end == start:
+            return
+        yield [r for p in stream.partitions(start, end) for r in stream.read(p)], end
+        start = end
+
+
+def test_a_step_reads_a_few_pages_and_restarts_go_on(lists, tmp_path):
     asked = []
 
     def get(url, market, limit, key):
         asked.append(market)
-        return page(market, limit, key)
+        return page(lists, market, limit, key)
+
+    options = {"url": "u", "markets": ",".join(lists), "limit": "4", "pages": "2", "state": str(tmp_path / "state")}
+    found, end = [], {"step": 0}
+    for rows, after in run_steps(PageStream(options, get), lists, end, 3):
+        assert sum(r[0] == "ua/ub" for r in rows) <= 8
+        found += rows
+        end = after
+    # Planned, but lost before its batch ran: the plan stays, and a new reader gives the same step.
+    lost = PageStream(options, get).latestOffset()
+    assert PageStream(options, get).latestOffset() == lost != end
+    again = PageStream(options, get)
+    first = [r for p in again.partitions(end, lost) for r in again.read(p)]
+    assert told(first) == told([r for p in again.partitions(end, lost) for r in again.read(p)])
+    found += first
+    for rows, after in run_steps(again, lists, lost):
+        found += rows
+        again.commit(after)
+        end = after
+    assert told(set(found)) == everything(lists) and len(again.notes.names()) == 2
+    # A trade of the newest second that comes later is seen, and its second is read again.
+    lists["ua/ub"].insert(0, {**lists["ua/ub"][0], "taker": "late"})
+    ((rows, end),) = run_steps(again, lists, end)
+    assert {r[6] for r in rows} == {"late", "t49", "t50"} and set(told(found + rows)) == set(everything(lists))
+    assert again.latestOffset() == end
+
+
+def test_a_market_that_fails_is_read_later(lists, tmp_path):
+    broken = ["ua/ub"]
+
+    def get(url, market, limit, key):
+        if market in broken and key:
+            raise OSError("gone")
+        return page(lists, market, limit, key)
 
-    stream = PageStream({"url": "u", "markets": ",".join(TRADES), "limit": "4"}, get)
-    end = stream.latestOffset()
-    assert end == {"a/b": 50, "c/d": 7, "e/f": 0} and sorted(asked) == sorted(TRADES)
-    spans = stream.partitions(stream.initialOffset(), {**end, "a/b": 20})
-    assert len(asked) == 3
-    assert [[r[-1] for r in stream.read(s)] for s in spans] == [list(range(20, 0, -1)), [7, 7, 3], []]
-    (again, *_) = stream.partitions({**end, "a/b": 20}, end)
-    assert [r[-1] for r in stream.read(again)] == list(range(50, 19, -1))
+    stream = PageStream({"url": "u", "markets": ",".join(lists), "limit": "9", "state": str(tmp_path), "retry_seconds": "0"}, get)
+    ((rows, end),) = run_steps(stream, lists, {"step": 0}, 1)
+    assert [(r[0], r[8]) for r in rows if r[8]] == [("ua/ub", "OSError: gone")]
+    assert {r[0] for r in rows if not r[8]} >= {"ub/uz", "ua/factory/x/uc"}
+    broken.clear()
+    found = rows + [r for more, _ in run_steps(stream, lists, end) for r in more]
+    assert told({r for r in found if not r[8]}) == everything(lists)
 
 
 @pytest.fixture
-def url():
+def server(lists):
+    broken, served = set(), []
+
     class Pages(BaseHTTPRequestHandler):
         def do_GET(self):
-            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
-            body = json.dumps(page(q["market"], int(q["limit"]), q.get("key", ""))).encode()
-            self.send_response(200)
+            asked = urlparse(self.path)
+            q = {k: v[0] for k, v in parse_qs(asked.query).items()}
+            served.append(q)
+            body = list(lists) if asked.path == "/markets" else page(lists, q["market"], int(q["limit"]), q.get("key", ""))
+            self.send_response(500 if q.get("market") in broken else 200)
             self.end_headers()
-            self.wfile.write(body)
+            self.wfile.write(json.dumps(body).encode())
 
         def log_message(self, *args):
             pass
 
-    server = HTTPServer(("127.0.0.1", 0), Pages)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    yield f"http://127.0.0.1:{server.server_port}"
-    server.shutdown()
+    made = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=made.serve_forever, daemon=True).start()
+    made.url, made.broken, made.served = f"http://127.0.0.1:{made.server_port}", broken, served
+    yield made
+    made.shutdown()
 
 
-def test_stream_lands_all_trades(spark, tmp_path, url):
+def test_batch_reader_follows_pages_down_to_a_second(spark, server, lists):
     spark.dataSource.register(PagedJson)
-    rows = spark.readStream.format("paged_json").option("url", url).option("markets", "a/b,c/d,e/f").option("limit", "4").load()
-    out = str(tmp_path / "out")
-    query = rows.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).start(out)
-    query.processAllAvailable()
-    query.stop()
-    found = sorted((r.market_id, r.executed_at) for r in spark.read.parquet(out).collect())
-    assert found == sorted((m, t) for m, times in TRADES.items() for t in times)
+    reader = spark.read.format("paged_json").option("url", server.url).option("markets_url", server.url + "/markets").option("limit", "4")
+    assert told(tuple(r) for r in reader.load().collect()) == everything(lists)
+    since = reader.option("since", str(T0 + 80)).load()
+    assert since.rdd.getNumPartitions() == 4
+    assert told(tuple(r) for r in since.collect()) == [x for x in everything(lists) if x[2] >= T0 + 80]
+
 
+UNITS = [("ua", "a", 6), ("ub", "b", 6), ("factory/x/uc", "c", 3), ("uc", "c", 3)]
 
-def test_batch_reader_follows_pages_down_to_a_second(spark, url):
+
+def test_from_pages_to_candles(spark, server, lists, tmp_path):
+    """Killed between pages and resumed, with a market that fails at first: the same as all at once."""
     spark.dataSource.register(PagedJson)
-    reader = spark.read.format("paged_json").option("url", url).option("markets", "a/b,c/d,e/f").option("limit", "4")
-    found = reader.option("since", "7").load()
-    assert found.rdd.getNumPartitions() == 3
-    got = sorted((r.market_id, r.executed_at) for r in found.collect())
-    assert got == sorted([("a/b", t) for t in range(7, 51)] + [("c/d", 7)] * 2)
+    markets = lambda: spark.createDataFrame([(m, *m.split("/", 1)) for m in lists], "market_id string, base string, quote string")
+    units = lambda: spark.createDataFrame(UNITS, "denom string, display string, exponent int")
+    tables = history.history_tables(spark, str(tmp_path / "store"))
+    options = {"url": server.url, "markets_url": server.url + "/markets", "limit": "5", "pages": "1", "state": str(tmp_path / "state"), "retry_seconds": "1"}
+
+    def start():
+        return history.run(spark.readStream.format("paged_json").options(**options).load(), tables, markets, units, str(tmp_path / "checkpoint"))
+
+    server.broken.add("ua/factory/x/uc")
+    query = start()
+    while not query.lastProgress or query.lastProgress["batchId"] < 1:
+        assert query.isActive, query.exception()
+    query.stop()
+    some = tables.read("trades").count()
+    assert 0 < some < 50 and {tuple(r)[::2] for r in tables.read("failures").collect()} >= {("ub/uz", history.NO_UNIT)}
+    server.broken.clear()
+    query = start()
+    for _ in range(300):
+        if tables.read("trades").count() == 57:
+            break
+        query.awaitTermination(0.5)
+    query.processAllAvailable()
+    query.stop()
+    raw = spark.createDataFrame(
+        [(m, i, *m.split("/", 1), "x", Decimal(next(r for r in lists[m] if r["taker"] == t)["price"]), Decimal(next(r for r in lists[m] if r["taker"] == t)["amount"]), "m", t, at) for m, i, at, t in everything(lists) if m != "ub/uz"],
+        "market string, id long, base string, quote string, order_type string, price decimal(18,6), amount decimal(19,0), maker string, taker string, executed_at long",
+    )
+    want = assets.convert_trades(raw, units())
+    columns = ["id", "market_id", "executed_at", "taker", *[F.col(c).cast("decimal(38,18)").alias(c) for c in ("price", "amount", "i_quote_amount")]]
+    flat = lambda df: sorted(map(str, df.collect()))
+    assert flat(tables.read("trades").select(*columns)) == flat(want.select(*columns))
+    money = [F.col(c).cast("double").alias(c) for c in ohlc.OUT if c.endswith(("price", "volume"))]
+    assert flat(tables.read("candles").select("market_id", "length", "start_at", *money)) == flat(ohlc.candles(want).select("market_id", "length", "start_at", *money))
+    assert {tuple(r) for r in tables.read("failures").collect()} == {("ub/uz", "history", history.NO_UNIT)}
+
+
+def test_wide_prices_keep_all_digits(spark):
+    cases = [("123456789012.000000000000000123", "99999999999999", 6), ("0.000000000123", "123456789", 6), ("-1.5", "3", 0), ("0.999999999999999999", "9223372036854775807", 18)]
+    df = spark.createDataFrame([(Decimal(p), Decimal(a), e) for p, a, e in cases], "price decimal(36,18), amount decimal(19,0), e int")
+    found = [r.x for r in df.select(assets.quote_amount(F.col("amount"), F.col("price"), F.col("e"), wide=True).alias("x")).collect()]
+    from decimal import localcontext
+
+    with localcontext(prec=80):
+        want = [Decimal(int(abs(Decimal(p) * Decimal(a)))).scaleb(-e) * (-1 if Decimal(p) < 0 else 1) for p, a, e in cases]
+    assert found == want

@@ -53,17 +53,31 @@ def decimal_kind(rows: DataFrame, name: str) -> DecimalType | None:
     return kind if isinstance(kind, DecimalType) else None
 
 
-def quote_amount(amount: Column, price: Column, exponent: Column) -> Column:
+def quote_amount(amount: Column, price: Column, exponent: Column, *, wide: bool = False) -> Column:
     """Quote amount in whole units, cut (not rounded) to the digits of the quote asset, from chain units.
 
     The exponent of the base cancels out: chain amount * chain price is the amount in chain units of the quote, and its
-    fraction is what is cut. Pass decimals whose precisions sum to 37 at most, so that the product keeps all digits.
+    fraction is what is cut. Pass decimals whose precisions sum to 37 at most, so that the product keeps all digits, or
+    ``wide``: then the whole and the fraction of a price of up to 18 digits each are multiplied apart by a whole amount.
     """
-    product = amount * price
-    cut = unshifted(F.floor(F.abs(product)).cast("decimal(38,0)"), F.coalesce(exponent, F.lit(DEFAULT_DIGITS)))
+    if wide:
+        units, left = F.abs(price).cast("decimal(36,18)"), F.abs(amount).cast("decimal(19,0)")
+        ones = F.floor(units).cast("decimal(18,0)")
+        whole = left * ones + F.floor(left * (units - ones.cast("decimal(36,18)")).cast("decimal(18,18)"))
+        product = F.signum(amount) * F.signum(price)
+    else:
+        product = amount * price
+        whole = F.floor(F.abs(product))
+    cut = unshifted(whole.cast("decimal(38,0)"), F.coalesce(exponent, F.lit(DEFAULT_DIGITS)))
     return F.when(product < 0, -cut).otherwise(cut)
 
 
+def is_wide(rows: DataFrame) -> bool:
+    """Whether a product of price and amount might lose digits."""
+    kinds = [decimal_kind(rows, c) for c in ("price", "amount")]
+    return None not in kinds and sum(k.precision for k in kinds) > 37 + 2 and kinds[0].scale > 4
+
+
 def convert_trades(raw: DataFrame, units: DataFrame, *, compat: bool = False, strict: bool = True) -> DataFrame:
     """Raw trades (id, base, quote, order_type, price, amount, maker, taker, executed_at in seconds) as history rows.
 
@@ -74,7 +88,7 @@ def convert_trades(raw: DataFrame, units: DataFrame, *, compat: bool = False, st
     rows = with_exponents(raw, units)
     rows = only_known(rows) if strict else rows
     priced = rows.withColumns({"shown_price": display_price(F.col("price"), e("base"), e("quote"), compat, decimal_kind(raw, "price")), "shown_amount": display_amount(F.col("amount"), e("base"), decimal_kind(raw, "amount"))})
-    quote = quote_amount(F.col("amount"), F.col("price"), F.col("quote_exponent"))
+    quote = quote_amount(F.col("amount"), F.col("price"), F.col("quote_exponent"), wide=is_wide(raw))
     if compat:
         quote = F.when(F.col("shown_price") == 0, F.lit(0).cast("decimal(38,18)")).otherwise(quote)
     return priced.select(
@@ -92,7 +106,7 @@ def convert_orders(raw: DataFrame, units: DataFrame, as_of: str, *, compat: bool
     rows = only_known(rows) if strict else rows
     shown_price = display_price(F.col("price"), F.col("base_exponent"), F.col("quote_exponent"), compat, decimal_kind(raw, "price"))
     amount = display_amount(F.col("amount"), F.col("base_exponent"), decimal_kind(raw, "amount"))
-    known = rows.withColumn("i_quote_amount", quote_amount(F.col("amount"), F.col("price"), F.col("quote_exponent"))).withColumns({"price": shown_price, "amount": amount})
+    known = rows.withColumn("i_quote_amount", quote_amount(F.col("amount"), F.col("price"), F.col("quote_exponent"), wide=is_wide(raw))).withColumns({"price": shown_price, "amount": amount})
     return known.select(
         "id", market_id(F.col("base"), F.col("quote")).alias("market_id"), "order_type", "amount", "price", F.col("price").cast("double").alias("price_dec"),
         F.when(F.col("price") == 0, F.lit(0).cast("decimal(38,18)")).otherwise(F.col("i_quote_amount")).alias("i_quote_amount"), F.lit(as_of).cast("timestamp").alias("i_created_at"),

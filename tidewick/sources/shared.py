@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +27,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewick/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def arrow_files(url: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a folder's URL or path, and the path in it."""
+    scheme, colon, rest = url.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        return fs.LocalFileSystem(), os.path.normpath("/" + rest.lstrip("/")) if scheme == "file" else url
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", url))
+
+
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """``rows``, written to the shared folder and read back: later steps and lost executors start from the files."""
     spark, path = rows.sparkSession, shared_path(rows.sparkSession, name)
