@@ -13,6 +13,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import cut, fresh
 
@@ -230,7 +231,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float
     """
     keep = docs.drop("strength", "hits", "score", "predicted")
     held = fresh(keep, "tox_rest")
-    packed = docs.select(F.struct(*[F.col(c) for c in keep.columns]).alias(held), F.col(text).alias("tox_text"))
-    kind = packed.schema[held].dataType.simpleString()
-    scored = packed.mapInArrow(scorer(model), f"{held} {kind}, strength double, hits long, score double")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep.columns]).alias(held), F.col(text).alias("tox_text"))
+    kind = StructType([packed.schema[held], StructField("strength", DoubleType()), StructField("hits", LongType()), StructField("score", DoubleType())])
+    scored = packed.mapInArrow(scorer(model), kind)
     return scored.select(f"{held}.*", "strength", "hits", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -36,7 +36,9 @@ DATE = "2024-01-01T00:00:00Z"
 STEP = 1 << 14
 
 #: A new archive starts after so many compressed bytes; a dictionary is trained on so many bytes of an archive's first payloads.
-ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 4 << 20, 1 << 20, 32 << 10
+ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 256 << 20, 1 << 20, 32 << 10
+#: Algorithms of digests that are checked, with their bytes.
+ALGORITHMS = {"sha1": 20, "sha256": 32, "md5": 16}
 
 RECORD_FIELDS = "archive string, position long, record_type string, record_id string, target_uri string, page_id long, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
@@ -49,6 +51,30 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def stated(header: str) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of a digest header, ``algorithm:value`` in hexadecimal or base32, or None if its form isn't known.
+
+    A value without an algorithm is SHA-1, as some writers leave it out.
+    """
+    name, colon, value = header.partition(":")
+    algorithm, text = (name.lower().replace("-", ""), value.strip()) if colon else ("sha1", header)
+    size, bare = ALGORITHMS.get(algorithm, 0), text.rstrip("=")
+    try:
+        if size and len(bare) == 2 * size:
+            return algorithm, bytes.fromhex(bare)
+        if size and len(bare) == -(-8 * size // 5):
+            return algorithm, base64.b32decode(bare.upper() + "=" * (-len(bare) % 8))
+    except ValueError:
+        pass
+    return None
+
+
+def agrees(header: str, body: bytes) -> bool:
+    """Whether a body has the digest that a header states; forms that aren't known are passed on unchecked."""
+    known = stated(header)
+    return known is None or hashlib.new(known[0], body).digest() == known[1]
+
+
 def record_urn(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
@@ -112,13 +138,13 @@ def open_source(url: str) -> pa.NativeFile:
 def writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Write each partition's records to archives of bounded size and return one manifest row for each archive.
 
-    Names start with a token of the task's attempt, and the manifest has the tokens of those that count: what an
+    Names start with a token of the task's attempt, and the manifest names the archives of those that count: what an
     attempt that is lost or repeated has left is never read as records.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = uuid.uuid4().hex
-        done: list[tuple[str, str, int, int]] = []
+        done: list[tuple[str, int, int]] = []
         held: list[bytes] = []
         held_bytes = 0
         sink, packer, name, size, count = None, None, "", 0, 0
@@ -149,7 +175,7 @@ def writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 start()
             if sink is not None:
                 sink.close()
-                done.append((name, token, count, size))
+                done.append((name, count, size))
                 sink = None
 
         for batch in batches:
@@ -165,7 +191,7 @@ def writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 if sink is not None and size >= ARCHIVE_BYTES:
                     finish()
         finish()
-        schema = pa.schema([("archive", pa.string()), ("token", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+        schema = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in done], schema=schema)
 
     return run
@@ -190,7 +216,7 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
     Other columns are not read. An empty table gives no archives.
     """
     rows = with_responses(pages, page_id=page_id, url=url, html=html, min_bytes=min_bytes)
-    return rows.mapInArrow(writer(folder), "archive string, token string, records long, bytes long")
+    return rows.mapInArrow(writer(folder), "archive string, records long, bytes long")
 
 
 class Source:
@@ -263,14 +289,17 @@ def parse(record: bytes, where: str) -> dict:
     if not length.isdigit() or len(rest) != int(length) + 4 or rest[-4:] != b"\r\n\r\n":
         raise BadArchive(f"{where}: the length of the block isn't {length}")
     block = rest[:-4]
-    if (said := named.get("warc-block-digest", "")).startswith("sha1:") and said[5:] != digest(block):
+    if (said := named.get("warc-block-digest", "")) and not agrees(said, block):
         raise BadArchive(f"{where}: the block doesn't match its digest")
     http = named.get("content-type", "").startswith("application/http")
     payload = block.partition(b"\r\n\r\n")[2] if http else block
-    said = named.get("warc-payload-digest", "").removeprefix("sha1:")
+    said = named.get("warc-payload-digest", "")
     full = named["warc-type"] != "revisit"
-    if full and said and said != digest(payload):
+    if full and said and not agrees(said, payload):
         raise BadArchive(f"{where}: the payload doesn't match its digest")
+    known = stated(said) if said else None
+    # SHA-1 in base32 where it is known: of a full payload always, of a revisit if that is what it states.
+    shown = digest(payload) if full or not said else base64.b32encode(known[1]).decode() if known and known[0] == "sha1" else said
     number = lambda key: int(named[key]) if key in named else None
     return {
         "record_type": named["warc-type"],
@@ -278,7 +307,7 @@ def parse(record: bytes, where: str) -> dict:
         "target_uri": named.get("warc-target-uri"),
         "page_id": number("x-page-id"),
         "refers_to": number("x-refers-to-page-id"),
-        "payload_digest": said or digest(payload),
+        "payload_digest": shown,
         "payload_bytes": len(payload) if full else number("x-payload-length"),
         "payload": payload if full else None,
     }
@@ -301,19 +330,25 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def read_archives(spark: SparkSession, *paths: str, manifest: DataFrame | None = None) -> DataFrame:
+def read_archives(spark: SparkSession, *paths: str) -> DataFrame:
     """One row for each record of ``.warc.zst`` archives, which Spark lists and tasks read; a broken archive raises.
 
     A task opens an archive where it lies, on a file system that Arrow knows, and reads it frame by frame, so archives
-    may have any size; a record has to fit in memory. With a ``manifest`` only its archives are read; what is broadcast of it is one token for each task that wrote.
+    may have any size; a record has to fit in memory. What :func:`write_archives` wrote is read by its manifest with
+    :func:`read_written`: nothing is listed then, and its rows name the archives of the attempts that count.
+
+    Digests are checked by what they state: SHA-1, SHA-256 or MD5, in hexadecimal or base32; others are passed on. The
+    column ``payload_digest`` is the SHA-1 in base32, but of a revisit that states another digest that one.
     """
     files = spark.read.format("binaryFile").load(list(paths)).select("path")
-    if manifest is not None:
-        tokens = manifest.select("token").distinct()
-        files = files.join(F.broadcast(tokens), F.regexp_extract("path", r"([0-9a-f]{32})-[0-9]+\.warc\.zst$", 1) == F.col("token"), "left_semi")
     return files.mapInArrow(_records, RECORD_FIELDS)
 
 
+def read_written(manifest: DataFrame) -> DataFrame:
+    """The records of the archives of a stored ``manifest``, dealt out archive by archive."""
+    return manifest.select(F.col("archive").alias("path")).repartition(max(1, manifest.count())).mapInArrow(_records, RECORD_FIELDS)
+
+
 def unresolved_revisits(records: DataFrame) -> DataFrame:
     """The revisits of some records that no response with the page they refer to and their payload's digest answers."""
     responses = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
@@ -323,8 +358,4 @@ def unresolved_revisits(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archive ``pages`` in the shared folder and read the records back; no pages, no records."""
     spark = pages.sparkSession
-    folder = new_path(spark, "warc")
-    manifest = cut(write_archives(pages, folder), "warc-manifest")
-    if manifest.isEmpty():
-        return spark.createDataFrame([], RECORD_FIELDS)
-    return read_archives(spark, folder, manifest=manifest)
+    return read_written(cut(write_archives(pages, new_path(spark, "warc")), "warc-manifest"))
