@@ -259,5 +259,34 @@ def test_charts_read_the_days_they_need(spark, data, tmp_path):
     assert rows_of(gapfill.from_table(spark, path, markets, "2024-01-20 12:00:00", 60, 30)) == rows_of(chart)
 
 
+def test_ranks_of_groups_over_many_partitions(spark):
+    """One group has most rows, ties are broken by id, and null groups are groups."""
+    from tidewick.operators.ranks import ranked
+
+    groups = [None, "a", "b", "c"]
+    rows = [(groups[0 if k % 50 == 0 else 1 + (k % 10 == 0) + (k % 25 == 0)], k * 7 % 40, k) for k in range(2000)]
+    found = ranked(spark.createDataFrame(rows, "g string, v int, id int"), ["g"], [-F.col("v"), F.col("id")])
+    want = []
+    for g in groups:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        want += [(*r, k + 1, len(mine)) for k, r in enumerate(mine)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all("rank_part" in line or "sum(n" in line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_joined_errors_are_bounded(spark):
+    rows = spark.range(500).select(F.format_string("a%03d", F.col("id")).alias("address"), F.lit("u").alias("denom"), F.lit(False).alias("is_healthy"), F.col("id").cast("string").alias("error"))
+    first = health.joined_errors(rows.select("address", "error"), ["address"], ",", 3).first()
+    assert (first.n_errors, first.errors) == (500, "0,1,2")
+    plan = health.joined_errors(rows.select("address", "error"), ["address"], ",", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=3" in plan
+    assert health.balance_health(rows).first().errors.startswith("[a000]: [0]; [a001]: [1]; ")
+    with pytest.raises(Exception, match="500 errors are too many"):
+        health.balance_health(rows, 499).collect()
+    none = health.balance_health(rows.where("is_healthy")).first()
+    assert none.is_healthy and none.errors == ""
+
+
 def rows_of(df):
     return sorted(map(str, df.select(*sorted(df.columns)).collect()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import at
 from ..functions.money import shown
+from .ranks import ranked
 from .requests import BookRequest, allowed_format
 
 BUY, SELL = "buy", "sell"
@@ -21,15 +22,20 @@ def best_prices(orders: DataFrame) -> DataFrame:
 def levels(orders: DataFrame, depth: int = 0) -> DataFrame:
     """Price levels with their position, half of ``depth`` on each side; a depth of 0 or 1 has no limit.
 
+    Without a limit a side may have any size: it is ranked over as many tasks as it needs.
+
     Sells ascend from the best. Buys ascend too, so that the best of those chosen comes last.
     """
     limit = depth // 2
     best = F.when(F.col("order_type") == BUY, -F.col("price")).otherwise(F.col("price"))
-    side = Window.partitionBy("market_id", "order_type")
-    rows = orders.withColumn("place", F.row_number().over(side.orderBy(best, "id")))
+    sides = ["market_id", "order_type"]
     if limit > 0:
-        rows = rows.where(F.col("place") <= limit)
-    position = F.when(F.col("order_type") == BUY, F.count("*").over(side) - F.col("place") + 1).otherwise(F.col("place").cast("long"))
+        # No more than the limit is kept of a side before its rows meet.
+        rows = orders.withColumn("place", F.row_number().over(Window.partitionBy(*sides).orderBy(best, "id"))).where(F.col("place") <= limit)
+        rows = rows.withColumn("total", F.count("*").over(Window.partitionBy(*sides)))
+    else:
+        rows = ranked(orders, sides, [best, F.col("id")])
+    position = F.when(F.col("order_type") == BUY, F.col("total") - F.col("place") + 1).otherwise(F.col("place").cast("long"))
     return rows.select("market_id", "order_type", position.alias("position"), "price", "amount")
 
 

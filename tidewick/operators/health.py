@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.buckets import at, minutes_before
 from .requests import health_minutes
 
+#: Errors that are joined to one text at most; what reports more lists them as rows.
+MAX_ERRORS = 1_000_000
 #: Heights by which a node may be behind another.
 ALLOWED_LAG = 2
 
@@ -29,6 +31,21 @@ def aggregator_health(trades: DataFrame, as_of: str, minutes: int) -> DataFrame:
     return found.select(F.coalesce(F.col("newest") > begin, F.lit(False)).alias("is_healthy"), "last_sync")
 
 
+def joined_errors(errors: DataFrame, order: list[str], separator: str, most: int = MAX_ERRORS) -> DataFrame:
+    """One row (n_errors, errors): how many there are, and the texts (column ``error``) of the first ``most`` in order, joined.
+
+    Tasks keep their first ``most`` only, so what meets in one doesn't grow with the errors.
+    """
+    first = errors.orderBy(*order).limit(most).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "error"))), lambda e: e["error"]), separator).alias("errors"))
+    return errors.agg(F.count("*").alias("n_errors")).crossJoin(first)
+
+
+def whole(errors: DataFrame, most: int) -> DataFrame:
+    """A joined text, or an error if it isn't whole."""
+    many = F.raise_error(F.concat(F.col("n_errors").cast("string"), F.lit(f" errors are too many for one text, which takes {most}; list them as rows"))).cast("boolean")
+    return errors.where(F.when(F.col("n_errors") > most, many).otherwise(True))
+
+
 def node_lags(nodes: DataFrame) -> DataFrame:
     """Nodes more than two blocks behind another: (behind, ahead, height_behind, height_ahead).
 
@@ -39,15 +56,23 @@ def node_lags(nodes: DataFrame) -> DataFrame:
     return a.join(b, (F.col("height_ahead") - F.col("height_behind") > ALLOWED_LAG) & (F.col("ahead") != F.col("behind")))
 
 
-def node_health(nodes: DataFrame) -> DataFrame:
-    """One row: healthy if nodes are configured and there is no error; errors in the order of the names."""
-    failed = nodes.where("height is null").select(F.concat(F.lit("failed to query: "), "name", F.lit(";")).alias("error"), F.lit(0).alias("kind"), "name", F.lit("").alias("other"))
+def node_errors(nodes: DataFrame) -> DataFrame:
+    """(kind, name, other, error): nodes that could not be queried (kind 0), and those that are behind others (kind 1)."""
+    failed = nodes.where("height is null").select(F.lit(0).alias("kind"), "name", F.lit("").alias("other"), F.concat(F.lit("failed to query: "), "name", F.lit(";")).alias("error"))
     late = node_lags(nodes).select(
-        F.concat("behind", F.lit(" is behind "), "ahead", F.lit(". Expected height "), F.col("height_ahead").cast("string"), F.lit(", found "), F.col("height_behind").cast("string")).alias("error"),
         F.lit(1).alias("kind"), F.col("ahead").alias("name"), F.col("behind").alias("other"),
+        F.concat("behind", F.lit(" is behind "), "ahead", F.lit(". Expected height "), F.col("height_ahead").cast("string"), F.lit(", found "), F.col("height_behind").cast("string")).alias("error"),
     )
-    errors = failed.unionByName(late).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("kind", "name", "other", "error"))), lambda e: e["error"]), "").alias("errors"))
-    return nodes.agg(F.count("*").alias("n")).crossJoin(errors).select(((F.col("n") > 0) & (F.col("errors") == "")).alias("is_healthy"), "errors")
+    return failed.unionByName(late)
+
+
+def node_health(nodes: DataFrame, most: int = MAX_ERRORS) -> DataFrame:
+    """One row: healthy if nodes are configured and there is no error; errors in the order of the names.
+
+    More than ``most`` errors are an error; :func:`node_errors` lists any number.
+    """
+    errors = whole(joined_errors(node_errors(nodes), ["kind", "name", "other"], "", most), most)
+    return nodes.agg(F.count("*").alias("n")).crossJoin(errors).select(((F.col("n") > 0) & (F.col("n_errors") == 0)).alias("is_healthy"), "errors")
 
 
 def endpoints(addresses: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -71,9 +96,12 @@ def check_balances(checks: DataFrame, balances: DataFrame, prefixes: DataFrame)
     return rows.select("address", "denom", (error == "").alias("is_healthy"), error.alias("error"))
 
 
-def balance_health(checked: DataFrame) -> DataFrame:
-    """One row: all healthy, and the errors joined in the order of the addresses."""
-    entry = F.when(~F.col("is_healthy"), F.struct("address", "denom", F.concat(F.lit("["), "address", F.lit("]: ["), "error", F.lit("]")).alias("text")))
-    return checked.agg(
-        F.coalesce(F.every("is_healthy"), F.lit(True)).alias("is_healthy"), F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["text"]), "; ").alias("errors")
-    )
+def balance_health(checked: DataFrame, most: int = MAX_ERRORS) -> DataFrame:
+    """One row: all healthy, and the errors joined in the order of the addresses.
+
+    More than ``most`` errors are an error; :func:`check_balances` lists any number, :func:`joined_errors` the first ones
+    and their number.
+    """
+    text = F.concat(F.lit("["), "address", F.lit("]: ["), "error", F.lit("]"))
+    errors = checked.where(~F.col("is_healthy")).select("address", "denom", text.alias("error"))
+    return whole(joined_errors(errors, ["address", "denom"], "; ", most), most).select((F.col("n_errors") == 0).alias("is_healthy"), "errors")
