@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import html
 from ..functions.buckets import LENGTHS, at, bucket_end, bucket_start, from_millis, minutes_before
 from ..functions.money import percent_change, round_percent
 from ..functions.text import first_image, shorten, strip_html
@@ -384,6 +385,12 @@ def strip_html_pages(spark, sf_dir):
 QUERIES["strip_html"] = QUERIES.pop("strip_html_pages")
 
 
+@query
+def visible_text(spark, sf_dir):
+    """The text of pages as browsers tell it from markup, with character references resolved."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html.visible_text(F.col("html")).alias("text"))
+
+
 @query
 def short_description(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", shorten(strip_html(F.col("html"))).alias("description"))

@@ -132,6 +132,15 @@ def _strip(column: str) -> str:
     return f"regexp_replace(regexp_replace({column}, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>|<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')"
 
 
+def _visible(column: str) -> str:
+    """Markup of the forms that pages have, also if the page's end cuts it, and the references that they have."""
+    bodies = f"regexp_replace({column}, '(?is)<(script|style)\\b[^>]*>.*?(</(script|style)\\s*>|\\z)|<!--.*?(-->|\\z)', '', 'g')"
+    text = f"regexp_replace({bodies}, '(?s)<[/!a-zA-Z][^>]*(>|\\z)', '', 'g')"
+    for found, shown in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"')):
+        text = f"replace({text}, '{found}', '{shown}')"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
 def _short(column: str) -> str:
     head = f"substr({column}, 1, list_max(list_filter(range(0, 151), lambda k: strlen(substr({column}, 1, k)) <= 150)))"
     return f"CASE WHEN strlen({column}) > 150 THEN {head} || '...' ELSE {column} END"
@@ -208,6 +217,7 @@ SELECT market_id, order_type, count(*) AS levels, min(price) AS lowest, max(pric
 SELECT id, market_id, order_type, shown AS price, amount::DOUBLE / pow(10.0, be) AS amount,
   CASE WHEN shown = 0 THEN 0.0 ELSE ((p4::HUGEINT * amount) // 10000)::DOUBLE / pow(10.0, qe) END AS i_quote_amount FROM s""",
     "strip_html": f"SELECT page_id, {_strip('html')} AS text FROM pages",
+    "visible_text": f"SELECT page_id, {_visible('html')} AS text FROM pages",
     "short_description": f"WITH s AS (SELECT page_id, {_strip('html')} AS t FROM pages) SELECT page_id, {_short('t')} AS description FROM s",
     "shorten_documents": f"SELECT doc_id, {_short('text')} AS short FROM documents",
     "img_extract": f"WITH {_ITEMS} SELECT position, {_IMAGE} AS picture_url FROM items",
