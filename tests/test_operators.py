@@ -195,8 +195,9 @@ def test_landed_documents(spark, tmp_path):
 
 def test_pages_follow_the_cursor():
     book_of = {"": {"list": [{"executed_at": "9", "price": "3"}, {"executed_at": "8", "price": "2"}], "next_key": "k"}, "k": {"list": [{"executed_at": 8, "price": "1"}, {"executed_at": 7, "price": "0"}]}}
-    found = list(pages.trades({"url": "-"}, "a/b", 8, lambda url, market, limit, key: book_of[key]))
-    assert [r[2] for r in found] == ["3", "2", "1"] and found[0][0] == "a/b"
+    found = list(pages.Walk({"url": "-"}, "a/b", 8, get=lambda url, market, limit, key: book_of[key]).trades())
+    assert [r[3] for r in found] == ["3", "1", "2"] and found[0][0] == "a/b"
+    assert [r[1] for r in found] == [9 * pages.PLACES, 8 * pages.PLACES, 8 * pages.PLACES + 1]
 
 
 def test_events_without_a_known_market_are_skipped(spark):
