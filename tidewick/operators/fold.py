@@ -95,6 +95,8 @@ def in_stretches(dust: DataFrame, stretch_rows: int) -> DataFrame:
     kept = stored(dust, "candle-dust")
     parts = max(1, -(-kept.count() // stretch_rows))
     order = [*KEYS, "moment"]
+    if parts == 1:
+        return kept.withColumn("part", F.lit(0))
     return stored(kept.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "candle-stretches")
 
 
