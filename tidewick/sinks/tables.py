@@ -6,6 +6,8 @@ of one table in one job; markers and watermarks are moved after it, never before
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,11 @@ def dirty_days(trades: DataFrame) -> DataFrame:
     return open_trades.groupBy("market_id").agg(F.date_trunc("day", F.min("executed_at")).alias("since"))
 
 
+def rebalanced(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` with those of a partition in few tasks, in more than one where a partition is large; adaptive execution decides."""
+    return rows.hint("rebalance", *by) if by else rows
+
+
 def write_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
-    """Overwrite just the partitions that ``rows`` has, each in as few files as its key allows."""
-    rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Overwrite just the partitions that ``rows`` has, each in as few files as its size allows."""
+    rebalanced(rows, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
