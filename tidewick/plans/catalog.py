@@ -19,7 +19,7 @@ from ..sinks import tables as sinks
 from ..sinks.versions import Tables
 from ..sources import derived, tables
 from ..sources.shared import shared_path
-from ..streaming import listener, sync
+from ..streaming import dirty, listener, sync
 from .oracle import AS_OF, AS_OF_ALIGNED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -491,6 +491,18 @@ def candles_streamed(spark, sf_dir):
     return ntz(stored.read("candles").select(*ohlc.OUT))
 
 
+@query
+def candles_held(spark, sf_dir):
+    """Candles of the same stream by dirty days that are kept as state, each computed once after all trades are stored."""
+    landed, folder, notes, state = (shared_path(spark, f"held-{n}") for n in ("landed", "store", "notes", "state"))
+    trades = derived.trades(spark, sf_dir)
+    scattered(trades).write.parquet(landed)
+    stream = spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    stored = Tables(spark, folder, listener.trade_tables(trades.schema))
+    dirty.run(stream, stored, notes, state)
+    return ntz(stored.read("candles").select(*ohlc.OUT))
+
+
 def feed_of(spark: SparkSession, sf_dir: str) -> sync.Feed:
     """The derived tables as what the event loop reads from."""
 

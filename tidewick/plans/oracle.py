@@ -243,6 +243,7 @@ SELECT market_id, start_at, cl::DOUBLE AS close_price, CASE WHEN o.market_id IS
     "mark_processed": f"WITH {TRADES} SELECT id, done OR order_type = 'buy' AS i_added_to_interval FROM trades",
     "upsert_markets": f"""WITH {TRADES}, {MARKETS} SELECT id, market_id, CASE WHEN id <= 4 THEN 'genesis' ELSE 'sync' END AS created_by, CASE WHEN id >= 3 THEN TIMESTAMP '{AS_OF}' ELSE created END AS i_created_at FROM markets""",
     "candles_streamed": candles(),
+    "candles_held": candles(),
     "book_request": f"""WITH {ORDERS}, {_LEVELS.format(keep='place <= 5')} SELECT replace(market_id, '/', '_') AS ticker_id, string_agg({shown('price')} || ':' || {shown('amount')}, ',' ORDER BY position) FILTER (order_type = 'buy') AS bids,
   string_agg({shown('price')} || ':' || {shown('amount')}, ',' ORDER BY position) FILTER (order_type = 'sell') AS asks, epoch(TIMESTAMP '{AS_OF}')::BIGINT::VARCHAR AS timestamp FROM levels WHERE market_id = 'view/usd' GROUP BY market_id""",
     "chart_request": f"""WITH {_filled(AS_OF, 60, 100)}, rows AS (SELECT {CANDLE_COLUMNS} FROM filled) SELECT * RENAME (length AS minutes) FROM rows WHERE market_id = 'click/usd'""",

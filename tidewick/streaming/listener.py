@@ -55,22 +55,31 @@ def trade_tables(trades: StructType) -> dict[str, Table]:
     return {"trades": Table(dated, ("market_id", "trade_date")), "candles": Table(StructType([*schema.CANDLES.fields, StructField("candle_date", DateType())]), ("market_id", "candle_date"))}
 
 
-def store_trades(commit: Commit, new: DataFrame) -> None:
-    """Store trades, then recompute the candles of the days they touch.
+def replace_seconds(commit: Commit, new: DataFrame) -> DataFrame:
+    """Store trades in place of those of the same markets and seconds, and return the days (market_id, trade_date) they touch.
 
-    Trades of the markets and seconds in ``new`` are replaced, so a batch that comes again changes nothing. Trades are
-    partitioned by market and day: a late trade rewrites one market's day only, and no candle crosses a day. ``new`` is
-    read several times and has to be the same each time.
+    A batch that comes again changes nothing. Trades are partitioned by market and day: a late trade rewrites one market's
+    day only. ``new`` is read several times and has to be the same each time.
     """
     new = days_of(new)
     touched = new.select("market_id", "trade_date").distinct()
     seconds = new.select("market_id", "trade_date", "executed_at").distinct()
     old = commit.read("trades").join(touched, ["market_id", "trade_date"], "left_semi").join(seconds, ["market_id", "trade_date", "executed_at"], "left_anti")
     commit.replace("trades", old.unionByName(new.dropDuplicates(["market_id", "id"])))
-    again = commit.read("trades").join(touched, ["market_id", "trade_date"], "left_semi").drop("trade_date")
+    return touched
+
+
+def candles_of_days(commit: Commit, days: DataFrame) -> None:
+    """Compute the candles of days (market_id, trade_date) from the stored trades; no candle crosses a day."""
+    again = commit.read("trades").join(days, ["market_id", "trade_date"], "left_semi").drop("trade_date")
     commit.replace("candles", candles(again).withColumn("candle_date", F.to_date("start_at")))
 
 
+def store_trades(commit: Commit, new: DataFrame) -> None:
+    """Store trades, then recompute the candles of the days they touch."""
+    candles_of_days(commit, replace_seconds(commit, new))
+
+
 def recompute(tables: Tables, writer: str = "trades") -> Callable[[DataFrame, int], None]:
     """Handler of a micro-batch of trades: they and their candles become visible together, once."""
 
@@ -102,4 +111,4 @@ def windowed(trades: DataFrame, minutes: int, late: str = "1 hour") -> DataFrame
     )
 
 
-__all__ = ["STALE", "dispatch", "event_market", "listen", "recompute", "run", "store_trades", "trade_tables", "windowed"]
+__all__ = ["STALE", "candles_of_days", "dispatch", "event_market", "listen", "recompute", "replace_seconds", "run", "store_trades", "trade_tables", "windowed"]
