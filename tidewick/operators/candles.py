@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import LENGTHS, bucket_end, bucket_start
 from ..functions.money import strict_divide
+from ..sources.shared import stored
 from . import fold
 
 KEYS = fold.KEYS
 OUT = ("market_id", "length", "start_at", "end_at", "lowest_price", "open_price", "average_price", "highest_price", "close_price", "base_volume", "quote_volume")
 _SPAN = "10000000000000000000"
-#: Market days that are broadcast at most.
-BROADCAST_DAYS = 20_000
+#: Shortest candles with dust whose marks are broadcast at most.
+BROADCAST_MARKS = 20_000
 
 
 def _moment(time: Column, rank: Column) -> Column:
@@ -31,8 +32,8 @@ def last_moment() -> Column:
     return _moment(F.col("executed_at"), F.lit(_SPAN).cast("decimal(20,0)") - 1 - F.col("id").cast("decimal(20,0)"))
 
 
-def base_candles(trades: DataFrame, minutes: int) -> DataFrame:
-    """Candles of one length, with the smallest price and quote amount that decide whether they need the exact fold.
+def base_candles(trades: DataFrame, minutes: int, **details: Column) -> DataFrame:
+    """Candles of one length, with the smallest price and quote amount that decide whether they need the exact fold, and further aggregates.
 
     Open is the price of the first trade, close that of the first of those at the last second; among equal seconds the
     smallest id is first.
@@ -48,6 +49,7 @@ def base_candles(trades: DataFrame, minutes: int) -> DataFrame:
             F.sum("amount").alias("base_volume"),
             F.sum("i_quote_amount").alias("quote_volume"),
             F.min("i_quote_amount").alias("least_quote"),
+            *[c.alias(name) for name, c in details.items()],
         )
         .withColumn("length", F.lit(minutes))
     )
@@ -90,41 +92,62 @@ def dusty(trades: DataFrame) -> DataFrame:
 MONEY = ("lowest_price", "highest_price", "open_price", "close_price", "base_volume", "quote_volume")
 
 
-def folded(trades: DataFrame, lengths: tuple[int, ...], **options: int) -> DataFrame:
-    """The candles that hold a dusty trade, by :func:`fold.exact`, which spreads a candle's trades over tasks.
+def marks(trades: DataFrame) -> DataFrame | None:
+    """Of each shortest candle with a dusty trade the first moment with a quote amount and the last with a zero price, stored; None if there are none.
 
-    Only trades of candles with a dusty trade are read. Markets and days with one are broadcast if they are few.
+    Only trades of such candles are grouped. Marks are broadcast if they are few.
     """
-    day = bucket_start(F.col("executed_at"), max(LENGTHS)).alias("day")
-    days = dusty(trades).select("market_id", day).distinct()
-    if len(days.take(BROADCAST_DAYS + 1)) <= BROADCAST_DAYS:
-        days = F.broadcast(days)
-    mine = trades.withColumn("day", day).join(days, ["market_id", "day"], "left_semi")
+    held = stored(dusty(trades).select("market_id", "start_at").distinct(), "dusty-candles")
+    count = held.count()
+    if not count:
+        return None
+    known = (lambda rows: F.broadcast(rows)) if count <= BROADCAST_MARKS else (lambda rows: rows)
+    settled, zero = F.when(F.col("i_quote_amount") > 0, F.col("moment")), F.when(F.col("price") == 0, F.col("moment"))
+    mine = trades.join(known(held), ["market_id", "start_at"], "left_semi").groupBy("market_id", "start_at")
+    return known(stored(mine.agg(F.min(settled).alias("settled_at"), F.max(zero).alias("zero_at")), "candle-marks"))
+
+
+def _placed(trades: DataFrame) -> DataFrame:
+    return trades.withColumns({"start_at": bucket_start(F.col("executed_at"), LENGTHS[0]), "moment": first_moment()})
+
+
+def _small_and_dust(placed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The shortest candles, stored, with what longer ones need of their dust, and the dust itself."""
+    small = stored(base_candles(fold.with_marks(placed, found, "left"), LENGTHS[0], **fold.details()), "small-candles")
+    dust = fold.with_marks(placed, found, "inner").where("is_dust")
+    money = [F.col(c).cast("decimal(38,18)").alias(n) for c, n in (("price", "p"), ("amount", "b"))]
+    return small, dust.select("market_id", F.col("start_at").alias("place"), "moment", *money)
+
+
+def folded(trades: DataFrame, lengths: tuple[int, ...], **options: int) -> DataFrame:
+    """The candles that hold a dusty trade, by :func:`fold.exact`, which spreads a candle's trades over tasks."""
+    placed = _placed(trades)
+    found = marks(placed)
+    if found is None:
+        return _with_set_price(base_candles(trades, LENGTHS[0]).where(F.lit(False)))
+    return fold.exact(*_small_and_dust(placed, found), lengths, **options)
 
-    def keyed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).withColumn("start_at", bucket_start(F.col("executed_at"), F.col("length")))
 
-    money = [F.col(c).cast("decimal(38,18)").alias(n) for c, n in (("price", "p"), ("amount", "b"), ("i_quote_amount", "q"))]
-    rows = keyed(mine).join(keyed(dusty(trades)).select(*KEYS).distinct(), list(KEYS), "left_semi")
-    return fold.exact(rows.select(*KEYS, first_moment().alias("moment"), last_moment().alias("last_moment"), *money), **options)
+def _with_set_price(rows: DataFrame) -> DataFrame:
+    return rows.select(*KEYS, *[F.col(c).cast("decimal(38,18)").alias(c) for c in MONEY], F.lit(None).cast("decimal(38,18)").alias("set_price"))
 
 
 def candles(trades: DataFrame, lengths: tuple[int, ...] = LENGTHS, *, exact: bool = True, strict: bool = False) -> DataFrame:
     """Candles of the given lengths, one row for each market, length and bucket with trades.
 
-    ``exact`` sends candles with a zero price or quote amount through :func:`folded`; others have a closed form. Whether
-    there are any is asked while the plan is built: one scan, which statistics of the files usually answer, and, only
-    where there are some, jobs that store their dust.
+    ``exact`` sends candles with a zero price or quote amount through :func:`fold.exact`; others have a closed form.
+    Which these are is asked while the plan is built: one scan, which statistics of the files usually answer, and, only
+    where there are some, jobs that store their marks and dust and all shortest candles.
     ``strict`` averages with 18 decimal digits instead of as doubles.
     """
-    small = base_candles(trades, LENGTHS[0])
-    rows = roll_up(small, lengths) if tuple(lengths) != (LENGTHS[0],) else small
-    if not exact or dusty(trades).isEmpty():
-        return _averaged(rows, strict).select(*OUT)
+    rolled = lambda small: roll_up(small, lengths) if tuple(lengths) != (LENGTHS[0],) else small
+    placed = _placed(trades)
+    found = marks(placed) if exact else None
+    if found is None:
+        return _averaged(rolled(base_candles(trades, LENGTHS[0])), strict).select(*OUT)
+    small, dust = _small_and_dust(placed, found)
     plain = (F.col("lowest_price") > 0) & (F.col("least_quote") > 0)
-    money = [F.col(c).cast("decimal(38,18)").alias(c) for c in MONEY]
-    others = rows.where(plain).select(*KEYS, *money, F.lit(None).cast("decimal(38,18)").alias("set_price"))
-    return _averaged(others.unionByName(folded(trades, lengths)), strict).select(*OUT)
+    return _averaged(_with_set_price(rolled(small).where(plain)).unionByName(fold.exact(small, dust, lengths)), strict).select(*OUT)
 
 
 def candles_since(trades: DataFrame, begin: Column, lengths: tuple[int, ...] = LENGTHS, **options: bool) -> DataFrame:

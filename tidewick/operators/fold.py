@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.buckets import bucket_start
 from ..sources.shared import stored
 
 KEYS = ("market_id", "length", "start_at")
@@ -90,21 +91,25 @@ def before_stretches(dust: DataFrame) -> DataFrame:
     return running.select(*KEYS, "part", unset(F.max("h").over(order.rowsBetween(Window.unboundedPreceding, -1))).alias("high"), unset(F.lag("tail").over(order)).alias("low"))
 
 
-def in_stretches(dust: DataFrame, stretch_rows: int) -> DataFrame:
-    """``dust`` with the number of the range partition (``part``) that holds a trade, stored, as ranges are drawn anew by each run."""
-    kept = stored(dust, "candle-dust")
-    parts = max(1, -(-kept.count() // stretch_rows))
-    order = [*KEYS, "moment"]
-    if parts == 1:
-        return kept.withColumn("part", F.lit(0))
-    return stored(kept.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "candle-stretches")
+def in_stretches(dust: DataFrame, parts: int) -> DataFrame:
+    """``dust`` with the number of the range partition that holds a trade (``part``), and ``high`` and ``low`` before that stretch.
+
+    With several parts it is stored, as ranges are drawn anew by each run.
+    """
+    if parts <= 1:
+        unset = F.lit(0).cast(MONEY)
+        return dust.withColumns({"part": F.lit(0), "high": unset, "low": unset})
+    cut = stored(dust.repartitionByRange(parts, *KEYS, "moment").withColumn("part", F.spark_partition_id()), "candle-stretches")
+    return cut.join(before_stretches(cut), [*KEYS, "part"])
 
 
 def after_dust(dust: DataFrame, stretch_rows: int) -> DataFrame:
     """(*KEYS, zero, dust_base, dust_anew, dust_price) after the dust (*KEYS, moment, p, b) of each candle."""
-    cut = in_stretches(dust, stretch_rows)
-    rows = cut.join(before_stretches(cut), [*KEYS, "part"]).repartition("part").sortWithinPartitions("part", *KEYS, "moment", "p", "b")
-    each = rows.select(*KEYS, "part", "high", "low", "p", "b").mapInArrow(stretches, STRETCH)
+    kept = stored(dust, "candle-dust")
+    n = kept.count()
+    rows = in_stretches(kept, -(-n // stretch_rows)).repartition("part").sortWithinPartitions("part", *KEYS, "moment", "p", "b").select(*KEYS, "part", "high", "low", "p", "b")
+    # Where no trade precedes the first quote amount, no task has to start Python.
+    each = rows.mapInArrow(stretches, STRETCH) if n else rows.sparkSession.createDataFrame([], STRETCH)
     # A candle has a row for each stretch, which are few: the functions are applied one after another.
     names = [f.split()[0] for f in EFFECT]
     listed = each.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("part", *names, "last_price"))).alias("steps"))
@@ -119,35 +124,65 @@ def after_dust(dust: DataFrame, stretch_rows: int) -> DataFrame:
     return done.select(*KEYS, F.col("s.zero").alias("zero"), F.col("s.base").alias("dust_base"), F.col("s.anew").alias("dust_anew"), F.col("s.price").alias("dust_price"))
 
 
-def exact(rows: DataFrame, *, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
-    """Candles of trades (*KEYS, moment, last_moment, p, b, q): low, high, open, close, volumes and the average where a trade alone sets it.
-
-    ``moment`` orders trades by time and id, ``last_moment`` by time and id from the largest. All but dust is summed by
-    hash aggregates with partial sums; the marks of a candle meet its trades in a join that Spark can split.
-    """
-    marks = rows.groupBy(*KEYS).agg(F.min(F.when(F.col("q") > 0, F.col("moment"))).alias("settled_at"), F.max(F.when(F.col("p") == 0, F.col("moment"))).alias("zero_at"))
+def with_marks(trades: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """``trades`` (with ``start_at`` of their small candle) beside its marks, and whether they are dust (``is_dust``)."""
     # One key more asks for exchanges that skewed partitions can be split behind.
-    bit = F.xxhash64(*KEYS) > 0
-    marked = rows.withColumn("bit", bit).join(marks.withColumn("bit", bit), [*KEYS, "bit"]).drop("bit")
-    is_dust = F.col("settled_at").isNull() | (F.col("moment") < F.col("settled_at"))
+    bit = F.xxhash64("market_id", "start_at") > 0
+    met = trades.withColumn("bit", bit).join(marks.withColumns({"bit": bit, "marked": F.lit(True)}), ["market_id", "start_at", "bit"], how).drop("bit")
+    return met.withColumn("is_dust", F.col("marked").isNotNull() & (F.col("settled_at").isNull() | (F.col("moment") < F.col("settled_at"))))
+
+
+def details() -> dict[str, Column]:
+    """What small candles hold besides their prices and volumes, of trades :func:`with_marks`, so that long ones need no trades."""
     settles = F.col("moment") == F.col("settled_at")
-    total = lambda condition, c: F.coalesce(F.sum(F.when(condition, F.col(c))), F.lit(0)).cast(MONEY)
-    whole = marked.groupBy(*KEYS).agg(
-        F.coalesce(F.min(F.when(F.col("zero_at").isNull() | (F.col("moment") > F.col("zero_at")), F.col("p"))), F.lit(0).cast(MONEY)).alias("lowest_price"),
-        F.max("p").alias("highest_price"),
-        F.min_by("p", "moment").alias("open_price"),
-        F.max_by("p", "last_moment").alias("close_price"),
-        F.sum("q").alias("quote_volume"),
-        total(~is_dust & ~settles, "b").alias("after"),
-        total(settles, "b").alias("settling"),
-        F.max(F.when(settles, F.col("p"))).alias("settling_price"),
-        (F.max("moment") == F.max("settled_at")).alias("settled_last"),
-        F.max("settled_at").isNull().alias("all_dust"),
+    return {
+        "marked": F.max("marked").isNotNull(),
+        "has_zero": F.max("zero_at").isNotNull(),
+        "all_dust": F.min("is_dust"),
+        "low_since": F.min(F.when(F.col("zero_at").isNull() | (F.col("moment") > F.col("zero_at")), F.col("price"))),
+        "undusted": F.sum(F.when(~F.col("is_dust"), F.col("amount"))),
+        # Without marks the first trade is the one with a quote amount.
+        "settling_price": F.coalesce(F.max(F.when(settles, F.col("price"))), F.min_by("price", "moment")),
+        "settled_last": F.max("moment") == F.coalesce(F.max("settled_at"), F.min("moment")),
+    }
+
+
+def whole_candles(small: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Candles that hold a marked small one, from all of their small ones, of which even a day has only 288."""
+    each = small.drop("length").withColumnRenamed("start_at", "place").withColumn("length", F.explode(F.array(*map(F.lit, lengths))))
+    each = each.withColumn("start_at", bucket_start(F.col("place"), F.col("length")))
+    candle = Window.partitionBy(*KEYS)
+    rows = each.join(each.where("marked").select(*KEYS).distinct(), list(KEYS), "left_semi").withColumns(
+        {"settled_in": F.min(F.when(~F.col("all_dust"), F.col("place"))).over(candle), "zero_in": F.max(F.when(F.col("has_zero"), F.col("place"))).over(candle)}
+    )
+    settles = F.col("place") == F.col("settled_in")
+    money = lambda c: c.cast(MONEY)
+    return rows.groupBy(*KEYS).agg(
+        money(F.coalesce(F.min(F.when(F.col("zero_in").isNull() | (F.col("place") >= F.col("zero_in")), F.col("low_since"))), F.lit(0))).alias("lowest_price"),
+        money(F.max("highest_price")).alias("highest_price"),
+        money(F.min_by("open_price", "place")).alias("open_price"),
+        money(F.max_by("close_price", "place")).alias("close_price"),
+        money(F.sum("quote_volume")).alias("quote_volume"),
+        money(F.sum(F.when(settles, F.col("undusted")).when(F.col("place") > F.col("settled_in"), F.col("base_volume")))).alias("undusted"),
+        money(F.max(F.when(settles, F.col("settling_price")))).alias("settling_price"),
+        ((F.max("place") == F.max("settled_in")) & F.max(F.when(settles, F.col("settled_last")))).alias("settled_last"),
+        F.max("settled_in").alias("settled_in"),
     )
-    dust = after_dust(marked.where(is_dust).select(*KEYS, "moment", "p", "b"), stretch_rows)
-    joined = whole.join(dust, list(KEYS), "left")
+
+
+def exact(small: DataFrame, dust: DataFrame, lengths: tuple[int, ...], *, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
+    """Candles with dust: low, high, open, close, volumes and the average where a trade alone sets it.
+
+    ``small`` are the shortest candles with :func:`details`, ``dust`` (market_id, place, moment, p, b) the trades that are
+    dust of theirs. Dust of a longer candle lies in the small ones up to the first that holds a quote amount.
+    """
+    whole = whole_candles(small, lengths)
+    each = dust.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).withColumn("start_at", bucket_start(F.col("place"), F.col("length")))
+    unsettled = F.col("settled_in").isNull()
+    mine = each.join(whole.select(*KEYS, "settled_in"), list(KEYS)).where(unsettled | (F.col("place") <= F.col("settled_in")))
+    joined = whole.join(after_dust(mine.select(*KEYS, "moment", "p", "b"), stretch_rows), list(KEYS), "left")
     # Without dust the average is zero before the first trade, so that one starts volumes.
     starts = F.coalesce("zero", F.lit(True))
-    base = F.when(F.col("all_dust"), F.col("dust_base")).otherwise(F.when(starts, F.col("settling")).otherwise((F.col("dust_base") + F.col("settling")).cast(MONEY)) + F.col("after"))
-    alone = F.when(F.col("all_dust"), F.when(F.col("dust_anew"), F.col("dust_price"))).otherwise(F.when(F.col("settled_last") & starts, F.col("settling_price")))
-    return joined.select(*KEYS, "lowest_price", "highest_price", "open_price", "close_price", base.cast(MONEY).alias("base_volume"), F.col("quote_volume").cast(MONEY).alias("quote_volume"), alone.alias("set_price"))
+    base = F.when(unsettled, F.col("dust_base")).otherwise(F.when(starts, F.col("undusted")).otherwise((F.col("dust_base") + F.col("undusted")).cast(MONEY)))
+    alone = F.when(unsettled, F.when(F.col("dust_anew"), F.col("dust_price"))).otherwise(F.when(F.col("settled_last") & starts, F.col("settling_price")))
+    return joined.select(*KEYS, "lowest_price", "highest_price", "open_price", "close_price", base.cast(MONEY).alias("base_volume"), "quote_volume", alone.alias("set_price"))
