@@ -260,6 +260,26 @@ def test_charts_read_the_days_they_need(spark, data, tmp_path):
     assert rows_of(gapfill.from_table(spark, path, markets, "2024-01-20 12:00:00", 60, 30)) == rows_of(chart)
 
 
+def test_stored_charts_with_later_candles(spark, data, tmp_path):
+    """With ``later`` the newest candles count, whenever they start, and days before the range still aren't opened."""
+    from tidewick.operators import gapfill
+    from tidewick.operators.candles import candles
+    from tidewick.sinks.tables import write_partitions
+    from tidewick.sources import derived
+
+    path = str(tmp_path / "candles")
+    hours = candles(derived.trades(spark, data), (60,)).cache()
+    write_partitions(hours.withColumn("candle_date", F.to_date("start_at")), path, ["market_id", "candle_date"])
+    for folder in (tmp_path / "candles").glob("market_id=view*/candle_date=*"):
+        if folder.name.partition("=")[2] < "2024-01-19":
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"broken")
+    markets = derived.markets(spark, data)
+    found = rows_of(gapfill.from_table(spark, path, markets, "2024-01-20 12:00:00", 60, 30, later=True))
+    assert found == rows_of(gapfill.gapfilled(hours, markets, "2024-01-20 12:00:00", 60, 30))
+    assert found != rows_of(gapfill.from_table(spark, path, markets, "2024-01-20 12:00:00", 60, 30))
+
+
 def test_ranks_of_groups_over_many_partitions(spark):
     """One group has most rows, ties are broken by id, and null groups are groups."""
     from tidewick.operators.ranks import ranked

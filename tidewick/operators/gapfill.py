@@ -61,22 +61,30 @@ def from_trades(trades: DataFrame, markets: DataFrame, as_of: str, length: int,
     return gapfilled(made, markets, as_of, length, limit)
 
 
-def from_table(spark: SparkSession, path: str, markets: DataFrame, as_of: str, length: int, limit: int) -> DataFrame:
+def from_table(spark: SparkSession, path: str, markets: DataFrame, as_of: str, length: int, limit: int, *, later: bool = False) -> DataFrame:
     """:func:`gapfilled` of candles stored by market and day (market_id, candle_date), of which only the days that ranges touch are read.
 
-    Candles that start after ``as_of`` don't count.
+    Candles that start after ``as_of`` don't count, unless ``later``, which takes them as :func:`gapfilled` does: the newest
+    candles of a market are its chart, whenever they start.
 
     Days outside of all ranges are left out by a filter on the folder names; of the others a market's days
     meet its folders in a join, which prunes while the query runs.
     """
-    rows = spark.read.parquet(path).where((F.col("candle_date") <= F.to_date(at(as_of))) & (F.col("start_at") <= at(as_of)))
-    days = ranges(markets, as_of, length, limit).select("market_id", F.explode(F.sequence(F.to_date("begin"), F.greatest(F.to_date("begin"), F.to_date(at(as_of))))).alias("candle_date"))
+    rows = spark.read.parquet(path).where(F.col("length") == length)
+    spans = ranges(markets, as_of, length, limit).select("market_id", F.to_date("begin").alias("first_day"))
     if limit > 0:
         rows = rows.where(F.col("candle_date") >= F.to_date(minutes_before(as_of, limit * length)))
-        # A market has limit * length / 1440 + 2 days at most; many markets are left to Spark's own choice of a join.
-        days = F.broadcast(days) if markets.limit(BROADCAST_MARKETS + 1).count() <= BROADCAST_MARKETS else days
-    mine = rows.where(F.col("length") == length).join(days, ["market_id", "candle_date"], "left_semi").drop("candle_date")
-    return gapfilled(mine, markets, as_of, length, limit)
+    few = limit > 0 and markets.limit(BROADCAST_MARKETS + 1).count() <= BROADCAST_MARKETS
+    # A market has limit * length / 1440 + 2 days at most; many markets are left to Spark's own choice of a join.
+    known = F.broadcast if few else lambda rows: rows
+    if later:
+        mine = rows.alias("c").join(known(spans).alias("s"), F.expr("c.market_id = s.market_id and candle_date >= first_day"), "left_semi")
+    else:
+        last = F.greatest("first_day", F.to_date(at(as_of)))
+        days = spans.select("market_id", F.explode(F.sequence("first_day", last)).alias("candle_date"))
+        until = (F.col("candle_date") <= F.to_date(at(as_of))) & (F.col("start_at") <= at(as_of))
+        mine = rows.where(until).join(known(days), ["market_id", "candle_date"], "left_semi")
+    return gapfilled(mine.drop("candle_date"), markets, as_of, length, limit)
 
 
 def chart(candles: DataFrame, markets: DataFrame, request: ChartRequest, as_of: str) -> DataFrame:

@@ -105,7 +105,7 @@ def charts_stored(spark, sf_dir):
     """Charts from a stored table of candles of all lengths, of which only the days that they need are read."""
     path = shared_path(spark, "candles")
     sinks.write_partitions(_candles(spark, sf_dir).withColumn("candle_date", F.to_date("start_at")), path, ["market_id", "candle_date"])
-    return ntz(gapfill.from_table(spark, path, derived.markets(spark, sf_dir), AS_OF, 15, 100))
+    return ntz(gapfill.from_table(spark, path, derived.markets(spark, sf_dir), AS_OF, 15, 100, later=True))
 
 
 @query
