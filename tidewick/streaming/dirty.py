@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sinks.versions import Tables
-from ..sources.shared import stored
 from .listener import candles_of_days, days_of, replace_seconds
 
 NOTE = "market_id string, trade_date date, last timestamp"
@@ -95,8 +94,8 @@ def computer(tables: Tables, writer: str = "due") -> Callable[[DataFrame, int],
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # The stateful step runs once for each batch, also for one that is known.
-        days = stored(batch.select("market_id", "trade_date").distinct(), "due-days")
-        if tables.state().batches.get(writer, -1) >= batch_id or days.isEmpty():
+        days = tables.parts_of("trades", batch)
+        if tables.state().batches.get(writer, -1) >= batch_id or not days:
             return
         commit = tables.begin()
         candles_of_days(commit, days)
