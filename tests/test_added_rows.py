@@ -7,7 +7,7 @@ from test_sync import rows, stored_candles
 
 from tidewick.operators import candles as ohlc
 from tidewick.sinks import versions
-from tidewick.streaming import listener
+from tidewick.streaming import dirty, listener
 
 
 def test_a_small_batch_rewrites_no_day(spark, tmp_path, monkeypatch):
@@ -38,3 +38,18 @@ def test_a_small_batch_rewrites_no_day(spark, tmp_path, monkeypatch):
     assert after.folders["trades"]["market_id=b/trade_date=2024-01-01"] == begun.folders["trades"]["market_id=b/trade_date=2024-01-01"]
     store.vacuum()
     assert (rows(store.read("trades").drop("trade_date")), rows(store.read("candles").select(*ohlc.OUT))) == expected
+
+
+def test_a_stored_batch_rewrites_no_day(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "SMALL", 0)
+    first, late = trades(spark, *[("a", 20 * n) for n in range(4000)]), trades(spark, ("a", 7))
+    store = versions.Tables(spark, str(tmp_path / "store"), listener.trade_tables(first.schema))
+    handle = dirty.storer(store, str(tmp_path / "notes"))
+    handle(first, 0)
+    begun = store.state()
+    handle(late, 1)
+    now = store.state()
+    assert now.folders == begun.folders and len(now.added["trades"].folders) == 1 and not now.added["trades"].stale
+    assert store.read("candles").count() == 0 and store.read("trades").count() == 4001
+    dirty.computer(store)(dirty.touched_days(late), 0)
+    assert rows(store.read("candles").select(*ohlc.OUT)) == stored_candles(first.unionByName(late))

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sinks.versions import Tables
-from .listener import candles_of_days, days_of, replace_seconds
+from .listener import add_seconds, candles_of_days, days_of
 
 NOTE = "market_id string, trade_date date, last timestamp"
 #: Days as numbers since 1970 with the milliseconds at which they are due, and the market's last second in microseconds.
@@ -76,7 +76,7 @@ def storer(tables: Tables, notes: str, writer: str = "trades") -> Callable[[Data
             return
         if tables.state().batches.get(writer, -1) < batch_id:
             commit = tables.begin()
-            replace_seconds(commit, batch)
+            add_seconds(commit, batch)
             commit.publish_rebased(**{writer: batch_id})
         folder = f"{notes}/{writer}-{batch_id:010d}"
         if not tables.exists(f"{folder}/_SUCCESS"):
