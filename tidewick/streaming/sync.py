@@ -50,7 +50,7 @@ def sync_markets(commit: Commit, feed: Feed) -> None:
 
 def resume(trades: DataFrame, markets: DataFrame) -> DataFrame:
     """(market_id, since): the second of each market's last stored trade, which is read again, or null."""
-    last = trades.join(markets, "market_id", "left_semi").groupBy("market_id").agg(F.max("executed_at").alias("since"))
+    last = trades.join(F.broadcast(markets), "market_id", "left_semi").groupBy("market_id").agg(F.max("executed_at").alias("since"))
     return markets.join(last, "market_id", "left")
 
 
@@ -79,7 +79,9 @@ def refresh(commit: Commit, feed: Feed, pairs: DataFrame) -> None:
             store_trades(commit, found)
     ordered = asked("orders")
     if not ordered.isEmpty():
-        found, failed = without_failed(stored(feed.orders(ordered), "fetched-orders"), "orders")
+        books = feed.orders(ordered)
+        # Books that can't fail are read once, so they go straight to their table.
+        found, failed = without_failed(stored(books, "fetched-orders") if "error" in books.columns else books, "orders")
         failures.append(failed)
         commit.replace("orders", found)
     if failures:
