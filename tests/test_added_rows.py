@@ -1,6 +1,8 @@
 """Rows that lie beside partitions: a batch costs as much as its rows, and readers see the newest of each key."""
 
+import json
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 from test_dirty_days import trades
 from test_sync import rows, stored_candles
@@ -53,3 +55,37 @@ def test_a_stored_batch_rewrites_no_day(spark, tmp_path, monkeypatch):
     assert store.read("candles").count() == 0 and store.read("trades").count() == 4001
     dirty.computer(store)(dirty.touched_days(late), 0)
     assert rows(store.read("candles").select(*ohlc.OUT)) == stored_candles(first.unionByName(late))
+
+
+def test_a_stream_folds_seldom_and_reads_each_entry_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "SMALL", 0)
+    batches = [trades(spark, *[("a", 7 * n + k) for n in range(300)]) for k in range(6)]
+    store = versions.Tables(spark, str(tmp_path / "store"), listener.trade_tables(batches[0].schema))
+    handle, folds, loads = listener.recompute(store), [], []
+    fold = versions.Commit.fold
+    monkeypatch.setattr(versions.Commit, "fold", lambda commit, name: folds.append(name) or fold(commit, name))
+    monkeypatch.setattr(versions, "json", SimpleNamespace(dumps=json.dumps, loads=lambda text: loads.append(text) or json.loads(text)))
+    for k, batch in enumerate(batches):
+        handle(batch, k)
+    assert len(folds) == 1 and len(loads) < len(batches)
+    want = batches[0]
+    for batch in batches[1:]:
+        want = want.unionByName(batch)
+    assert rows(store.read("candles").select(*ohlc.OUT)) == stored_candles(want)
+
+
+def test_a_trade_twice_in_a_batch_counts_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "SMALL", 0)
+    first, late = trades(spark, *[("a", 20 * n) for n in range(4000)]), trades(spark, ("a", 7), ("b", 9))
+    store = versions.Tables(spark, str(tmp_path / "store"), listener.trade_tables(first.schema))
+    handle = listener.recompute(store)
+    handle(first, 0)
+    # The same trade in the same second, and in a later one.
+    handle(late.unionByName(late).unionByName(late.selectExpr("id", "market_id", "price", "amount", "i_quote_amount", "executed_at + interval 1 day as executed_at")), 1)
+    # A batch without trades adds nothing.
+    handle(late.limit(0), 2)
+    want = first.unionByName(late)
+    assert len(store.state().added["trades"].folders) == 1 and store.state().batches == {"trades": 2}
+    for _ in range(2):
+        assert (rows(store.read("trades").drop("trade_date")), rows(store.read("candles").select(*ohlc.OUT))) == (rows(want), stored_candles(want))
+        listener.settled(store)
