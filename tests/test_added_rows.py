@@ -4,6 +4,7 @@ import json
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
 from test_dirty_days import trades
 from test_sync import rows, stored_candles
 
@@ -89,3 +90,18 @@ def test_a_trade_twice_in_a_batch_counts_once(spark, tmp_path, monkeypatch):
     for _ in range(2):
         assert (rows(store.read("trades").drop("trade_date")), rows(store.read("candles").select(*ohlc.OUT))) == (rows(want), stored_candles(want))
         listener.settled(store)
+
+
+def test_a_batch_is_read_once(spark, tmp_path):
+    first = trades(spark, *[(m, 20 * n) for n in range(200) for m in ("a", "b")])
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda m: read.add(1) or m, "string").asNondeterministic()
+    stores = {}
+    for name in ("streamed", "held"):
+        stores[name] = versions.Tables(spark, str(tmp_path / name), listener.trade_tables(first.schema))
+        handle = listener.recompute(stores[name]) if name == "streamed" else dirty.storer(stores[name], str(tmp_path / "notes"))
+        handle(first.withColumn("market_id", seen("market_id")).select(*first.columns), 0)
+        assert read.value == 400
+        read.value = 0
+    assert rows(spark.read.schema(dirty.NOTE).parquet(str(tmp_path / "notes/trades-0000000000"))) == rows(dirty.touched_days(first))
+    assert rows(stores["streamed"].read("trades")) == rows(stores["held"].read("trades"))

@@ -72,15 +72,17 @@ def storer(tables: Tables, notes: str, writer: str = "trades") -> Callable[[Data
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
+        trades = batch
         if tables.state().batches.get(writer, -1) < batch_id:
             commit = tables.begin()
-            add_seconds(commit, batch)
+            if not add_seconds(commit, batch):
+                return
             commit.publish_rebased(**{writer: batch_id})
+            # Of what it has written two columns are read, of the batch all.
+            trades = commit.written("trades")
         folder = f"{notes}/{writer}-{batch_id:010d}"
         if not tables.exists(f"{folder}/_SUCCESS"):
-            touched_days(batch).write.mode("append").parquet(folder)
+            touched_days(trades).write.mode("append").parquet(folder)
 
     return handle
 
